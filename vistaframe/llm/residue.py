@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vistaframe.session import cut
+
 WIDE_TEXTS, WIDE_SOURCES, SALTS = 5, 2, 16
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.]{0,40}(?: [A-Za-z]{2,12}){0,2}"
@@ -98,22 +100,27 @@ def _runs() -> str:
 
 _KEYS = rf"(?>(?:{_runs()}){{1,12}}+[a-z]{{0,2}}|a{{2,40}}+|x{{3,40}}+|(?:kj){{1,20}}+k?|(?:jk){{1,20}}+j?l?)"
 MASHED = rf"(?:^|\s)(?:{_KEYS}\W{{1,3}}){{3}}{_KEYS}(?:\W|$)|^(?:(?:{_runs()}){{2,12}}+|(?:{_KEYS}\W{{0,3}}){{2,8}})$"
-REPEATED = r"(?:^|\s)((?:\p{L}{2,12})(?: \p{L}{2,12}){0,3}?)(?:[ ,]{1,3}\1){3}(?=\W|$)|^((?:\p{L}{2,12})(?: \p{L}{2,12}){0,3}?)(?:[ ,]{1,3}\2){2}\W*$"
+_W = r"\p{L}{2,12}"
+#: One to four words, four times over, or three times and nothing else.
+REPEATED = "|".join(
+    rf"(?<!\p{{L}})({_W}{(' ' + _W) * k}+)(?:[ ,]{{1,3}}\{2 * k + 1}){{3}}(?!\p{{L}})|^({_W}{(' ' + _W) * k}+)(?:[ ,]{{1,3}}\{2 * k + 2}){{2}}\W*$"
+    for k in range(4)
+)
 
 #: Reasons that follow a status code. Fixed values.
 _REASONS = (
     "bad request|unauthorized|payment required|forbidden|not found|method not allowed|not acceptable|request timeout|conflict|gone|"
     "too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway timeout"
 )
-STATUS = rf"(?<!\w)(?:http |status |error )?0(?: ?[-|:(] ?| )(?:{_REASONS})\b"
+STATUS = rf"(?<!\w)(?:http |status |error )?\d{{1,9}}(?: ?[-|:(] ?| )(?:{_REASONS})\b"
 #: What pages print around their message. Fixed values.
 FURNITURE = (
     r"(?>©[^.|\n]{0,30}?browser|retry|back to (?:the )?start(?: page)?|home \| scenes \| help|(?:incident|reference|request id):? ?[0-9a-f]+|"
-    r"(?:- ?){2,40}+|oops!?|contact the site team if this persists|refresh to retry|</?noscript>|</?message>|</?error>|<code>0</code>|"
+    r"(?:- ?){2,40}+|oops!?|contact the site team if this persists|refresh to retry|</?noscript>|</?message>|</?error>|<code>\d{1,9}</code>|"
     r"(?:reason|detail|message|error|warning)\s*:|[*•>#]{1,9}+|-)[\s.:]{0,9}+"
 )
 _START = rf"^(?:(?:{FURNITURE})|(?>{STATUS}\)?[\s.:]{{0,9}})){{0,12}}+"
-_STOP = r"(?=\s*(?:$|[.,;:!(<–|\"-])|\s+\p{Lu}|\s+©)"
+_STOP = r"(?=\s*(?:$|[.,;:!(<–|\"-])|\s+(?-i:\p{Lu})|\s+©)"
 _THING = r"(?:page|scene|view|record|request|caption|server|service|file|content|link|annotation|session|site|document|resource|item|entry|image|picture)"
 
 #: Messages, each from the start of its sentence. Fixed values.
@@ -127,7 +134,7 @@ MESSAGES = [
     rf"konnte nicht (?:geladen|gefunden|abgeschlossen|bearbeitet|angezeigt) werden|ist (?:zurzeit |derzeit |momentan )?(?:nicht (?:verfügbar|erreichbar)|abgelaufen)|antwortet nicht|existiert nicht){_STOP}",
     r"(?:zugriff verweigert|interner serverfehler|wegen wartungsarbeiten nicht|es ist ein (?:unerwarteter |interner )?fehler aufgetreten|zu viele anfragen|seite nicht gefunden)\b",
     r"(?:la|le|cette|ce|votre) (?:page|scène|fiche|demande|session|vue|service|serveur|contenu|fichier|document)(?: demandée?)? (?:est (?:temporairement |actuellement )?(?:introuvable|indisponible|inaccessible)|"
-    rf"n['’]a pas pu être \p{{L}}+|a été (?:refusée?|supprimée?|rejetée?)|a expiré|n['’]existe (?:pas|plus)|ne répond pas)(?= pour le moment|\s*(?:$|[.,;:!(<–|\"-])|\s+\p{{Lu}}|\s+©)",
+    rf"n['’]a pas pu être \p{{L}}+|a été (?:refusée?|supprimée?|rejetée?)|a expiré|n['’]existe (?:pas|plus)|ne répond pas)(?= pour le moment|\s*(?:$|[.,;:!(<–|\"-])|\s+(?-i:\p{{Lu}})|\s+©)",
     r"(?:accès refusé|accès interdit|une erreur (?:interne|inattendue) (?:est survenue|s['’]est produite)|service momentanément indisponible|erreur interne du serveur|trop de requêtes|page introuvable)(?!\p{L})",
     r"(?:la|el|esta|este|su) (?:página|escena|ficha|solicitud|sesión|vista|servicio|servidor|contenido|archivo|documento)(?: solicitad[ao])? (?:no (?:fue encontrad[ao]|está disponible|se pudo \p{L}+|existe|responde)|"
     r"fue (?:rechazad[ao]|eliminad[ao])|ha (?:caducado|expirado|sido \p{L}+))(?!\p{L})",
@@ -150,8 +157,8 @@ SHAPES = [
     r"traceback \(most recent call last\)",
     r"^(?:\w+\.)*\w*(?:error|exception): \S",
     r"<error>\s*<code>",
-    r"""\{\s*"(?:error|status|code)"\s*:\s*(?:\{[^{}]*"message"\s*:|0\s*,\s*"(?:detail|message|error|reason)"\s*:)""",
-    r"^status: 0$",
+    r"""\{\s*"(?:error|status|code)"\s*:\s*(?:\{[^{}]*"message"\s*:|\d{1,9}\s*,\s*"(?:detail|message|error|reason)"\s*:)""",
+    r"^status: \d{1,9}$",
 ]
 #: Phrases that count only in messages that recur widely. Fixed values.
 WEAK = [
@@ -177,13 +184,38 @@ def _sentences(line: Column) -> Column:
 
 
 _SLOT = "|".join(SLOTS)
-_CUE_WORDS = (
-    rf"(?iu)javascript|\bscripts?\b|skripte|\b0\b.{{0,4}}(?:{_REASONS})|traceback|error|exception|fehler|erreur|unavailable|not (?:found|available)|cannot|could not|couldn't|refused|denied|been removed|"
-    r"timed out|respond|exist|expired|ended|failed|available|maintenance|is broken|permission|too many|went wrong|try again|working on it|sign in|moved or deleted|unable|oops|status: 0|"
-    r"verfügbar|abgelehnt|gefunden|geladen|verweigert|abgelaufen|erreichbar|anfragen|introuvable|indisponible|refusé|expiré|pas pu|survenue|requêtes|inaccessible|"
-    r"disponible|rechazad|encontr|denegado|produjo|caducado|se pudo|solicitudes|\bhere\W*$|in this box|replace me|to be added|(?:sample|dummy|placeholder|example|test|filler) \w+\W*$|"
-    r"blindtext|später|folgt|viendra ici|remplac|remplissage|aquí va|relleno|type something|lorem|ipsum|adipiscing|ullamco"
-)
+#: Characters without which a sentence holds no slot: one pass over the text, before the patterns are tried.
+_SLOT_CUE = r"[{<$%\[@#~|]|\?{4}|___|__[A-Za-z]|XXXX|TBD:|:[A-Za-z_][A-Za-z0-9_. ]{2,60}:|goes here\)"
+#: Words of which pseudo-Latin filler always holds some.
+_LATIN_CUE = ("ipsum", "adipiscing", "consectetur", "incididunt", "ullamco", "aliquip", "pariatur", "cillum", "nostrud", "fugiat")
+
+
+def _starts(form: Column, patterns: list[str]) -> Column:
+    return form.rlike(f"(?iu){_START}(?:{'|'.join(patterns)})")
+
+
+def _has(form: Column, patterns: list[str]) -> Column:
+    return form.rlike(f"(?iu)(?:{'|'.join(patterns)})")
+
+
+def _latin(form: Column) -> Column:
+    lowered = F.lower(form)
+    cue = lowered.contains(_LATIN_CUE[0])
+    for w in _LATIN_CUE[1:]:
+        cue = cue | lowered.contains(w)
+    return cue & form.rlike("(?iu)" + LATIN)
+
+
+def _spoken(form: Column) -> Column:
+    """True if a sentence may be one of the phrases: rules that are anchored at its start, then those that search it."""
+    return (
+        _starts(form, [*SCRIPTS, *MESSAGES, *WEAK])
+        | _has(form, FILLER)
+        | _has(form, [*SHAPES, STATUS])
+        | _latin(form)
+        | form.rlike(REPEATED)
+        | form.rlike(MASHED)
+    )
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -195,12 +227,9 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     shaped = F.col("line").rlike("|".join(["(?iu)<error>", r"\{\s*\"(?:error|status|code)\"\s*:"]))
     code = F.regexp_replace("line", _TICKS, " ")
     views = F.concat(
-        F.transform(F.filter(_sentences(code), lambda s: s.rlike(_SLOT) & ~s.rlike(EXPLAINS)), lambda s: F.struct(F.lit(0).alias("view"), masked(s).alias("form"))),
+        F.transform(F.filter(_sentences(code), lambda s: s.rlike(_SLOT_CUE) & s.rlike(_SLOT) & ~s.rlike(EXPLAINS)), lambda s: F.struct(F.lit(0).alias("view"), masked(s).alias("form"))),
         F.when(shaped, F.array(F.struct(F.lit(1).alias("view"), masked(F.col("line")).alias("form")))).otherwise(
-            F.filter(
-                F.transform(_sentences(F.regexp_replace(code, _QUOTES, " ' ")), lambda s: F.struct(F.lit(1).alias("view"), masked(s).alias("form"))),
-                lambda s: s["form"].rlike(_CUE_WORDS) | s["form"].rlike("(?iu)" + REPEATED) | s["form"].rlike("(?iu)" + MASHED),
-            )
+            F.transform(F.filter(F.transform(_sentences(F.regexp_replace(code, _QUOTES, " ' ")), F.trim), _spoken), lambda s: F.struct(F.lit(1).alias("view"), masked(s).alias("form")))
         ),
     )
     return lines.select("id", "source", F.inline(views))
@@ -209,18 +238,12 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def classified(form: Column, view: Column, texts: Column, sources: Column) -> Column:
     """``slot``, ``filler``, ``error`` or ``script``; NULL if the message is none of them."""
 
-    def starts(patterns: list[str]) -> Column:
-        return form.rlike(f"(?iu){_START}(?:{'|'.join(patterns)})")
-
-    def has(patterns: list[str]) -> Column:
-        return form.rlike(f"(?iu)(?:{'|'.join(patterns)})")
-
     wide = (texts >= WIDE_TEXTS) & (sources >= WIDE_SOURCES)
     spoken = (
-        F.when(has([*FILLER, LATIN]) | form.rlike("(?iu)" + MASHED) | form.rlike("(?iu)" + REPEATED), "filler")
-        .when(starts(SCRIPTS), "script")
-        .when(has(SHAPES) | form.rlike("(?iu)" + STATUS) | starts(MESSAGES), "error")
-        .when(wide & starts(WEAK), "error")
+        F.when(_has(form, FILLER) | _latin(form) | form.rlike(MASHED) | form.rlike(REPEATED), "filler")
+        .when(_starts(form, SCRIPTS), "script")
+        .when(_has(form, [*SHAPES, STATUS]) | _starts(form, MESSAGES), "error")
+        .when(wide & _starts(form, WEAK), "error")
     )
     return F.when(view == 0, F.lit("slot")).otherwise(spoken)
 
@@ -229,6 +252,7 @@ def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(<id>, reason): each text that is a case, with each of its reasons."""
     sentences = candidates(df, id_col, text_col, source_col)
     keyed = sentences.select("id", "source", "view", "form", F.xxhash64("view", F.lower("form")).alias("h1"), F.xxhash64(F.lower("form"), F.lit(5), "view").alias("h2"))
+    keyed = cut(keyed, "sentences")
     groups = keyed.groupBy("h1", "h2").agg(F.min("form").alias("form"), F.min("view").alias("view"), F.count("*").alias("texts"), F.approx_count_distinct(F.coalesce("source", F.lit(""))).alias("sources"))
     classes = groups.select("h1", "h2", classified(F.col("form"), F.col("view"), F.col("texts"), F.col("sources")).alias("reason")).where(F.col("reason").isNotNull())
     spread = classes.select("h1", "h2", "reason", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
