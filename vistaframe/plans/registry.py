@@ -6,18 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistaframe.plans import records
+from vistaframe.plans import records, scene_queries
 
-MODULES = (records,)
+MODULES = (scene_queries,)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return records.p2_parts(spark, folder)
+    return scene_queries.prominence_class(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return records.QUERIES | {name: f for m in MODULES for name, f in m.catalogue.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+    return records.ORACLE | {name: sql for m in MODULES for name, sql in m.catalogue.sql.items()}
