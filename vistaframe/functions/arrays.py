@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where body uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
@@ -22,8 +27,8 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    length = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x / length)
+    both = F.struct(v.alias("v"), F.greatest(norm(v), F.lit(1e-12)).alias("n"))
+    return bound(both, lambda t: F.transform(t["v"], lambda x: x / t["n"]))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -37,16 +42,21 @@ def mean_pool(rows: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), width - 1), lambda i: total(F.transform(rows, lambda r: F.get(r, i).cast("double"))) / F.size(rows))
 
 
+def _shifted(logits: Column, temperature: float) -> Column:
+    """(logits - max) / temperature"""
+    both = F.struct(logits.alias("v"), F.array_max(logits).alias("m"))
+    return bound(both, lambda t: F.transform(t["v"], lambda x: (x - t["m"]) / temperature))
+
+
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp((x - top) / temperature))
-    return F.transform(e, lambda x: x / total(e))
+    e = F.transform(_shifted(logits, temperature), lambda x: F.exp(x))
+    with_sum = bound(e, lambda v: F.struct(v.alias("v"), total(v).alias("s")))
+    return bound(with_sum, lambda t: F.transform(t["v"], lambda x: x / t["s"]))
 
 
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(logits)
-    lse = F.log(total(F.transform(logits, lambda x: F.exp((x - top) / temperature))))
-    return F.transform(logits, lambda x: (x - top) / temperature - lse)
+    with_sum = bound(_shifted(logits, temperature), lambda v: F.struct(v.alias("v"), F.log(total(F.transform(v, lambda x: F.exp(x)))).alias("l")))
+    return bound(with_sum, lambda t: F.transform(t["v"], lambda x: x - t["l"]))
 
 
 def kl(p: Column, log_q: Column, log_target: bool = False) -> Column:
@@ -85,8 +95,9 @@ def find_subsequence(a: Column, b: Column) -> Column:
 
 def masked_outside(a: Column, b: Column, by: int = -100) -> Column:
     """a with all but the first b masked; as it is if b isn't there."""
-    at = find_subsequence(a, b)
-    return F.when(at.isNull(), a).otherwise(F.transform(a, lambda t, i: F.when((i >= at) & (i < at + F.size(b)), t).otherwise(by)))
+    both = F.struct(a.alias("a"), find_subsequence(a, b).alias("at"), F.size(b).alias("n"))
+    kept = lambda t: F.transform(t["a"], lambda x, i: F.when((i >= t["at"]) & (i < t["at"] + t["n"]), x).otherwise(by))
+    return bound(both, lambda t: F.when(t["at"].isNull(), t["a"]).otherwise(kept(t)))
 
 
 def restricted(scores: Column, allowed: list[int]) -> Column:
@@ -106,17 +117,20 @@ def calibrated(teacher: Column, label: Column, alpha: float = 0.8) -> Column:
     """Teacher probabilities with the label's raised and the runner-up's lowered, position by position.
 
     s = alpha / (1 - p_label + p_second), p'_label = 1 - s * (sum - p_label), p'_second = s * p_second."""
-    second = F.element_at(F.sort_array(teacher, asc=False), 2)
-    at = F.get(top_k(teacher, 2), 1)
-    p_label = F.get(teacher, label)
-    s = alpha / (1 - p_label + second)
-    return F.transform(teacher, lambda p, i: F.when(i == label, 1 - s * (total(teacher) - p_label)).when(i == at, s * p).otherwise(p))
+    parts = F.struct(
+        teacher.alias("p"), total(teacher).alias("sum"), F.get(teacher, label).alias("own"), label.alias("label"),
+        F.element_at(F.sort_array(teacher, asc=False), 2).alias("second"), F.get(top_k(teacher, 2), F.lit(1)).alias("at"),
+    )
+    scaled = lambda t: F.struct(t["p"].alias("p"), t["sum"].alias("sum"), t["own"].alias("own"), t["label"].alias("label"), t["at"].alias("at"), (alpha / (1 - t["own"] + t["second"])).alias("s"))
+    return bound(
+        bound(parts, scaled),
+        lambda t: F.transform(t["p"], lambda p, i: F.when(i == t["label"], 1 - t["s"] * (t["sum"] - t["own"])).when(i == t["at"], t["s"] * p).otherwise(p)),
+    )
 
 
 def ofa_loss(teacher: Column, log_q: Column, gamma: float = 1.0) -> Column:
     """Mean of -(1 + p_max) ** gamma * log q."""
-    top = F.array_max(teacher)
-    return total(F.transform(log_q, lambda q: -F.pow(1 + top, F.lit(gamma)) * q)) / F.size(log_q)
+    return -F.pow(1 + F.array_max(teacher), F.lit(gamma)) * total(log_q) / F.size(log_q)
 
 
 def mse(a: Column, b: Column) -> Column:
@@ -124,8 +138,7 @@ def mse(a: Column, b: Column) -> Column:
 
 
 def jsd(p: Column, q: Column) -> Column:
-    m = F.zip_with(p, q, lambda x, y: (x + y) / 2)
-    log_m = F.transform(m, F.log)
+    log_m = F.zip_with(p, q, lambda x, y: F.log((x + y) / 2))
     return (kl(p, log_m) + kl(q, log_m)) / 2
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vistaframe.functions.arrays import bound
+
 #: Absolute tolerance of the axis directions, in radians. Fixed value.
 AXIS_TOLERANCE = 0.01
 
@@ -84,8 +86,8 @@ def normalized(x: Column, y: Column, width: Column, height: Column) -> Column:
 
 def scaled_255(values: Column) -> Column:
     """Min-max to whole numbers 0 to 255, cut, not rounded; all zero if the values are all equal."""
-    low, high = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda v: F.when(high > low, F.floor((v - low) / (high - low) * 255)).otherwise(F.lit(0)).cast("int"))
+    bounds = F.struct(values.alias("v"), F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+    return bound(bounds, lambda t: F.transform(t["v"], lambda v: F.when(t["high"] > t["low"], F.floor((v - t["low"]) / (t["high"] - t["low"]) * 255)).otherwise(F.lit(0)).cast("int")))
 
 
 def scaled_16_to_8(values: Column) -> Column:

@@ -36,7 +36,8 @@ def arrow_slot(load: Callable[[], Callable[[pd.DataFrame], pd.Series]], returns:
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         model = load()
         for batch in batches:
-            yield model(pd.concat(batch, axis=1, keys=range(len(batch))))
+            parts = batch if isinstance(batch, tuple) else (batch,)
+            yield model(pd.concat(parts, axis=1, keys=range(len(parts))))
 
     return run(*columns)
 

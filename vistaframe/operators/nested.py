@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 
 TAGS = ("object", "frame", "polygon", "point", "bad")
 
-#: Follows the document in the text that is parsed: a document counts only if the parser gets to this.
-_END = "end of the document"
-
 #: Types of the payload by tag.
 PAYLOAD = {
     "object": "name STRING, is_object BOOLEAN",
@@ -36,17 +33,18 @@ PAYLOAD = {
 def parsed(doc: str | Column) -> Column:
     """VARIANT of a text that is one well-formed JSON object, else NULL.
 
-    The parser behind ``try_parse_json`` stops after the first value, so the text is parsed as the first of two elements."""
+    The parser behind ``try_parse_json`` stops after the first value, so the text is parsed as the first of two elements;
+    the second is its hash, which the text cannot hold itself. Only if the parser gets there has it read the whole text."""
     doc = F.col(doc) if isinstance(doc, str) else doc
-    whole = F.try_parse_json(F.concat(F.lit("["), doc, F.lit(f', "{_END}"]')))
-    return F.when(
-        F.try_variant_get(whole, "$[1]", "string") == _END,
-        F.when(_is_object(F.try_variant_get(whole, "$[0]", "variant")), F.try_variant_get(whole, "$[0]", "variant")),
-    )
+    mark = F.xxhash64(doc)
+    whole = F.try_parse_json(F.concat(F.lit("["), doc, F.lit(", "), mark.cast("string"), F.lit("]")))
+    first = F.try_variant_get(whole, "$[0]", "variant")
+    return F.when((F.try_variant_get(whole, "$[1]", "bigint") == mark) & _is_object(first), first)
 
 
 def _is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    """An object can be read as a struct of any fields, missing ones NULL; nothing else can."""
+    return F.try_variant_get(v, "$", "struct<`-`:variant>").isNotNull()
 
 
 def _array(v: Column, path: str) -> Column:

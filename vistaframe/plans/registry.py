@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistaframe.plans import records, scene_queries
+from vistaframe.plans import records, scene_queries, score_queries, table_queries, vector_queries
 
-MODULES = (scene_queries,)
+MODULES = (scene_queries, table_queries, score_queries, vector_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
