@@ -168,3 +168,28 @@ def test_stream_scores_each_file_once(spark, tmp_path):
     run()
     rows = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted((r["File_Name"], r["Simple_Accuracy"]) for r in rows) == [("a.parquet", 0.5), ("b.parquet", 1.0)]
+
+
+def test_small_operators(spark):
+    df = spark.createDataFrame([("s", 0, "wall"), ("s", 1, "lamp"), ("t", 0, "lamp")], "scene string, obj int, name string")
+    assert sorted(map(tuple, C.without_objects(df, "scene", "obj", df.where("name = 'wall'")).collect())) == [("s", 1, "lamp"), ("t", 0, "lamp")]
+    listing = spark.createDataFrame([("a",), ("a",)], "path string")
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "k int, p string")
+    assert [r["k"] for r in C.with_files(rows, listing, "p").collect()] == [1]
+    capped = C.capped_names(df, "name", "scene", {"lamp": 1})
+    assert sorted(map(tuple, capped.collect())) == [("s", 0, "wall"), ("s", 1, "lamp")] and C.capped_names(df, "name", "scene").count() == 3
+    two = spark.createDataFrame([(1, "x"), (2, "y")], "k int, r string")
+    assert C.zipped(rows.limit(2), two, "k").count() == 2
+    with pytest.raises(ValueError):
+        C.zipped(rows, two, "k")
+    keys = spark.range(1).select(C.keys_of(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2), F.lit("c"), F.lit(1)), F.lit(1)).alias("k")).first()[0]
+    assert sorted(keys) == ["a", "c"]
+
+
+def test_shared_folder_is_the_sessions(spark):
+    from vistaframe import session
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    df = session.cut(spark.range(10))
+    assert df.count() == 10 and df.inputFiles()[0].startswith(session.shared_folder(spark))
+    assert spark.conf.get("spark.checkpoint.dir") == (named or session.shared_folder(spark))

@@ -21,6 +21,12 @@ def cut_to(values: Column, n: Column) -> Column:
     return F.slice(values, F.lit(1), F.greatest(n, F.lit(0)))
 
 
+def points(x: Column, y: Column) -> Column:
+    """ARRAY<STRUCT<x, y>> up to the shorter list."""
+    n = common_length(x, y)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(x, i).alias("x"), F.get(y, i).alias("y")))).when(n == 0, F.expr("array()"))
+
+
 def polygon_area(x: Column, y: Column) -> Column:
     """Area by the shoelace formula over the common length; 0 with fewer than four points, NULL without arrays."""
     n = common_length(x, y)

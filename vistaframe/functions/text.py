@@ -143,6 +143,11 @@ def image_path(root: str, relative: Column, name: str = "SUNRGBD") -> Column:
     return F.concat(F.lit(f"{root}/{name}/"), F.regexp_replace(without_first(F.replace(relative, F.lit("\\"), F.lit("/")), name), "^/+", ""))
 
 
+def daquar_paths(image: Column) -> Column:
+    """STRUCT(rgb, depth) of an image id."""
+    return F.struct(F.concat(F.lit("images/"), image, F.lit(".png")).alias("rgb"), F.concat(F.lit("depth/"), image, F.lit("_depth.png")).alias("depth"))
+
+
 def relative_path(path: Column, name: str = "SUNRGBD", up: int = 2) -> Column:
     """What stands after name, without the last components."""
     parts = F.split(path, "/")

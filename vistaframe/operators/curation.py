@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vistaframe.functions import text as T
-from vistaframe.operators.ranking import sequential_ids
+from vistaframe.operators.ranking import capped, sequential_ids
 from vistaframe.session import cut
 
 REQUIRED = ("Questions", "Answers", "Image_Path", "Depth_Path", "Question_Type")
@@ -97,12 +97,36 @@ def curated(frames: Sequence[DataFrame], balance: bool = True, key: str = "Quest
     return sequential_ids(rows.withColumnRenamed(key, "_key"), ["_key"], key).drop("_key")
 
 
-def negative_object(df: DataFrame, vocabulary: list[str], scene: str, present: Column, seed: int = 42) -> Column:
-    """A word of a small vocabulary that isn't the one present, chosen by md5(scene, word)."""
-    del df
-    words = F.array(*[F.lit(w) for w in vocabulary])
-    keyed = F.transform(F.filter(words, lambda w: ~w.eqNullSafe(present)), lambda w: F.struct(F.md5(F.concat_ws("|", F.col(scene).cast("string"), w, F.lit(str(seed)))).alias("k"), w.alias("w")))
-    return F.array_min(keyed)["w"]
+def without_objects(df: DataFrame, scene: str, obj: str, unwanted: DataFrame) -> DataFrame:
+    """Objects or polygons without those of the unwanted (scene, object) ids; the ids of the others stay as they are."""
+    return df.join(unwanted.select(scene, obj).distinct(), [scene, obj], "left_anti")
+
+
+def with_files(df: DataFrame, listing: DataFrame, column: str, path: str = "path") -> DataFrame:
+    """Rows whose file is not NULL and is in the listing."""
+    return df.where(F.col(column).isNotNull()).join(listing.select(F.col(path).alias(column)).distinct(), column, "left_semi")
+
+
+def zipped(predictions: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """Predictions with their references by key; an error if there are not as many of the one as of the other."""
+    a, b = predictions.count(), references.count()
+    if a != b:
+        raise ValueError(f"{a} predictions and {b} references")
+    return predictions.join(references, key)
+
+
+def capped_names(df: DataFrame, name: str, order: str, caps: dict[str, int] | None = None) -> DataFrame:
+    """At most so many rows of each named object. The reference's caps never take effect, so there are none by default."""
+    out = df
+    for word, most in (caps or {}).items():
+        hit = F.coalesce(F.lower(F.col(name)) == word, F.lit(False))
+        out = out.where(~hit).unionByName(capped(out.where(hit), [name], [order], most))
+    return out
+
+
+def keys_of(pairs: Column, value: Column) -> Column:
+    """Keys of a map that hold a value."""
+    return F.map_keys(F.map_filter(pairs, lambda _, v: v.eqNullSafe(value)))
 
 
 def casefold_distinct(df: DataFrame, column: str) -> DataFrame:

@@ -57,7 +57,6 @@ def depth_channels(flat: Column, width: int, imagenet: bool = False) -> Column:
     return run(flat)
 
 
-def grey_channels(values: Column, scaled: Column) -> Column:
+def grey_channels(scaled: Column) -> Column:
     """One scaled channel three times."""
-    del values
     return F.array(scaled, scaled, scaled)

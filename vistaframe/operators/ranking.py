@@ -22,14 +22,12 @@ def sequential_ids(df: DataFrame, order: Sequence[Column | str], name: str, firs
     part = F.spark_partition_id()
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     sorted_ = cut(df.orderBy(*order).select("*", part.alias("_part"), place.alias("_place")), "ids")
-    counts = sorted(sorted_.groupBy("_part").count().collect())
-    offsets, at = [], first
-    for p, n in counts:
-        offsets.append(F.lit(at).cast("long"))
+    counts = sorted(map(tuple, sorted_.groupBy("_part").count().collect()))  # one row for each partition
+    starts, at = [], first
+    for part_id, n in counts:
+        starts.append((part_id, at))
         at += n
-    if not offsets:
-        return sorted_.drop("_part", "_place").withColumn(name, F.lit(None).cast("long"))
-    table = df.sparkSession.createDataFrame([(p, first + sum(n for _, n in counts[:i])) for i, (p, n) in enumerate(counts)], "_part int, _offset long")
+    table = df.sparkSession.createDataFrame(starts, "_part int, _offset long")
     joined = sorted_.join(F.broadcast(table), "_part")
     return joined.withColumn(name, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
 

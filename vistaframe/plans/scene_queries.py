@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vistaframe.functions import geometry as G
 from vistaframe.functions.text import is_stop_name
 from vistaframe.operators import scenes as S
+from vistaframe.operators.curation import without_objects
 from vistaframe.plans import questions as Q
 from vistaframe.plans.catalogue import Catalogue
 from vistaframe.sources.tables import once, table
@@ -245,3 +246,16 @@ def qa_failed(spark: SparkSession, folder: str) -> DataFrame:
 def qa_numbered(spark: SparkSession, folder: str) -> DataFrame:
     """Ids over the scenes that a question was made for."""
     return Q.numbered(Q.object_identification(spark, folder)).select(ID, "IDs")
+
+
+@catalogue("without_walls", SCENES + " SELECT annotation_id, object_idx, name FROM named WHERE NOT coalesce(contains(lower(name), 'wal') OR contains(lower(name), 'flor') OR contains(lower(name), 'floor') OR contains(lower(name), 'ceiling'), false)")
+def without_walls(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects without the unwanted ones; the others keep their ids, so that polygons still find them."""
+    rows = _scenes(spark, folder).select(ID, F.posexplode("names").alias("object_idx", "name")).distinct()
+    return without_objects(rows, ID, "object_idx", rows.where(is_stop_name(F.col("name"))))
+
+
+@catalogue("polygon_points", SCENES + " SELECT count(*) AS points, sum(x[i])::BIGINT AS sum_x, sum(y[i])::BIGINT AS sum_y FROM (SELECT x, y, unnest(range(1, n + 1)) AS i FROM measured)")
+def polygon_points(spark: SparkSession, folder: str) -> DataFrame:
+    rows = once(_scenes(spark, folder).select(ID, "polygons"), ID).select(F.inline("polygons")).select(F.inline(G.points(F.col("x"), F.col("y"))).alias("px", "py"))
+    return rows.agg(F.count("*").alias("points"), F.sum("px").cast("long").alias("sum_x"), F.sum("py").cast("long").alias("sum_y"))

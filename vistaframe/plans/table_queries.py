@@ -13,7 +13,7 @@ from vistaframe.operators import curation as C
 from vistaframe.operators import ranking as R
 from vistaframe.operators import vocab as V
 from vistaframe.plans.catalogue import Catalogue
-from vistaframe.sources.files import best_checkpoint
+from vistaframe.sources.files import best_checkpoint, first_rows, flatten_cells
 from vistaframe.sources.tables import table
 
 catalogue = Catalogue()
@@ -404,3 +404,35 @@ def pad_batches(spark: SparkSession, folder: str) -> DataFrame:
     wide = b.groupBy("batch_id").agg(F.count("*").alias("n"), F.max(size).alias("width"), F.sum(size.cast("long")).alias("filled"))
     return wide.select("batch_id", "n", "width", (F.col("n") * F.col("width") - F.col("filled")).alias("padding"))
 
+
+
+@catalogue("rows_with_files", "SELECT DISTINCT Question_Id FROM val_dataset WHERE Image_Path IS NOT NULL AND Image_Path IN (SELECT rgb_path FROM scene)")
+def rows_with_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose picture is there: the scenes stand for the listing of files."""
+    rows = table(spark, folder, "val_dataset", [KEY, "Image_Path"])
+    return C.with_files(rows, table(spark, folder, "scene", ["rgb_path"]), "Image_Path", "rgb_path").select(KEY).distinct()
+
+
+@catalogue("max_rows_of_split", "SELECT split, scene_idx FROM (SELECT split, scene_idx, row_number() OVER (PARTITION BY split ORDER BY scene_idx) AS r FROM (SELECT DISTINCT split, scene_idx FROM scene)) WHERE r <= 40")
+def max_rows_of_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 40 scenes of each split; the number is the feature."""
+    return first_rows(table(spark, folder, "scene", ["split", "scene_idx"]).distinct(), "split", "scene_idx", 40)
+
+
+@catalogue("sheet_cells", "SELECT item, count(*) AS n FROM (SELECT combined_word AS item FROM combined_word_map UNION ALL SELECT separated_word FROM combined_word_map) GROUP BY 1")
+def sheet_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """All cells of a sheet as one list."""
+    return flatten_cells(table(spark, folder, "combined_word_map")).groupBy("item").agg(F.count("*").alias("n"))
+
+
+@catalogue("daquar_paths", "SELECT scene_idx, 'images/' || scene_idx || '.png' AS rgb, 'depth/' || scene_idx || '_depth.png' AS depth FROM (SELECT DISTINCT scene_idx FROM scene)")
+def daquar_paths(spark: SparkSession, folder: str) -> DataFrame:
+    ids = table(spark, folder, "scene", ["scene_idx"]).distinct()
+    return ids.select("scene_idx", T.daquar_paths(F.col("scene_idx").cast("string")).alias("p")).select("scene_idx", "p.rgb", "p.depth")
+
+
+@catalogue("rare_cap", "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY 1 UNION ALL SELECT 'click', least(25, count(*)) FROM events WHERE event_type = 'click' HAVING count(*) > 0")
+def rare_cap(spark: SparkSession, folder: str) -> DataFrame:
+    """Caps for named kinds; the cap is the feature, and off by default."""
+    rows = C.capped_names(table(spark, folder, "events", ["event_id", "event_type"]), "event_type", "event_id", {"click": 25})
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"))

@@ -54,3 +54,10 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = f"{shared_folder(spark)}/vistaframe/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes what ``cut`` has written to the shared folder. Frames that read it are of no use afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/vistaframe")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
