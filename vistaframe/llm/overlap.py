@@ -112,6 +112,27 @@ def _misspelt(bare: Column) -> Column:
     )
 
 
+#: The usual wordings as (start, end, kind): told by their first and last words, before any pattern is tried. Fixed values.
+_USUAL = [
+    ("what is the color of the ", "", "color"), ("what is closest to the ", "", "closest"), ("what is farthest to the ", "", "farthest"),
+    ("how many ", "s are there", "count"), ("is there any ", "", "any"), ("is there no ", "", "no"),
+]
+
+
+def _usual(bare: Column) -> Column:
+    """The key of a question in one of the usual wordings, else NULL."""
+    key = F.when(bare == "what is the most prominent object", "prominent")
+    for start, end, kind in _USUAL:
+        asked = bare.startswith(start) & bare.endswith(end) if end else bare.startswith(start)
+        name = F.substring(bare, F.lit(len(start) + 1), F.length(bare) - (len(start) + len(end)))
+        key = key.when(asked & (F.length(bare) > len(start) + len(end)), F.concat(F.lit(f"{kind}|"), name))
+    where, relative = F.substring(bare, F.lit(10), F.length(bare)), " relative to "
+    parts = F.split(where, relative)
+    two = F.when(F.size(parts) == 2, F.concat(F.lit("relative|"), F.get(parts, F.lit(0)), F.lit("|"), F.get(parts, F.lit(1))))
+    plain = bare.startswith("where is ") & ~where.startswith("the ") & ~where.contains(" the ")
+    return key.when(plain & where.contains(relative), two).when(plain & ~where.contains(" to "), F.concat(F.lit("where|"), where))
+
+
 def question_key(bare: Column) -> Column:
     """Kind of the question and its objects in their roles; NULL if there is nothing to ask. Takes ``bare_question``."""
     key = None
@@ -119,7 +140,7 @@ def question_key(bare: Column) -> Column:
         value = F.lit(kind) if not roles else F.concat_ws("|", F.lit(kind), *[F.regexp_extract(bare, pattern, r + 1) for r in range(roles)])
         key = F.when(bare.rlike(pattern), value) if key is None else key.when(bare.rlike(pattern), value)
     key = key.when(bare.rlike("^where is ") & ~bare.contains(" to "), F.concat(F.lit("where|"), F.regexp_extract(bare, r"^where is (?:the )?(.+)$", 1)))
-    return F.when(bare != "", key.otherwise(F.coalesce(_misspelt(bare), F.concat(F.lit("text|"), bare))))
+    return F.when(bare != "", F.coalesce(_usual(bare), key, _misspelt(bare), F.concat(F.lit("text|"), bare)))
 
 
 def picture_key(path: Column) -> Column:
@@ -134,11 +155,14 @@ def source_of(picture: Column) -> Column:
 
 
 def hashes(df: DataFrame, id_col: str = "Question_Id", question: str = "Questions", path: str = "Image_Path") -> DataFrame:
-    """(id, h1, h2, source) of the records that have a key, each once."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), bare_question(F.col(f"`{question}`")).alias("bare"), picture_key(F.col(f"`{path}`")).alias("picture"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("bare").isNotNull() & F.col("picture").isNotNull())
-    rows = rows.select("id", question_key(F.col("bare")).alias("asked"), "picture").where(F.col("asked").isNotNull())
-    hashed = rows.select("id", F.xxhash64("picture", "asked").alias("h1"), F.xxhash64("asked", F.lit(7), "picture").alias("h2"), source_of(F.col("picture")).alias("source"))
+    """(id, h1, h2, source) of the records with a path and a question, each once."""
+    q, p = F.col(f"`{question}`"), F.col(f"`{path}`")
+    rows = df.where(F.col(f"`{id_col}`").isNotNull() & q.isNotNull() & p.isNotNull())
+    rows = rows.select(F.col(f"`{id_col}`").alias("id"), bare_question(q).alias("bare"), picture_key(p).alias("picture"))
+    # a filter on the key would compute it twice, so a record without one gets a key that no other record has
+    own = F.concat(F.lit("none|"), F.col("id").cast("string"))
+    keyed = rows.select("id", F.coalesce(question_key(F.col("bare")), own).alias("asked"), F.coalesce("picture", own).alias("picture"))
+    hashed = keyed.select("id", F.xxhash64("picture", "asked").alias("h1"), F.xxhash64("asked", F.lit(7), "picture").alias("h2"), source_of(F.col("picture")).alias("source"))
     return hashed.distinct()
 
 
@@ -155,7 +179,7 @@ def overlapping_pairs(train: DataFrame, evals: DataFrame, **columns: str) -> Dat
 
 
 def overlap_counts(train: DataFrame, evals: dict[str, DataFrame], **columns: str) -> DataFrame:
-    """(split, source, records, overlapping, pairs): records with a key, those that occur in train, and their pairs."""
+    """(split, source, records, overlapping, pairs): records with a path and a question, those that occur in train, and their pairs."""
     t = hashes(train, **columns).groupBy("h1", "h2").agg(F.count("*").alias("n_train"))
     parts = [hashes(df, **columns).withColumn("split", F.lit(split)) for split, df in evals.items()]
     e = reduce(DataFrame.unionAll, parts).groupBy("split", "source", "h1", "h2").agg(F.count("*").alias("n"))
