@@ -17,6 +17,8 @@ Defined cases
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -199,11 +201,10 @@ def _has(form: Column, patterns: list[str]) -> Column:
 
 
 def _latin(form: Column) -> Column:
-    lowered = F.lower(form)
-    cue = lowered.contains(_LATIN_CUE[0])
-    for w in _LATIN_CUE[1:]:
-        cue = cue | lowered.contains(w)
-    return cue & form.rlike("(?iu)" + LATIN)
+    def cue(lowered: Column) -> Column:
+        return reduce(lambda x, y: x | y, [lowered.contains(w) for w in _LATIN_CUE])
+
+    return F.exists(F.array(F.lower(form)), cue) & form.rlike("(?iu)" + LATIN)
 
 
 def _spoken(form: Column) -> Column:
