@@ -25,6 +25,7 @@ def keys(spark, texts):
         ("How mnay night stands are theer in the picture?", "count|night stand"), ("how many slipperss are there", "count|slippers"), ("Please answer: Whta is the most prmoinnt object", "prominent"),
         ("What is furthest to the lamp here?", "farthest|lamp"), ("What is closset to lamp", "closest|lamp"), ("Where's floor lamp relatvie to café chair.", "relative|floor lamp|café chair"),
         ("where is lamp", "where|lamp"), ("Wheer is papier-mâché mask?", "where|papier mâché mask"), ("Is tehre any box", "any|box"), ("Is there no box", "no|box"), ("is thee no box?", "no|box"),
+        ("Whee is door mat relative to kettle", "relative|door mat|kettle"), ("Whaat is closest to door?", "closest|door"), ("Whre is door?", "where|door"),
         ("Why is the wall white?", "text|why is the wall white"), ("?!", None), ("", None), (None, None),
     ],
 )

@@ -80,15 +80,16 @@ def _misspelt(bare: Column) -> Column:
             i = i + F.when(F.get(w, i) == s, 1).otherwise(0)
         return F.array_join(F.slice(w, i + 1, F.greatest(n - i, F.lit(0))), " ")
 
-    def keyword(targets: list[str], most: int) -> Column:
-        """Where a keyword stands among the second to the fifth word; NULL if nowhere."""
-        return reduce(lambda later, i: F.when(_any_like(at(i), targets, most), i).otherwise(later), [4, 3, 2, 1], F.lit(None).cast("int"))
+    def keyword(targets: list[str], most: int, *follows: str) -> Column:
+        """Where a keyword, and what must follow it, stands among the second to the fifth word; NULL if nowhere."""
+        there = lambda i: _any_like(at(i), targets, most) & (F.coalesce(at(i + 1).isin(*follows), F.lit(False)) if follows else F.lit(True))
+        return reduce(lambda later, i: F.when(there(i), i).otherwise(later), [4, 3, 2, 1], F.lit(None).cast("int"))
 
     none = F.lit(None).cast("string")
     what = _like(at(0), "what", 2) | _like(at(0), "whats", 2)
     after_is = F.when(at(1).isin("is", "s"), 2).otherwise(1)
-    k_color, k_close = keyword(["color", "colour"], 2), keyword(["closest"], 3)
-    k_far, k_prominent = keyword(["farthest", "furthest"], 3), keyword(["prominent"], 4)
+    k_color, k_close = keyword(["color", "colour"], 2, "of"), keyword(["closest"], 3, "to")
+    k_far, k_prominent = keyword(["farthest", "furthest"], 3, "to", "from"), keyword(["prominent"], 4)
     relative = F.array_position(F.transform(w, lambda x, i: _like(x, "relative", 3) & (F.get(w, i + 1) == "to") & (i > 0)), True)
     first = after_is + F.when(F.get(w, after_is) == "the", 1).otherwise(0)
     any_closer = F.levenshtein(at(2), F.lit("any")) - F.levenshtein(at(2), F.lit("no"))
@@ -97,8 +98,8 @@ def _misspelt(bare: Column) -> Column:
         F.when(_like(at(0), "how", 1) & _like(at(1), "many", 2) & (n > 4) & _like(at(n - 1), "there", 2), F.concat(F.lit("count|"), F.regexp_replace(counted, "s$", "")))
         .when(what & k_prominent.isNotNull() & (k_prominent + 2 == n), F.lit("prominent"))
         .when(what & k_color.isNotNull() & (k_color >= after_is), F.concat(F.lit("color|"), rest(k_color + 1, "of", "the")))
-        .when(what & k_close.isNotNull() & (F.get(w, k_close + 1) == "to"), F.concat(F.lit("closest|"), rest(k_close + 1, "to", "the")))
-        .when(what & k_far.isNotNull() & F.get(w, k_far + 1).isin("to", "from"), F.concat(F.lit("farthest|"), rest(k_far + 1, "to", "from", "the")))
+        .when(what & k_close.isNotNull(), F.concat(F.lit("closest|"), rest(k_close + 1, "to", "the")))
+        .when(what & k_far.isNotNull(), F.concat(F.lit("farthest|"), rest(k_far + 1, "to", "from", "the")))
         .when(
             (_like(at(0), "where", 2) | _like(at(0), "wheres", 2)) & (relative > 0),
             F.concat(F.lit("relative|"), F.array_join(F.slice(w, first + 1, F.greatest((relative - 1 - first).cast("int"), F.lit(0))), " "), F.lit("|"), rest((relative + 1).cast("int"), "the")),
