@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +39,25 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each Spark application: needed where it isn't installed on them."""
+    context = spark.sparkContext
+    if getattr(context, "_vistaframe_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="vistaframe-")  # on the driver, which serves the file as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "vistaframe_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.join("vistaframe", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    context._vistaframe_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the one the session names in spark.checkpoint.dir, else (tests only) a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
