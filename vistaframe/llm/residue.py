@@ -94,20 +94,27 @@ LATIN = rf"(?:\b(?:{_LATIN})\b[\s,.]*){{6}}"
 
 
 def _runs() -> str:
-    """Three and more neighbouring keys of a keyboard row."""
-    rows = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-    found = {r[i:j] for r in rows for i in range(len(r)) for j in range(i + 3, len(r) + 1)}
-    return "|".join(sorted(found, key=lambda x: (-len(x), x)))
+    """Three and more neighbouring keys of a keyboard row, as long as it goes: one alternative for each first key."""
+
+    def from_(row: str, i: int) -> str:
+        tail = ""
+        for c in reversed(row[i + 3 :]):
+            tail = f"(?:{c}{tail})?"
+        return row[i : i + 3] + tail
+
+    return "|".join(from_(r, i) for r in ("qwertyuiop", "asdfghjkl", "zxcvbnm") for i in range(len(r) - 2))
 
 
 _KEYS = rf"(?>(?:{_runs()}){{1,12}}+[a-z]{{0,2}}|a{{2,40}}+|x{{3,40}}+|(?:kj){{1,20}}+k?|(?:jk){{1,20}}+j?l?)"
 MASHED = rf"(?:^|\s)(?:{_KEYS}\W{{1,3}}){{3}}{_KEYS}(?:\W|$)|^(?:(?:{_runs()}){{2,12}}+|(?:{_KEYS}\W{{0,3}}){{2,8}})$"
 _W = r"\p{L}{2,12}"
-#: One to four words, four times over, or three times and nothing else.
-REPEATED = "|".join(
-    rf"(?<!\p{{L}})({_W}{(' ' + _W) * k}+)(?:[ ,]{{1,3}}\{2 * k + 1}){{3}}(?!\p{{L}})|^({_W}{(' ' + _W) * k}+)(?:[ ,]{{1,3}}\{2 * k + 2}){{2}}\W*$"
-    for k in range(4)
-)
+_GAP = r"[ ,]{1,3}"
+#: A word that comes four times with no more than three words between: what four equal phrases of up to four words always hold.
+_AGAIN = rf"(?<!\p{{L}})({_W})" + rf"{_GAP}(?:{_W}{_GAP}){{0,3}}?\1" * 3
+#: One to four words, four times over.
+FOUR_TIMES = "|".join(rf"(?<!\p{{L}})({_W}{(' ' + _W) * k}+)(?:{_GAP}\{k + 1}){{3}}(?!\p{{L}})" for k in range(4))
+#: One to four words, three times, and nothing else.
+ONLY_REPEATED = "|".join(rf"^({_W}{(' ' + _W) * k}+)(?:{_GAP}\{k + 1}){{2}}\W*$" for k in range(4))
 
 #: Reasons that follow a status code. Fixed values.
 _REASONS = (
@@ -207,6 +214,10 @@ def _latin(form: Column) -> Column:
     return F.exists(F.array(F.lower(form)), cue) & form.rlike("(?iu)" + LATIN)
 
 
+def _repeated(form: Column) -> Column:
+    return (form.rlike(_AGAIN) & form.rlike(FOUR_TIMES)) | form.rlike(ONLY_REPEATED)
+
+
 def _spoken(form: Column) -> Column:
     """True if a sentence may be one of the phrases: rules that are anchored at its start, then those that search it."""
     return (
@@ -214,7 +225,7 @@ def _spoken(form: Column) -> Column:
         | _has(form, FILLER)
         | _has(form, [*SHAPES, STATUS])
         | _latin(form)
-        | form.rlike(REPEATED)
+        | _repeated(form)
         | form.rlike(MASHED)
     )
 
@@ -224,7 +235,8 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     the slots; view 1 is without quoted spans, for the phrases."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S"))
-    lines = rows.select("id", "source", F.explode(F.split("text", r"\r\n?|[\n\x0b\x0c\x85\u2028\u2029]")).alias("line"))
+    # outer generators: of the others Spark computes the arrays twice, once to leave out rows whose array is empty
+    lines = rows.select("id", "source", F.explode_outer(F.split("text", r"\r\n?|[\n\x0b\x0c\x85\u2028\u2029]")).alias("line"))
     shaped = F.col("line").rlike("|".join(["(?iu)<error>", r"\{\s*\"(?:error|status|code)\"\s*:"]))
     code = F.regexp_replace("line", _TICKS, " ")
     views = F.concat(
@@ -233,7 +245,7 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
             F.transform(F.filter(F.transform(_sentences(F.regexp_replace(code, _QUOTES, " ' ")), F.trim), _spoken), lambda s: F.struct(F.lit(1).alias("view"), masked(s).alias("form")))
         ),
     )
-    return lines.select("id", "source", F.inline(views))
+    return lines.select("id", "source", F.inline_outer(views)).where(F.col("form").isNotNull())
 
 
 def classified(form: Column, view: Column, texts: Column, sources: Column) -> Column:
@@ -241,7 +253,7 @@ def classified(form: Column, view: Column, texts: Column, sources: Column) -> Co
 
     wide = (texts >= WIDE_TEXTS) & (sources >= WIDE_SOURCES)
     spoken = (
-        F.when(_has(form, FILLER) | _latin(form) | form.rlike(MASHED) | form.rlike(REPEATED), "filler")
+        F.when(_has(form, FILLER) | _latin(form) | form.rlike(MASHED) | _repeated(form), "filler")
         .when(_starts(form, SCRIPTS), "script")
         .when(_has(form, [*SHAPES, STATUS]) | _starts(form, MESSAGES), "error")
         .when(wide & _starts(form, WEAK), "error")
