@@ -194,8 +194,9 @@ def term_counts(records: list[DataFrame], rows: int = SPILL_ROWS, bits: int = BI
         F.flatten(F.transform("values", lambda v: F.transform(F.regexp_extract_all(v, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: row("word", w)))),
     )
     clean = all_rows.select("field", "record_id", values.alias("values")).where(F.size("values") > 0)
+    # (no record here is without terms; an outer generator spares Spark the array's second computation)
     # a record is one row, so its terms are counted where it is: Spark keeps the partitioning of the repeats' removal
-    in_record = clean.select("field", "record_id", F.inline(terms)).groupBy("field", "record_id", "unit", "term").agg(F.count("*").alias("occurrences"))
+    in_record = clean.select("field", "record_id", F.inline_outer(terms)).groupBy("field", "record_id", "unit", "term").agg(F.count("*").alias("occurrences"))
     hashed = in_record.select(F.xxhash64("field", "unit", "term").alias("hash"), "field", "unit", "term", "occurrences", F.lit(1).cast("long").alias("records"))
     combined = hashed.mapInArrow(_combine(_local(shared)), SCHEMA)
     used = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
