@@ -76,7 +76,7 @@ def object_names(df: DataFrame, id_col: str = "annotation_id", doc_col: str = "d
         F.transform(_array(F.col("v"), "$.objects"), lambda o, i: F.struct(i.alias("object_idx"), object_name(o).alias("name"))),
         lambda s: s["name"].isNotNull(),
     )
-    return doc.select(id_col, F.inline(named))
+    return doc.select(id_col, F.inline_outer(named)).where(F.col("name").isNotNull())
 
 
 def emit(df: DataFrame, id_col: str = "annotation_id", doc_col: str = "doc", payload: bool = True) -> DataFrame:
@@ -130,7 +130,8 @@ def emit(df: DataFrame, id_col: str = "annotation_id", doc_col: str = "doc", pay
     bad_row = F.array(row("bad", minus, minus, minus, None, F.to_json(F.struct(F.length("text").alias("n_chars"))) if payload else None))
     rows = F.when(doc.isNull(), bad_row.cast(sample)).otherwise(F.concat(F.coalesce(object_rows.cast(sample), none), F.coalesce(frame_rows.cast(sample), none)))
     source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{doc_col}`").alias("text")).select("id", "text", parsed("text").alias("doc"))
-    out = source.select("id", F.inline(rows)).withColumnRenamed("id", id_col)
+    # an outer generator: of others Spark computes the array twice, once to leave out rows whose array is empty
+    out = source.select("id", F.inline_outer(rows)).where(F.col("part_kind").isNotNull()).withColumnRenamed("id", id_col)
     return out.select("part_kind", id_col, "frame_idx", "polygon_idx", "child_idx", *(["parent_key", "payload"] if payload else []))
 
 

@@ -125,7 +125,7 @@ def neighbours(df: DataFrame, id_col: str = "annotation_id") -> DataFrame:
     """(<id>, object_idx, closest, farthest) of every placed object of a scene, within the scene's row."""
     spots = with_placed(df).select(id_col, "spots")
     pairs = F.transform("spots", lambda o: F.struct(o["obj"].alias("object_idx"), nearest(F.col("spots"), o)["obj"].alias("closest"), nearest(F.col("spots"), o, True)["obj"].alias("farthest")))
-    return spots.select(id_col, F.inline(pairs))
+    return spots.select(id_col, F.inline_outer(pairs)).where(F.col("object_idx").isNotNull())
 
 
 def name_by_id(df: DataFrame, id_col: str = "annotation_id", doc_col: str = "doc") -> DataFrame:
@@ -135,5 +135,5 @@ def name_by_id(df: DataFrame, id_col: str = "annotation_id", doc_col: str = "doc
     polygons = F.flatten(F.transform(frames, lambda f: F.coalesce(F.try_variant_get(f, "$.polygon", "array<variant>"), F.expr("array()").cast("array<variant>"))))
     refs = F.array_distinct(F.filter(F.transform(polygons, lambda p: F.try_variant_get(p, "$.object", "int")), lambda o: o >= 0))
     objects = F.try_variant_get("v", "$.objects", "array<variant>")
-    rows = source.select(id_col, objects.alias("objects"), F.explode(refs).alias("object_idx"))
+    rows = source.select(id_col, objects.alias("objects"), F.explode_outer(refs).alias("object_idx"))
     return rows.select(id_col, "object_idx", object_name(F.get("objects", F.col("object_idx"))).alias("name")).where(F.col("name").isNotNull())
