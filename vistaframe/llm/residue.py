@@ -82,7 +82,7 @@ FILLER = [
     r"^(?:hier steht (?:später|bald) (?:der|die|das) \p{L}+|blindtext(?:, bitte ersetzen)?|(?:text|beschreibung) folgt(?: noch)?|platzhaltertext)\W*$",
     r"^(?:(?:la|le) (?:description|texte|légende) viendra ici|texte à remplacer|texte de remplissage|description à venir)\W*$",
     r"^(?:aquí va (?:la|el) \p{L}+|texto de (?:relleno|prueba|ejemplo)|descripción pendiente)\W*$",
-    r"(?:type something\W+){2,}|^(?:type something\W*)+$",
+    r"^type something(?:\W+type something|\W*$)",
 ]
 _LATIN = (
     "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|et|labore|dolore|magna|aliqua|"
@@ -114,7 +114,7 @@ _AGAIN = rf"(?<!\p{{L}})({_W})" + rf"{_GAP}(?:{_W}{_GAP}){{0,3}}?\1" * 3
 #: One to four words, four times over.
 FOUR_TIMES = "|".join(rf"(?<!\p{{L}})({_W}{(' ' + _W) * k}+)(?:{_GAP}\{k + 1}){{3}}(?!\p{{L}})" for k in range(4))
 #: One to four words, three times, and nothing else.
-ONLY_REPEATED = "|".join(rf"^({_W}{(' ' + _W) * k}+)(?:{_GAP}\{k + 1}){{2}}\W*$" for k in range(4))
+ONLY_REPEATED = "^(?:" + "|".join(rf"({_W}{(' ' + _W) * k}+)(?:{_GAP}\{k + 1}){{2}}\W*$" for k in range(4)) + ")"
 
 #: Reasons that follow a status code. Fixed values.
 _REASONS = (
@@ -207,6 +207,11 @@ def _has(form: Column, patterns: list[str]) -> Column:
     return form.rlike(f"(?iu)(?:{'|'.join(patterns)})")
 
 
+def _filler(form: Column) -> Column:
+    """All stock sentences begin where the sentence does, so the pattern is anchored once."""
+    return form.rlike(f"(?iu)^(?:{'|'.join(f.removeprefix('^') for f in FILLER)})")
+
+
 def _latin(form: Column) -> Column:
     def cue(lowered: Column) -> Column:
         return reduce(lambda x, y: x | y, [lowered.contains(w) for w in _LATIN_CUE])
@@ -222,7 +227,7 @@ def _spoken(form: Column) -> Column:
     """True if a sentence may be one of the phrases: rules that are anchored at its start, then those that search it."""
     return (
         _starts(form, [*SCRIPTS, *MESSAGES, *WEAK])
-        | _has(form, FILLER)
+        | _filler(form)
         | _has(form, [*SHAPES, STATUS])
         | _latin(form)
         | _repeated(form)
@@ -253,7 +258,7 @@ def classified(form: Column, view: Column, texts: Column, sources: Column) -> Co
 
     wide = (texts >= WIDE_TEXTS) & (sources >= WIDE_SOURCES)
     spoken = (
-        F.when(_has(form, FILLER) | _latin(form) | form.rlike(MASHED) | _repeated(form), "filler")
+        F.when(_filler(form) | _latin(form) | form.rlike(MASHED) | _repeated(form), "filler")
         .when(_starts(form, SCRIPTS), "script")
         .when(_has(form, [*SHAPES, STATUS]) | _starts(form, MESSAGES), "error")
         .when(wide & _starts(form, WEAK), "error")
