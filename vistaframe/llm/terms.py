@@ -170,7 +170,7 @@ def names_of(annotation: DataFrame, field: str = "annotation.name", id_col: str
     annotation.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     objects = F.try_variant_get(parsed(F.col(f"`{doc_col}`")), "$.objects", "array<variant>")
     rows = annotation.select(F.col(f"`{id_col}`").alias("record_id"), F.filter(F.transform(objects, object_name), lambda n: n.isNotNull()).alias("values"))
-    return rows.where(F.size("values") > 0).distinct().select(F.lit(field).alias("field"), "record_id", "values")
+    return rows.distinct().select(F.lit(field).alias("field"), "record_id", "values")
 
 
 def values_of(df: DataFrame, field: str, id_col: str, value_col: str, missing: Iterable[str] = ()) -> DataFrame:
@@ -188,15 +188,15 @@ def term_counts(records: list[DataFrame], rows: int = SPILL_ROWS, bits: int = BI
     all_rows = reduce(DataFrame.unionAll, records).where(F.col("record_id").isNotNull())
     values = F.filter(F.transform("values", lambda v: strip(F.lower(v))), lambda v: v.isNotNull() & (v != ""))
     row = lambda unit, term: F.struct(F.lit(unit).alias("unit"), term.alias("term"))
-    terms = F.concat(
+    # a filter on the values would parse the documents twice; a record without any has no terms instead
+    terms = F.when(F.size("values") > 0, F.concat(
         F.array(row("all", F.lit(""))),
         F.transform("values", lambda v: row("value", v)),
         F.flatten(F.transform("values", lambda v: F.transform(F.regexp_extract_all(v, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: row("word", w)))),
-    )
-    clean = all_rows.select("field", "record_id", values.alias("values")).where(F.size("values") > 0)
-    # (no record here is without terms; an outer generator spares Spark the array's second computation)
+    ))
+    clean = all_rows.select("field", "record_id", values.alias("values"))
     # a record is one row, so its terms are counted where it is: Spark keeps the partitioning of the repeats' removal
-    in_record = clean.select("field", "record_id", F.inline_outer(terms)).groupBy("field", "record_id", "unit", "term").agg(F.count("*").alias("occurrences"))
+    in_record = clean.select("field", "record_id", F.inline_outer(terms)).where(F.col("unit").isNotNull()).groupBy("field", "record_id", "unit", "term").agg(F.count("*").alias("occurrences"))
     hashed = in_record.select(F.xxhash64("field", "unit", "term").alias("hash"), "field", "unit", "term", "occurrences", F.lit(1).cast("long").alias("records"))
     combined = hashed.mapInArrow(_combine(_local(shared)), SCHEMA)
     used = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
