@@ -46,4 +46,5 @@ def numbers_to_words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    """Words between white space, which is that of Unicode and the four separators of ASCII."""
+    return F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
