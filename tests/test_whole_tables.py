@@ -1,10 +1,13 @@
 """Queries read their whole tables: rows that SQL's regular expressions or number formats would leave out."""
 
 import glob
+import hashlib
 import os
+import re
 
 import pytest
 
+from vistaframe.functions import text as T
 from vistaframe.plans import registry
 
 FOLDER = os.environ.get("SQL_TEST_DIR", "/root/testdata/sf0.001")
@@ -30,8 +33,61 @@ def test_after_marker_reads_every_text(ran):
     assert got == {0: "ein stück, three wände", 1: "él mide twelve m", 2: "seven", 3: "plain text", 4: ""}
 
 
+ROWS = [
+    (1, "Is there any café hair?", "yes", "é.jpg", "Yes/No"), (2, "Is there any red étagère?", "Yes", "a.jpg", "Yes/No"), (3, "Is there no lamp？", "no", "b.jpg", "Yes/No"), (4, "Is there no ALL?", "NO", "b.jpg", "Yes/No"),
+    (5, "What’s closest to the wáll?", "grey touchs", "c.jpg", "Closest"), (6, "Is étéhair there?", "éall", "d.jpg", "Closest"), (7, "Ïs all of it ots?", "mind fridge", "d.jpg", "Closest"), (8, "What – wall12?", "ß", "é.jpg", "Closest"),
+    (9, "Où, so far?", "I think", "f.jpg", "Closest"), (10, None, "cháir", "a.jpg", None), (11, "Is it red？", None, None, "Yes/No"), (12, "lámp", "all", "é.jpg", "Closest"),
+]
+
+
+def fixed(text, *repairs):
+    for word, by in [*repairs, *T.REPAIRS] if text is not None else []:
+        text = re.sub(rf"\b{word}\b", by, text, flags=re.I)
+    return text
+
+
+def qa(rows):
+    return [(i, i, q, a, image, None, kind) for i, q, a, image, kind in rows], QA
+
+
+REPAIRED = [(i, fixed(q, *T.QUESTION_REPAIRS), fixed(a, ("grey", "gray"), *T.ANSWER_REPAIRS), image, kind) for i, q, a, image, kind in ROWS]
+
+
+def says(pattern, *texts):
+    return any(re.search(pattern, t, re.I) for t in texts if t is not None)
+
+
+NOISE = r"wall\d+|^i think$"
+
+
+def test_repairs_read_every_row(ran):
+    got = ran("regex_repair", train_dataset=qa(ROWS[:4]), val_dataset=qa(ROWS[4:8]), test_dataset=qa(ROWS[8:]))
+    md5 = lambda q: None if q is None else hashlib.md5(q.encode()).hexdigest()
+    assert sorted(map(tuple, got)) == [(i, md5(q), a) for i, q, a, _, _ in REPAIRED]
+
+
+def test_patterns_read_every_row(ran):
+    got = ran("drop_patterns", train_dataset=qa(ROWS[:4]), val_dataset=qa(ROWS[4:8]), test_dataset=qa(ROWS[8:]))
+    want = {kind: (sum(r[4] == kind for r in ROWS), sum(r[4] == kind and says(r"\b(all|alls)\b", r[1], r[2]) for r in ROWS), sum(r[4] == kind and says(NOISE, r[1], r[2]) for r in ROWS)) for kind in {r[4] for r in ROWS}}
+    assert {r["Question_Type"]: (r["n"], r["says_all"], r["noise"]) for r in got} == want
+
+
+def test_curation_reads_every_row(ran):
+    rows = [r for r in REPAIRED if not says(NOISE, r[1], r[2])]
+    kinds = sorted({r[4] for r in rows if r[4]}, key=lambda k: min(r[0] for r in rows if r[4] == k))
+    images = sorted({r[3] for r in rows if r[3]}, key=str.encode)
+    k = len(images) // len(kinds)
+    rows = [r for r in rows if r[3] and r[4] and images.index(r[3]) // k == kinds.index(r[4])]
+    asked = [r for r in rows if r[4] == "Yes/No"]
+    order = sorted(asked, key=lambda r: hashlib.md5(f"{r[0]}|42".encode()).hexdigest())
+    kept = {r[0] for w in ("yes", "no") for r in [x for x in order if x[2] and x[2].lower() == w][: len(asked) // 2 // 2]}
+    rows = [r for r in rows if r[4] != "Yes/No" or r[0] in kept]
+    got = ran("curated", val_dataset=qa(ROWS))
+    assert rows and sorted(map(tuple, got)) == [(n, kind, q, a) for n, (_, q, a, _, kind) in enumerate(rows, 1)]
+
+
 #: Queries whose rows don't depend on other rows, so that what their SQL gives for the rows it reads must be among them.
-BY_ROW = ["after_marker"]
+BY_ROW = ["after_marker", "regex_repair"]
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")

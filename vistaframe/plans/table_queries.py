@@ -64,15 +64,10 @@ def _fold(column: str, repairs) -> str:
 _ASCII = r"regexp_full_match(coalesce(Questions, ''), '[\x00-\x7F]*') AND regexp_full_match(coalesce(Answers, ''), '[\x00-\x7F]*')"
 
 
-def _ascii(df: DataFrame) -> DataFrame:
-    """Rows of plain ASCII: SQL's regular expressions know no other word characters."""
-    return df.where(F.coalesce("Questions", F.lit("")).rlike(r"^[\x00-\x7F]*$") & F.coalesce("Answers", F.lit("")).rlike(r"^[\x00-\x7F]*$"))
-
-
 @catalogue("regex_repair", f"SELECT Question_Id, md5({_fold('Questions', [*T.QUESTION_REPAIRS, *T.REPAIRS])}) AS q, {_fold(_fold('Answers', [('grey', 'gray')]), [*T.ANSWER_REPAIRS, *T.REPAIRS])} AS a FROM ({_ALL}) WHERE {_ASCII}")
 def regex_repair(spark: SparkSession, folder: str) -> DataFrame:
-    """The repairs on every question and answer of plain ASCII, which is what both engines' patterns agree on."""
-    fixed = C.repaired(_ascii(_qa(spark, folder)))
+    """The repairs on every question and answer. The SQL reads only rows of plain ASCII."""
+    fixed = C.repaired(_qa(spark, folder))
     return fixed.select(KEY, F.md5("Questions").alias("q"), F.col("Answers").alias("a"))
 
 
@@ -82,8 +77,9 @@ SELECT Question_Type, count(*) AS n,
   count(*) FILTER (WHERE coalesce(regexp_matches(Questions, 'wall\d+|^i think$', 'i'), false) OR coalesce(regexp_matches(Answers, 'wall\d+|^i think$', 'i'), false)) AS noise
 FROM ({_ALL}) WHERE {_ASCII} GROUP BY 1""")
 def drop_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that say all, and noise, of every row. The SQL reads only rows of plain ASCII."""
     n = lambda c: F.count_if(c).cast("long")
-    rows = _ascii(_qa(spark, folder))
+    rows = _qa(spark, folder)
     return rows.groupBy("Question_Type").agg(F.count("*").alias("n"), n(T.says_all(F.col("Questions"), F.col("Answers"))).alias("says_all"), n(T.is_noise(F.col("Questions")) | T.is_noise(F.col("Answers"))).alias("noise"))
 
 
@@ -374,8 +370,8 @@ n AS (SELECT count(*) // 2 AS target FROM y),
 z AS (SELECT old_id FROM b WHERE Question_Type IS DISTINCT FROM 'Yes/No' UNION ALL SELECT old_id FROM y CROSS JOIN n WHERE a IN ('yes', 'no') AND r <= target // 2)
 SELECT row_number() OVER (ORDER BY old_id)::BIGINT AS Question_Id, b.Question_Type, b.Questions, b.Answers FROM z JOIN b USING (old_id)""")
 def curated(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole curation of the validation split, of rows of plain ASCII."""
-    return C.curated([_ascii(_qa(spark, folder, "val"))]).select(KEY, "Question_Type", "Questions", "Answers")
+    """The whole curation of the validation split. The SQL reads only rows of plain ASCII."""
+    return C.curated([_qa(spark, folder, "val")]).select(KEY, "Question_Type", "Questions", "Answers")
 
 
 @catalogue("train_rows", "SELECT DISTINCT Question_Id, Questions AS question, lower(trim(Answers)) AS answer, Image_Path AS rgb, Depth_Path AS depth FROM train_dataset")
