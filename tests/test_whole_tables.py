@@ -86,8 +86,47 @@ def test_curation_reads_every_row(ran):
     assert rows and sorted(map(tuple, got)) == [(n, kind, q, a) for n, (_, q, a, _, kind) in enumerate(rows, 1)]
 
 
+ASKED = ["What’s the éclair？", "How many\u00a0lámps are there?", "How many étagères are there? How many lamps are there?", None, "the LÁMPS, what’s", *["Is there no lamp?"] * 12, "Ünder the\u3000wall"]
+QUESTIONS = [(i, q) for i, q in enumerate(ASKED, 1)]
+
+
+def words(text):
+    return re.sub("[?.,]", "", text.lower()).split()
+
+
+def test_vocabulary_and_ids_read_every_question(ran):
+    vocabulary = {}
+    for _, q in QUESTIONS:
+        for w in words(q) if q is not None else []:
+            vocabulary.setdefault(w, len(vocabulary) + 2)
+    tables = {"val_dataset": (QUESTIONS, "Question_Id long, Questions string")}
+    assert {r["token"]: r["id"] for r in ran("word_vocabulary", **tables)} == vocabulary
+    want = {i: " ".join(map(str, ([vocabulary[w] for w in words(q)] + [0] * 15)[:15])) for i, q in QUESTIONS if q is not None}
+    assert {r["Question_Id"]: r["ids"] for r in ran("encode_pad", **tables)} == want
+
+
+def test_answers_are_read_whole(ran):
+    answers = ["Café  Chair!", "papier-mâché\u00a0mask", "gráy", "’tis", None, "", "lamp"]
+    tables = {"val_dataset": ([(a,) for a in answers], "Answers string")}
+    given = [a for a in answers if a is not None]
+    assert {r["a"] for r in ran("normalize_answer", **tables)} == {" ".join(re.sub(r"[^\w\s]", "", a.lower()).split()) for a in given}
+    assert {r["token"] for r in ran("distinct_tokens", **tables)} == {t for a in given for t in a.split()}
+
+
+def test_nouns_are_read_whole(ran):
+    got = ran("noun_frequency", train_dataset=(QUESTIONS, "Question_Id long, Questions string"))
+    assert {r["noun"]: r["n"] for r in got} == {"étagères": 1, "lamps": 1}
+
+
+def test_batches_are_cut_from_every_question(ran):
+    rows = [(i, len(words(q))) for i, q in QUESTIONS if q is not None]
+    batches = [[n for _, n in rows[k : k + 16]] for k in range(0, len(rows), 16)]
+    got = ran("pad_batches", test_dataset=(QUESTIONS, "Question_Id long, Questions string"))
+    assert sorted(map(tuple, got)) == [(k, len(b), max(b), max(b) * len(b) - sum(b)) for k, b in enumerate(batches)] and len(got) == 2
+
+
 #: Queries whose rows don't depend on other rows, so that what their SQL gives for the rows it reads must be among them.
-BY_ROW = ["after_marker", "regex_repair"]
+BY_ROW = ["after_marker", "regex_repair", "normalize_answer", "distinct_tokens"]
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")

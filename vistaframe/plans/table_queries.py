@@ -87,7 +87,7 @@ def drop_patterns(spark: SparkSession, folder: str) -> DataFrame:
 SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(Answers), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) AS a FROM val_dataset
 WHERE Answers IS NOT NULL AND regexp_full_match(Answers, '[\x00-\x7F]*')""")
 def normalize_answer(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "val_dataset", ["Answers"]).where(F.col("Answers").rlike(r"^[\x00-\x7F]*$"))
+    rows = table(spark, folder, "val_dataset", ["Answers"]).where(F.col("Answers").isNotNull())
     return rows.select(T.normalized_answer(F.col("Answers")).alias("a")).distinct()
 
 
@@ -197,8 +197,8 @@ def file_counts(spark: SparkSession, folder: str) -> DataFrame:
 @catalogue("noun_frequency", r"""
 SELECT noun, count(*) AS n FROM (SELECT unnest(regexp_extract_all(Questions, 'How many (\w+) are there\?', 1)) AS noun FROM (SELECT DISTINCT Question_Id, Questions FROM train_dataset) WHERE regexp_full_match(Questions, '[\x00-\x7F]*')) GROUP BY 1""")
 def noun_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "train_dataset", [KEY, "Questions"]).distinct().where(F.col("Questions").rlike(r"^[\x00-\x7F]*$"))
-    return rows.select(F.explode(F.regexp_extract_all("Questions", F.lit(r"How many (\w+) are there\?"), F.lit(1))).alias("noun")).groupBy("noun").agg(F.count("*").alias("n"))
+    rows = table(spark, folder, "train_dataset", [KEY, "Questions"]).distinct()
+    return rows.select(F.explode(F.regexp_extract_all("Questions", F.lit(r"(?U)How many (\w+) are there\?"), F.lit(1))).alias("noun")).groupBy("noun").agg(F.count("*").alias("n"))
 
 
 _TOKENS = r"list_filter(string_split_regex(translate(lower(Questions), '?.,', ''), '\s+'), lambda t: t <> '')"
@@ -209,7 +209,8 @@ f AS (SELECT token, min((Question_Id, pos)) AS seen FROM p GROUP BY token), v AS
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "val_dataset", [KEY, "Questions"]).distinct().where(F.col("Questions").rlike(r"^[\x00-\x7F]*$"))
+    """Every question that is not null. The SQL of the queries on them reads only those of plain ASCII."""
+    return table(spark, folder, "val_dataset", [KEY, "Questions"]).distinct().where(F.col("Questions").isNotNull())
 
 
 @catalogue("word_vocabulary", _VOCAB + " SELECT token, id FROM v")
@@ -242,7 +243,7 @@ def unknown_class(spark: SparkSession, folder: str) -> DataFrame:
 
 @catalogue("distinct_tokens", r"SELECT DISTINCT unnest(list_filter(string_split_regex(Answers, '\s+'), lambda t: t <> '')) AS token FROM val_dataset WHERE regexp_full_match(Answers, '[\x00-\x7F]*')")
 def distinct_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "val_dataset", ["Answers"]).where(F.col("Answers").rlike(r"^[\x00-\x7F]*$"))
+    rows = table(spark, folder, "val_dataset", ["Answers"])
     return rows.select(F.explode(N.tokens(F.col("Answers"))).alias("token")).distinct()
 
 
@@ -394,7 +395,7 @@ b AS (SELECT Question_Id, n, (row_number() OVER (ORDER BY Question_Id) - 1) // 1
 SELECT batch_id, count(*) AS n, max(n) AS width, sum((SELECT max(n) FROM b c WHERE c.batch_id = b.batch_id) - n)::BIGINT AS padding FROM b GROUP BY batch_id""")
 def pad_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Batches padded to their longest question: how wide, and how much padding."""
-    rows = table(spark, folder, "test_dataset", [KEY, "Questions"]).distinct().where(F.col("Questions").rlike(r"^[\x00-\x7F]*$"))
+    rows = table(spark, folder, "test_dataset", [KEY, "Questions"]).distinct().where(F.col("Questions").isNotNull())
     b = R.batches(rows.withColumn("ids", F.transform(T.question_tokens(F.col("Questions")), lambda t: F.length(t))), [KEY], 16)
     size = F.size("ids")
     wide = b.groupBy("batch_id").agg(F.count("*").alias("n"), F.max(size).alias("width"), F.sum(size.cast("long")).alias("filled"))
