@@ -125,6 +125,12 @@ def test_batches_are_cut_from_every_question(ran):
     assert sorted(map(tuple, got)) == [(k, len(b), max(b), max(b) * len(b) - sum(b)) for k, b in enumerate(batches)] and len(got) == 2
 
 
+@pytest.mark.parametrize("values,least", [([0.5, 0.0004, 12345678.0, None], "0.0004"), ([0.5, 0.0, 0.0004], "0.0"), ([2.0, 0.25], "0.25"), ([12345678.0], "12345678.0")])
+def test_the_least_loss_is_read(ran, values, least):
+    got = ran("min_val_loss", events=([(v,) for v in values], "value double"))
+    assert [tuple(r) for r in got] == [(f"run/val_loss={least}.ckpt", float(least))]
+
+
 #: Queries whose rows don't depend on other rows, so that what their SQL gives for the rows it reads must be among them.
 BY_ROW = ["after_marker", "regex_repair", "normalize_answer", "distinct_tokens"]
 

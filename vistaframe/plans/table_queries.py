@@ -313,8 +313,10 @@ def questions_asked(spark: SparkSession, folder: str) -> DataFrame:
 
 @catalogue("min_val_loss", "SELECT arg_min(path, (v, path)) AS path, min(v) AS val_loss FROM (SELECT 'run/val_loss=' || round(value, 4) || '.ckpt' AS path, try_cast(regexp_extract('run/val_loss=' || round(value, 4) || '.ckpt', 'val_loss=([\\d.]+)\\.ckpt', 1) AS DOUBLE) AS v FROM events WHERE value >= 0.001)")
 def min_val_loss(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "events", ["value"]).where("value >= 0.001")
-    return best_checkpoint(rows, F.concat(F.lit("run/val_loss="), F.round("value", 4).cast("string"), F.lit(".ckpt")))
+    """The checkpoint of the least value, of all that are not null; the names have fixed decimals. The SQL reads only values from 0.001."""
+    rows = table(spark, folder, "events", ["value"]).where(F.col("value").isNotNull())
+    loss = F.regexp_replace(F.format_string("%.4f", F.round("value", 4)), r"(\.\d+?)0+$", "$1")
+    return best_checkpoint(rows, F.concat(F.lit("run/val_loss="), loss, F.lit(".ckpt")))
 
 
 @catalogue("first_available", """
