@@ -62,3 +62,13 @@ def test_masks(spark):
 
     text = "On 2024-05-01 see https://x.y/z?a=1 or a.b@c.de,  code 3fa9c1: 12.5 of 7"
     assert spark.range(1).select(R.masked(F.lit(text))).first()[0] == "On <when> see <address> or <address>, code 0: 0 of 0"
+
+
+def reasons(spark, texts):
+    got = {r["doc_id"]: r["reason"] for r in R.found(frame(spark, texts)).collect()}
+    return [got.get(i) for i in range(len(texts))]
+
+
+def test_repeats_and_mashed_keys_in_capitals(spark):
+    filler = ["ASDF JKL ASDF ASDF", "Bla bla bla", "Bla bla bla bla", "QWERTY ASDF", "QWER ASDFGH ZXCV HJKL VBNM", "The wall is Very very VERY very white", "ÉTÉ été Été"]
+    assert reasons(spark, [*filler, "The Wall is a wall"]) == ["filler"] * len(filler) + [None]

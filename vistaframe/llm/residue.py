@@ -220,7 +220,12 @@ def _latin(form: Column) -> Column:
 
 
 def _repeated(form: Column) -> Column:
-    return (form.rlike(_AGAIN) & form.rlike(FOUR_TIMES)) | form.rlike(ONLY_REPEATED)
+    """Repeats and mashed keys in any case: the patterns are those of lower case."""
+
+    def any_case(lowered: Column) -> Column:
+        return (lowered.rlike(_AGAIN) & lowered.rlike(FOUR_TIMES)) | lowered.rlike(ONLY_REPEATED) | lowered.rlike(MASHED)
+
+    return F.exists(F.array(F.lower(form)), any_case)
 
 
 def _spoken(form: Column) -> Column:
@@ -231,7 +236,6 @@ def _spoken(form: Column) -> Column:
         | _has(form, [*SHAPES, STATUS])
         | _latin(form)
         | _repeated(form)
-        | form.rlike(MASHED)
     )
 
 
@@ -258,7 +262,7 @@ def classified(form: Column, view: Column, texts: Column, sources: Column) -> Co
 
     wide = (texts >= WIDE_TEXTS) & (sources >= WIDE_SOURCES)
     spoken = (
-        F.when(_filler(form) | _latin(form) | form.rlike(MASHED) | _repeated(form), "filler")
+        F.when(_filler(form) | _latin(form) | _repeated(form), "filler")
         .when(_starts(form, SCRIPTS), "script")
         .when(_has(form, [*SHAPES, STATUS]) | _starts(form, MESSAGES), "error")
         .when(wide & _starts(form, WEAK), "error")
