@@ -72,3 +72,8 @@ def reasons(spark, texts):
 def test_repeats_and_mashed_keys_in_capitals(spark):
     filler = ["ASDF JKL ASDF ASDF", "Bla bla bla", "Bla bla bla bla", "QWERTY ASDF", "QWER ASDFGH ZXCV HJKL VBNM", "The wall is Very very VERY very white", "ÉTÉ été Été"]
     assert reasons(spark, [*filler, "The Wall is a wall"]) == ["filler"] * len(filler) + [None]
+
+
+def test_pseudo_latin_without_rare_words(spark):
+    filler = ["Ut enim ad minim veniam, quis nisi", "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.", "SED DO EIUSMOD TEMPOR UT LABORE", "The wall: dolor sit amet, elit sed magna aliqua"]
+    assert reasons(spark, [*filler, "Dolor sit amet, elit sed walls", "Est-ce que le mur est non peint?"]) == ["filler"] * len(filler) + [None] * 2

@@ -17,8 +17,6 @@ Defined cases
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,8 +193,6 @@ def _sentences(line: Column) -> Column:
 _SLOT = "|".join(SLOTS)
 #: Characters without which a sentence holds no slot: one pass over the text, before the patterns are tried.
 _SLOT_CUE = r"[{<$%\[@#~|]|\?{4}|___|__[A-Za-z]|XXXX|TBD:|:[A-Za-z_][A-Za-z0-9_. ]{2,60}:|goes here\)"
-#: Words of which pseudo-Latin filler always holds some.
-_LATIN_CUE = ("ipsum", "adipiscing", "consectetur", "incididunt", "ullamco", "aliquip", "pariatur", "cillum", "nostrud", "fugiat")
 
 
 def _starts(form: Column, patterns: list[str]) -> Column:
@@ -212,18 +208,11 @@ def _filler(form: Column) -> Column:
     return form.rlike(f"(?iu)^(?:{'|'.join(f.removeprefix('^') for f in FILLER)})")
 
 
-def _latin(form: Column) -> Column:
-    def cue(lowered: Column) -> Column:
-        return reduce(lambda x, y: x | y, [lowered.contains(w) for w in _LATIN_CUE])
-
-    return F.exists(F.array(F.lower(form)), cue) & form.rlike("(?iu)" + LATIN)
-
-
-def _repeated(form: Column) -> Column:
-    """Repeats and mashed keys in any case: the patterns are those of lower case."""
+def _nonsense(form: Column) -> Column:
+    """Pseudo-Latin, repeats and mashed keys in any case: the patterns are those of lower case."""
 
     def any_case(lowered: Column) -> Column:
-        return (lowered.rlike(_AGAIN) & lowered.rlike(FOUR_TIMES)) | lowered.rlike(ONLY_REPEATED) | lowered.rlike(MASHED)
+        return lowered.rlike(LATIN) | (lowered.rlike(_AGAIN) & lowered.rlike(FOUR_TIMES)) | lowered.rlike(ONLY_REPEATED) | lowered.rlike(MASHED)
 
     return F.exists(F.array(F.lower(form)), any_case)
 
@@ -234,8 +223,7 @@ def _spoken(form: Column) -> Column:
         _starts(form, [*SCRIPTS, *MESSAGES, *WEAK])
         | _filler(form)
         | _has(form, [*SHAPES, STATUS])
-        | _latin(form)
-        | _repeated(form)
+        | _nonsense(form)
     )
 
 
@@ -262,7 +250,7 @@ def classified(form: Column, view: Column, texts: Column, sources: Column) -> Co
 
     wide = (texts >= WIDE_TEXTS) & (sources >= WIDE_SOURCES)
     spoken = (
-        F.when(_filler(form) | _latin(form) | _repeated(form), "filler")
+        F.when(_filler(form) | _nonsense(form), "filler")
         .when(_starts(form, SCRIPTS), "script")
         .when(_has(form, [*SHAPES, STATUS]) | _starts(form, MESSAGES), "error")
         .when(wide & _starts(form, WEAK), "error")
