@@ -131,8 +131,17 @@ def test_the_least_loss_is_read(ran, values, least):
     assert [tuple(r) for r in got] == [(f"run/val_loss={least}.ckpt", float(least))]
 
 
+def test_folders_of_every_scene(ran):
+    said = {
+        "SUNRGBD/a/b/c/image/1.jpg": "a/b/c", "/mnt/store/SUNRGBD/a/b/c/image/1.jpg": "a/b/c", "./SUNRGBD/a/b/c/image/1.jpg": "a/b/c", "SUNRGBD\\a\\b\\c\\image\\1.jpg": "a/b/c", " SUNRGBD/a/b/c/image/1.jpg ": "a/b/c",
+        "SUNRGBD/SUNRGBD/a/image/1.jpg": "SUNRGBD/a", "sunrgbd/a/b/c/image/1.jpg": None, "a/b/c/image/1.jpg": None, None: None, "SUNRGBD/image/1.jpg": "",
+    }
+    got = ran("relative_paths", scene=(list(enumerate(said)), "scene_idx long, rgb_path string"))
+    assert [r["folder"] for r in sorted(got, key=lambda r: r["scene_idx"])] == list(said.values())
+
+
 #: Queries whose rows don't depend on other rows, so that what their SQL gives for the rows it reads must be among them.
-BY_ROW = ["after_marker", "regex_repair", "normalize_answer", "distinct_tokens"]
+BY_ROW = ["after_marker", "regex_repair", "normalize_answer", "distinct_tokens", "relative_paths"]
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")

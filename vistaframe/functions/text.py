@@ -149,10 +149,10 @@ def daquar_paths(image: Column) -> Column:
 
 
 def relative_path(path: Column, name: str = "SUNRGBD", up: int = 2) -> Column:
-    """What stands after name, without the last components."""
-    parts = F.split(path, "/")
+    """What stands after the first name, without the last components, slashes forward; NULL if name isn't in it."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
     kept = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up, F.lit(0))), "/")
-    return F.regexp_extract(kept, rf"{name}/?(.*)$", 1)
+    return F.when(kept.contains(name), F.regexp_extract(kept, rf"{name}/?(.*)$", 1))
 
 
 def padded_id(number: Column, width: int = 12) -> Column:

@@ -286,7 +286,8 @@ def paths(spark: SparkSession, folder: str) -> DataFrame:
 
 @catalogue("relative_paths", r"SELECT DISTINCT scene_idx, regexp_extract(regexp_replace(rgb_path, '/[^/]*/[^/]*$', ''), 'SUNRGBD/?(.*)$', 1) AS folder FROM scene WHERE regexp_matches(rgb_path, '^SUNRGBD/[^/]*/[^/]*/[^/]*/image/[^/]*$')")
 def relative_paths(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "scene", ["scene_idx", "rgb_path"]).where(F.col("rgb_path").rlike(r"^SUNRGBD/[^/]*/[^/]*/[^/]*/image/[^/]*$"))
+    """The folder of every scene row, NULL without the root. The SQL reads only paths of the usual form."""
+    rows = table(spark, folder, "scene", ["scene_idx", "rgb_path"])
     return rows.select("scene_idx", T.relative_path(F.col("rgb_path")).alias("folder")).distinct()
 
 
