@@ -77,3 +77,8 @@ def test_repeats_and_mashed_keys_in_capitals(spark):
 def test_pseudo_latin_without_rare_words(spark):
     filler = ["Ut enim ad minim veniam, quis nisi", "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.", "SED DO EIUSMOD TEMPOR UT LABORE", "The wall: dolor sit amet, elit sed magna aliqua"]
     assert reasons(spark, [*filler, "Dolor sit amet, elit sed walls", "Est-ce que le mur est non peint?"]) == ["filler"] * len(filler) + [None] * 2
+
+
+def test_typed_twice_after_other_words(spark):
+    filler = ["Notes: Type something Type something The wall", "Notes: type something, TYPE SOMETHING.", "Type something"]
+    assert reasons(spark, [*filler, "Notes: type something The wall"]) == ["filler"] * len(filler) + [None]

@@ -82,6 +82,8 @@ FILLER = [
     r"^(?:aquí va (?:la|el) \p{L}+|texto de (?:relleno|prueba|ejemplo)|descripción pendiente)\W*$",
     r"^type something(?:\W+type something|\W*$)",
 ]
+#: The one stock phrase that counts wherever it stands in a sentence, if it is repeated.
+TYPED = r"(?:type something\W+){2}"
 _LATIN = (
     "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|et|labore|dolore|magna|aliqua|"
     "enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|"
@@ -204,8 +206,8 @@ def _has(form: Column, patterns: list[str]) -> Column:
 
 
 def _filler(form: Column) -> Column:
-    """All stock sentences begin where the sentence does, so the pattern is anchored once."""
-    return form.rlike(f"(?iu)^(?:{'|'.join(f.removeprefix('^') for f in FILLER)})")
+    """Stock sentences begin where the sentence does, so the pattern is anchored once; TYPED is searched."""
+    return form.rlike("(?iu)" + TYPED) | form.rlike(f"(?iu)^(?:{'|'.join(f.removeprefix('^') for f in FILLER)})")
 
 
 def _nonsense(form: Column) -> Column:
