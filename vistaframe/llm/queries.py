@@ -91,8 +91,9 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Containers used for each window, the tokens in them, and the fewest containers that could hold these."""
-    return packing.fill(p7_containers(spark, folder), table(spark, folder, "context_window"))
+    """For each window, the containers of harmonic packing alone and after the top-up, and the fewest that could do."""
+    sizes = bpe.token_counts(table(spark, folder, "documents", ["doc_id", "text"]))
+    return packing.fill(sizes, table(spark, folder, "context_window"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
