@@ -1,5 +1,6 @@
 """Typed values to items, against values made by known mutations and a plain search."""
 
+import itertools
 import random
 
 import pytest
@@ -24,7 +25,7 @@ def mapper():
         ("object", "air cond.", 6), ("object", "air conditiorn", 6), ("object", "Etagere", 7), ("object", "night_stand38", 8), ("object", "floor / unclear", 9), ("object", "flor lamp - back", 10),
         ("object", "  a   floor lamp [2]", 10), ("color", "gay", 20), ("color", "off-whit", 21), ("color", "the dark green", 22), ("color", "green", 23),
         ("object", "", 0), ("object", "   ", 0), ("object", "???", 0), ("object", "IMG1234", 0), ("object", "gravel heap", 0), ("object", "xx", 0), ("object", "gray", 0), ("color", "wall", 0), ("other", "wall", 0),
-        ("object", "wall and wallet and floor lamp chandelier of the old house", 0), ("object", "x" * 100_000, 0), ("object", "wall " * 20_000, 1), (None, "wall", 0), ("object", None, 0),
+        ("object", "wall and wallet and floor lamp chandelier of the old house", 10), ("object", "x" * 100_000, 0), ("object", "wall " * 20_000, 1), (None, "wall", 0), ("object", None, 0),
     ],
 )
 def test_resolve(mapper, kind, value, item):
@@ -59,27 +60,74 @@ def test_distance():
         assert C.distance(a, b, 2) == min(3, plain_distance(a, b))
 
 
-def test_closest_finds_what_a_plain_search_finds(mapper):
+def test_matches_are_those_of_a_plain_search(mapper):
     mapper("object", "wall")
     names = mapper.kinds["object"]
     rng = random.Random(2)
-    for _ in range(1500):
-        text = list(rng.choice(list(names.patterns)))
-        for _ in range(rng.randint(0, 2)):
-            i = rng.randrange(len(text))
-            text[i : i + 1] = rng.choice([[], [text[i], "q"], ["z"]])
-        name = " ".join("".join(text).split())
-        if not name:
-            continue
-        most = C.edits_allowed(len(name))
-        scores = {p: plain_distance(name, p) for p in names.patterns}
-        # the index holds a pattern's own deletions, so a pattern is found within the edits both lengths allow
-        near = {p for p, d in scores.items() if d <= min(most, C.edits_allowed(len(p)))}
-        best = {names.patterns[p] for p in near if scores[p] == min(scores[q] for q in near)} if near else set()
-        if len(best) == 1 and near:
-            assert names.closest(name) in best | {names.patterns[p] for p, d in scores.items() if d <= most}
-        if not {p for p, d in scores.items() if d <= most}:
-            assert names.closest(name) == 0
+    for _ in range(600):
+        text = list(rng.choice(list(names.by_word)))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(text) + 1)
+            text[i : i + 1] = rng.choice([[], [*text[i : i + 1], "q"], ["z"]])
+        token = "".join(text)
+        plain = {w: d for w in names.by_word if (d := plain_distance(token, w)) <= C.edits_allowed(min(len(token), len(w)))}
+        assert names.matches(token, False) == {w: 1 - C.EDIT_COST * d for w, d in plain.items()}
+
+
+def test_similar_is_the_best_of_all_names(mapper):
+    """Against every name, with every way to give the words of the one to those of the other."""
+    mapper("object", "wall")
+    names = mapper.kinds["object"]
+    rng = random.Random(4)
+    for _ in range(400):
+        tokens = []
+        for w in rng.choice(list(names.patterns)):
+            i = rng.randrange(len(w))
+            tokens.append(rng.choice([w, w[:i] + w[i + 1 :], w[:i] + "z" + w[i:]]))
+        if rng.random() < 0.3:
+            tokens.append(rng.choice(["gravel", "floor", "side"]))
+        rng.shuffle(tokens)
+        tokens = [t for t in tokens if t]
+        scores = {}
+        for name in names.patterns:
+            best = 0.0
+            small, large = (tokens, name) if len(tokens) <= len(name) else (name, tokens)
+            for chosen in itertools.permutations(large, len(small)):
+                total = 0.0
+                for t, w in zip(small, chosen):
+                    d = plain_distance(t, w)
+                    total += (1 - C.EDIT_COST * d) if d <= C.edits_allowed(min(len(t), len(w))) else 0.0
+                best = max(best, total)
+            scores[name] = 2 * best / (len(tokens) + len(name))
+        top = max(scores.values(), default=0.0)
+        item, _ = names.similar(tokens, set())
+        if top < C.LEAST_SCORE - 1e-9:
+            assert item == 0
+        elif item:
+            assert item in {names.patterns[n] for n, s in scores.items() if s >= top - 1e-6}
+
+
+def test_mentions():
+    names = C.Names([(1, "lamp"), (2, "floor lamp"), (3, "floor"), (4, "lamp post sign")], [])
+    assert names.mentions("a floor lamp lamp floor".split()) == [(1, 2, 2), (3, 1, 1), (4, 1, 3)]
+    assert names.mentions("floor lamp post sign".split()) == [(0, 1, 3), (1, 3, 4)]  # the longest, not the first
+    assert names.mentions([]) == [] and names.mentions(["lampoon"]) == []
+    assert len(names.mentions(["lamp"] * 50_000)) == 50_000
+
+
+def test_stages(mapper):
+    decided = {v: mapper.decide("object", v) for v in ("wall", "the WALL (left)", "the wallet on my grey floor", "wal", "floor / unclear", "can, trash", "flor lamp", "lamp, floor", "gravel heap", "xq - wall")}
+    assert decided == {
+        "wall": (1, "exact"), "the WALL (left)": (1, "automaton"), "the wallet on my grey floor": (2, "automaton"), "wal": (1, "similarity"), "floor / unclear": (9, "automaton"),
+        "can, trash": (3, "similarity"), "flor lamp": (10, "similarity"), "lamp, floor": (10, "similarity"), "gravel heap": (0, "none"), "xq - wall": (1, "automaton"),
+    }
+
+
+def test_length_changes_nothing(mapper):
+    """No limit on the length of a value: remarks about place add nothing, however many."""
+    for n in (0, 5, 50, 500):
+        assert mapper("object", "sdie table" + " far left behind" * n) == 5
+        assert mapper("object", "sdie table" + " gravel" * 2 * n) == (5 if n == 0 else 0)
 
 
 def test_frames(spark, mapper):
@@ -88,7 +136,9 @@ def test_frames(spark, mapper):
     m = C.read_mapper(items, pairs)
     rows = [("object", "wall", 1), ("object", "Wall", 2), ("object", "Wall", 2), (None, "Wall", 3), ("object", None, 4), ("color", "Gray", 5)]
     df = spark.createDataFrame(rows, "kind string, value string, extra long")
-    got = sorted((r["extra"], r["item_id"]) for r in C.map_values(df, m).collect())
+    mapped = C.map_values(df, m).collect()
+    assert {r["extra"]: r["stage"] for r in mapped} == {1: "exact", 2: "automaton", 3: "none", 5: "automaton"}
+    got = sorted((r["extra"], r["item_id"]) for r in mapped)
     assert got == [(1, 1), (2, 1), (2, 1), (3, 0), (5, 20)]
     assert sorted(r["extra"] for r in C.not_exact(df.where(F.col("kind").isNotNull() & F.col("value").isNotNull()), m).collect()) == [2, 2, 5]
     assert C.map_values(df.limit(0), m).count() == 0

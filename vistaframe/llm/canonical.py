@@ -1,17 +1,28 @@
 """Freely typed values to the entries of a reference list.
 
-Method: an Aho-Corasick automaton over the canonical names and their aliases (words written together, plurals) finds the
-embedded mentions; the longest non-overlapping ones win. A value that these do not account for goes to token-set
-similarity: candidates come from a deletion index, so no value is held against the whole list.
+Method, in two stages, the first on every value:
 
-The reference list and the aliases are small by contract (``MAX_ITEMS`` is checked); they travel to the workers inside
-the function. Values are mapped where they are read: no shuffle, and each worker remembers the values it has seen.
+1. ``automaton``: an Aho-Corasick automaton over the canonical names and their aliases (words written together, plurals)
+   finds the embedded mentions, word by word; the longest mentions that do not overlap are kept. They decide if they account
+   for all that the value says (articles, numbers and remarks about place or sight say nothing); several of them are one
+   item if together they have its words, else the longest counts, or the first of equally long ones.
+2. ``similarity``: the values that remain are held against the names as sets of words. A word of the value matches a word of
+   the name within the edits its length allows (``EDIT_COST`` each), or as its beginning if it is written with a full stop;
+   the score is twice the matches by the words of both, and counts from ``LEAST_SCORE``. The value's words written together
+   are tried as one word too. Candidates come from a deletion index over the words of the names. Beside a mention, the best
+   name counts only if it explains a word that the mentions leave over; without one, the longest mention decides.
+
+The reference list and the aliases are small by contract (``MAX_ITEMS`` is checked) and broadcast; each worker builds
+automaton and index once. Values are mapped where they are read: no shuffle, and each worker remembers the values it has seen.
 
 Defined cases
-* null: no row comes out of ``map_values`` (nothing was typed); empty, blank or only punctuation: item 0.
+* null: no row comes out of ``map_values`` (nothing was typed); empty, blank or only punctuation and numbers: item 0.
 * a value that is, byte for byte, an item of its kind: that item (``p1_found`` leaves these out).
-* two items that fit equally well, and values that fit none: item 0, reported.
-* very long values: only mentions are looked for beyond ``MAX_FUZZY`` characters, in linear time.
+* two names that score equally: the one that is there with all its words, then the one with more words, the one written in
+  full before its aliases, the one with the value's first letter; still
+  two: item 0. Values without a mention whose best score is too low: item 0, reported.
+* very long values and words: whole. A name's score cannot reach ``LEAST_SCORE`` if the value has too many words, nor can a
+  word match one that is shorter by more than the edits, so what is left out there changes no result.
 * repeated rows: mapped alike; columns besides those named: not read. An empty list: every value gets item 0.
 """
 
@@ -26,11 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Proven bound of the reference list and of the alias table, checked when they are read.
-MAX_ITEMS = 100_000
-#: Characters beyond which a value is a text and not a spelling; edit distances are for shorter ones.
-MAX_FUZZY = 64
+MAX_ITEMS = 20_000
 #: Values a worker remembers before it starts afresh.
 MEMO = 200_000
+LEAST_SCORE, EDIT_COST, BEGINNING = 0.75, 0.1, 0.95
 
 #: Words that add nothing to a name. Fixed values.
 ARTICLES = {"a", "an", "the", "one", "some", "of"}
@@ -46,8 +56,6 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
 
 
-_NOTE = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
-_TAIL = re.compile(r"\s[-–/]\s.*$", re.S)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -55,6 +63,11 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+def shortened(text: str) -> set[str]:
+    """Words of a text that are followed by a full stop."""
+    return {m[0] for m in _WORD.finditer(text) if text[m.end() : m.end() + 1] == "."}
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edits (insert, delete, replace, swap of letters that come to stand side by side) between a and b; most + 1 if
     there are more than most."""
@@ -92,165 +105,161 @@ def deletions(text: str, most: int) -> set[str]:
 
 
 class Names:
-    """The items of one kind, with their automaton and their deletion index."""
+    """The items of one kind, with their automaton and the deletion index of their words."""
 
     def __init__(self, items: Iterable[tuple[int, str]], together: Iterable[tuple[str, str]]) -> None:
         import ahocorasick
 
         self.exact: dict[str, int] = {}
-        self.patterns: dict[str, int] = {}  # words joined by a space -> item
-        self.tokens: dict[int, tuple[str, ...]] = {}
+        self.patterns: dict[tuple[str, ...], int] = {}
         for item_id, item in sorted(items):
             self.exact.setdefault(item, item_id)
-            name = " ".join(words(fold(item)))
-            if name:
-                self.tokens.setdefault(item_id, tuple(name.split()))
+            if name := tuple(words(fold(item))):
                 self.patterns.setdefault(name, item_id)
+        self.own = set(self.patterns)
         for name, item_id in list(self.patterns.items()):
-            for plural in (name + "s", name + "es", *([name[:-1] + "ies"] if name.endswith("y") else []), *([name[:-1] + "ves"] if name.endswith("f") else [])):
-                self.patterns.setdefault(plural, item_id)
-            if " " in name:
-                self.patterns.setdefault(name.replace(" ", ""), item_id)
+            head, end = name[:-1], name[-1]
+            for plural in (end + "s", end + "es", *([end[:-1] + "ies"] if end.endswith("y") else []), *([end[:-1] + "ves"] if end.endswith("f") else [])):
+                self.patterns.setdefault((*head, plural), item_id)
+            self.patterns.setdefault(("".join(name),), item_id)
         for combined, apart in together:
-            if combined and apart and (item_id := self.patterns.get(" ".join(words(fold(apart))))):
-                self.patterns.setdefault(" ".join(words(fold(combined))), item_id)
+            if combined and apart and (item_id := self.patterns.get(tuple(words(fold(apart))))) and (name := tuple(words(fold(combined)))):
+                self.patterns.setdefault(name, item_id)
+        self.sets: dict[tuple[str, ...], set[int]] = {}
+        for name, item_id in self.patterns.items():
+            self.sets.setdefault(tuple(sorted(name)), set()).add(item_id)
         self.automaton = ahocorasick.Automaton()
         self.near: dict[str, list[str]] = {}
-        self.by_word: dict[str, list[int]] = {}
-        for pattern, item_id in self.patterns.items():
-            self.automaton.add_word(f" {pattern} ", (len(pattern), item_id))
-            for part in deletions(pattern, edits_allowed(len(pattern))):
-                self.near.setdefault(part, []).append(pattern)
-        for item_id, name in self.tokens.items():
-            for w in name:
-                self.by_word.setdefault(w[0], []).append(item_id)
+        self.begins: dict[str, list[str]] = {}
+        self.by_word: dict[str, list[tuple[str, ...]]] = {}
+        for name, item_id in self.patterns.items():
+            # a space on both sides of each word, so that neighbouring mentions share none
+            self.automaton.add_word("".join(f" {w} " for w in name), (len(name), item_id))
+            for w in dict.fromkeys(name):
+                self.by_word.setdefault(w, []).append(name)
+        for w in self.by_word:
+            for part in deletions(w, edits_allowed(len(w))):
+                self.near.setdefault(part, []).append(w)
+            for i in range(1, len(w)):
+                self.begins.setdefault(w[:i], []).append(w)
+        self.longest_word = max(map(len, self.by_word), default=0)
+        self.most_words = max(map(len, self.patterns), default=0)
         if self.patterns:
             self.automaton.make_automaton()
 
-    def mentions(self, name: str) -> list[tuple[int, int, int]]:
-        """(start, length, item) of the longest mentions that do not overlap, in their order."""
-        if not self.patterns:
+    def mentions(self, tokens: list[str]) -> list[tuple[int, int, int]]:
+        """(first word, words, item) of the longest mentions that do not overlap, in their order. Mentions are taken by length,
+        so one that overlaps an earlier one covers it with its first or last word: two looks for each, not one for each pair."""
+        if not self.patterns or not tokens:
             return []
-        text = f" {name} "
-        found = [(end - length - 1, length, item) for end, (length, item) in self.automaton.iter(text)]
-        kept: list[tuple[int, int, int]] = []
-        for start, length, item in sorted(found, key=lambda m: (-m[1], m[0])):
-            if all(start + length < s or s + n < start for s, n, _ in kept):
-                kept.append((start, length, item))
+        starts, at = {}, 0
+        for k, t in enumerate(tokens):
+            starts[at] = k
+            at += len(t) + 2
+        found: list[tuple[int, int, int, int]] = []
+        for end, (n, item) in self.automaton.iter("".join(f" {t} " for t in tokens)):
+            last = starts.get(end + 1, len(tokens))
+            first = last - n
+            found.append((sum(map(len, tokens[first:last])), first, n, item))
+        kept, taken = [], bytearray(len(tokens))
+        for _, first, n, item in sorted(found, key=lambda m: (-m[0], m[1])):
+            if not taken[first] and not taken[first + n - 1]:
+                taken[first : first + n] = b"\x01" * n
+                kept.append((first, n, item))
         return sorted(kept)
 
-    def closest(self, name: str) -> int:
-        """The item a name is a misspelling of: the nearest pattern within the allowed edits, 0 if none or a tie."""
-        most = edits_allowed(len(name))
-        seen: dict[str, int] = {}
-        for part in deletions(name, most):
-            for pattern in self.near.get(part, ()):
-                if pattern not in seen:
-                    seen[pattern] = distance(name, pattern, most)
-        best = min(seen.values(), default=most + 1)
-        if best > most:
-            return 0
-        items = {self.patterns[p] for p, d in seen.items() if d == best}
-        if len(items) > 1:  # rather the name itself than its plural or its form written together
-            own = {i for i in items if any(d == best and self.patterns[p] == i and tuple(p.split()) == self.tokens[i] for p, d in seen.items())}
-            items = own or items
-        if len(items) > 1:  # rather one that begins alike
-            alike = {self.patterns[p] for p, d in seen.items() if d == best and self.patterns[p] in items and p[:1] == name[:1] and len(p) >= len(name)}
-            items = alike or items
-        return items.pop() if len(items) == 1 else 0
-
-    def alike(self, tokens: list[str], short: set[str]) -> int:
-        """Token-set similarity: the item whose words the tokens stand for, in any order. A token in ``short`` (written
-        with a full stop) may also be the beginning of a word, and may stand for a whole name that begins with it."""
-        counted: dict[int, int] = {}
-        for t in set(tokens):
-            for item_id in self.by_word.get(t[0], ()):
-                counted[item_id] = counted.get(item_id, 0) + 1
-        scored: list[tuple[float, int]] = []
-        for item_id in counted:
-            left, total = list(self.tokens[item_id]), len(self.tokens[item_id])
-            hits, cost, abbreviated = 0, 0.0, False
-            for t in tokens:
-                best, at = 9.0, -1
-                for k, w in enumerate(left):
-                    d = float(distance(t, w, edits_allowed(min(len(t), len(w)))))
-                    if d > edits_allowed(min(len(t), len(w))):
-                        d = 0.5 if t in short and w.startswith(t) else 9.0
-                    if d < best:
-                        best, at = d, k
-                if at >= 0 and best < 9:
-                    hits, cost = hits + 1, cost + best
-                    abbreviated |= best == 0.5 or t in short
-                    left.pop(at)
-            if hits == len(tokens) and (not left or (abbreviated and self.tokens[item_id][0].startswith(tokens[0]))):
-                scored.append((2 * hits / (len(tokens) + total) - 0.1 * cost, item_id))
-        scored.sort(reverse=True)
-        if not scored or (len(scored) > 1 and scored[0][0] == scored[1][0]):
-            return 0
-        return scored[0][1]
-
-    def resolve(self, value: str) -> int:
-        """The item that a typed value stands for, 0 if none."""
+    def matches(self, token: str, short: bool) -> dict[str, float]:
+        """Words of the names that a word of a value may stand for, with how well."""
+        found: dict[str, float] = {}
+        if len(token) <= self.longest_word + 2:
+            for part in deletions(token, edits_allowed(len(token))):
+                for w in self.near.get(part, ()):
+                    if w not in found:
+                        most = edits_allowed(min(len(token), len(w)))
+                        d = distance(token, w, most)
+                        if d <= most:
+                            found[w] = 1 - EDIT_COST * d
+        if short:
+            for w in self.begins.get(token, ()):
+                found[w] = max(found.get(w, 0.0), BEGINNING)
+        return found
+
+    def similar(self, tokens: list[str], short: set[str]) -> tuple[int, set[int]]:
+        """(item, positions of the words it explains) of the best token-set score, (0, nothing) if there is none or a tie."""
+        if not tokens or LEAST_SCORE * len(tokens) > (2 - LEAST_SCORE) * self.most_words:
+            return 0, set()
+        at = [self.matches(t, t in short) for t in tokens]
+        best: list[tuple[tuple, int, set[int]]] = []
+        for name in {name for found in at for w in found for name in self.by_word[w]}:
+            pairs = sorted(((s, -i, -k) for i, found in enumerate(at) for k, w in enumerate(name) if (s := found.get(w)) is not None), reverse=True)
+            left, right, total = set(), set(), 0.0
+            for s, i, k in pairs:
+                if -i not in left and -k not in right:
+                    left.add(-i)
+                    right.add(-k)
+                    total += s
+            missing, whole = len(name) - len(right), len(name) == len(right)
+            if missing and len(left) == len(tokens) and 0 in right and any(t in short for t in tokens):
+                missing = 0  # a shortened name may leave out its further words
+            score = 2 * total / (len(tokens) + len(right) + missing)
+            if score >= LEAST_SCORE:
+                best.append(((round(score, 6), whole, len(right), name in self.own, name[0][0] == tokens[0][0], len("".join(name)) >= len("".join(tokens))), self.patterns[name], left))
+        if not best:
+            return 0, set()
+        top = max(b[0] for b in best)
+        items = {item: left for rank, item, left in best if rank == top}
+        return next(iter(items.items())) if len(items) == 1 else (0, set())
+
+    def resolve(self, value: str) -> tuple[int, str]:
+        """The item that a typed value stands for, 0 if none, and the stage that decided."""
         if value in self.exact:
-            return self.exact[value]
+            return self.exact[value], "exact"
         text = fold(value)
-        head = _TAIL.sub("", _NOTE.sub(" ", text)).strip() or text
-        tokens = [t for t in words(head) if not t.isdigit()]
-        core = [t for t in tokens if t not in ARTICLES] or tokens
-        if not core:
-            return 0
-        name = " ".join(core)
-        if name in self.patterns:
-            return self.patterns[name]
-        found = self.mentions(name)
-        if found:
-            rest = [t for t in words(self._without(name, found)) if t not in REMARKS and t not in ARTICLES]
-            items = {item for _, _, item in found}
-            if not rest and len(items) == 1:
-                return items.pop()
-            if not rest:
-                return max(found, key=lambda m: (m[1], -m[0]))[2]
-        if len(name) > MAX_FUZZY:
-            return 0
-        short = {words(m)[-1] for m in re.findall(r"[^\W\d_]+(?=\.)", head)}
-        if item := self.closest(name):
-            return item
-        plain = [t for t in core if t not in REMARKS]
-        if not plain:
-            return 0
-        if plain != core and (item := self.patterns.get(" ".join(plain)) or self.closest(" ".join(plain))):
-            return item
-        return self.alike(plain, short)
-
-    @staticmethod
-    def _without(name: str, found: list[tuple[int, int, int]]) -> str:
-        out, at = [], 0
-        for start, length, _ in found:
-            out.append(name[at:start])
-            at = start + length
-        return " ".join([*out, name[at:]])
+        tokens = [t for t in words(text) if not t.isdigit()]
+        found = self.mentions(tokens)
+        covered = {k for first, n, _ in found for k in range(first, first + n)}
+        silent = {k for k, t in enumerate(tokens) if k not in covered and (t in ARTICLES or t in REMARKS)}
+        rest = [k for k in range(len(tokens)) if k not in covered and k not in silent]
+        longest = max(found, key=lambda m: (sum(map(len, tokens[m[0] : m[0] + m[1]])), -m[0]))[2] if found else 0
+        if found and not rest:
+            if len(found) > 1 and len(one := self.sets.get(tuple(sorted(tokens[k] for k in covered)), ())) == 1:
+                return next(iter(one)), "automaton"
+            return longest, "automaton"
+        said = [k for k in range(len(tokens)) if k not in silent]
+        # a remark may be a word of a name too ("back" in "back rest"): all words are tried if the others give nothing
+        short = shortened(text)
+        for tried in (said, [k for k, t in enumerate(tokens) if t not in ARTICLES]) if silent else (said,):
+            item, explained = self.similar([tokens[k] for k in tried], short)
+            if not item and len(tried) > 1:
+                item, _ = self.similar(["".join(tokens[k] for k in tried)], set())
+                explained = set(range(len(tried)))
+            if item and (not found or any(tried[i] in rest for i in explained)):
+                return item, "similarity"
+        return (longest, "automaton") if found else (0, "none")
 
 
 class Mapper:
     """``Names`` of every kind, with a memory."""
 
-    def __init__(self, items: list[tuple[int, str, str]], together: list[tuple[str, str]]) -> None:
-        self.items, self.together, self.kinds = items, together, None
-        self.memo: dict[tuple[str, str], int] = {}
-
-    def __getstate__(self) -> dict:
-        return {"items": self.items, "together": self.together, "kinds": None, "memo": {}}
+    def __init__(self, items: Iterable[tuple[int, str, str]], together: Iterable[tuple[str, str]]) -> None:
+        self.items, self.together = tuple(items), tuple(together)
+        self.kinds: dict[str, Names] | None = None
+        self.memo: dict[tuple[str, str], tuple[int, str]] = {}
 
-    def __call__(self, kind: str | None, value: str | None) -> int:
+    def decide(self, kind: str | None, value: str | None) -> tuple[int, str]:
+        """The item of a value and the stage that decided."""
         if self.kinds is None:
             self.kinds = {k: Names([(i, n) for i, n, kk in self.items if kk == k], self.together) for k in {k for _, _, k in self.items}}
         if value is None or kind not in self.kinds:
-            return 0
-        if (item := self.memo.get((kind, value))) is None:
+            return 0, "none"
+        if (found := self.memo.get((kind, value))) is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            item = self.memo[kind, value] = self.kinds[kind].resolve(value)
-        return item
+            found = self.memo[kind, value] = self.kinds[kind].resolve(value)
+        return found
+
+    def __call__(self, kind: str | None, value: str | None) -> int:
+        return self.decide(kind, value)[0]
 
 
 def read_mapper(items: DataFrame, together: DataFrame | None = None) -> Mapper:
@@ -267,20 +276,33 @@ def read_mapper(items: DataFrame, together: DataFrame | None = None) -> Mapper:
     return Mapper(sorted(listed), sorted(pairs))
 
 
-def map_values(df: DataFrame, mapper: Mapper, kind: str = "kind", value: str = "value", out: str = "item_id") -> DataFrame:
-    """df with the item of each value, 0 where it stands for none."""
+_BUILT: dict[int, Mapper] = {}
+
+
+def on_worker(shared) -> Mapper:
+    """The worker's mapper of a broadcast list; automaton, index and memory last from task to task."""
+    key = hash(shared.value)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Mapper(*shared.value)
+    return _BUILT[key]
+
+
+def map_values(df: DataFrame, mapper: Mapper, kind: str = "kind", value: str = "value", out: str = "item_id", stage: str = "stage") -> DataFrame:
+    """df with the item of each value, 0 where it stands for none, and the stage that decided."""
+    shared = df.sparkSession.sparkContext.broadcast((mapper.items, mapper.together))
 
-    @F.pandas_udf("bigint")
-    def item(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("item bigint, stage string")
+    def decided(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        own = on_worker(shared)
         for kinds, values in batches:
-            yield pd.Series([mapper(k, v) for k, v in zip(kinds.array, values.array)], dtype="int64")
+            yield pd.DataFrame([own.decide(k, v) for k, v in zip(kinds.array, values.array)], columns=["item", "stage"])
 
-    return df.where(F.col(value).isNotNull()).withColumn(out, item(kind, value))
+    mapped = df.where(F.col(value).isNotNull()).withColumn("_decided", decided(kind, value))
+    return mapped.withColumns({out: F.col("_decided.item"), stage: F.col("_decided.stage")}).drop("_decided")
 
 
 def not_exact(df: DataFrame, mapper: Mapper, kind: str = "kind", value: str = "value") -> DataFrame:
-    """Rows whose value is not, byte for byte, an item of its kind. The list is small, so it becomes an IN set."""
-    exact = F.lit(False)
-    for k in sorted({k for _, _, k in mapper.items}):
-        exact = exact | ((F.col(kind) == k) & F.col(value).isin([n for _, n, kk in mapper.items if kk == k]))
-    return df.where(~exact)
+    """Rows whose value is not, byte for byte, an item of its kind: an anti join with the list, whose size is checked."""
+    listed = df.sparkSession.createDataFrame([(k, n) for _, n, k in mapper.items], "_kind string, _item string")
+    return df.join(F.broadcast(listed), (F.col(kind) == F.col("_kind")) & (F.col(value) == F.col("_item")), "left_anti")

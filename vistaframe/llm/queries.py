@@ -33,6 +33,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.map_values(typed, mapper).select("src", "record_id", "object_idx", "item_id").distinct()
 
 
+def p1_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """How many values each stage has decided."""
+    typed, mapper = _typed(spark, folder)
+    mapped = canonical.map_values(typed, mapper).select("src", "record_id", "object_idx", "kind", "stage").distinct()
+    return mapped.groupBy("src", "kind", "stage").agg(F.count("*").alias("n"))
+
+
 def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """Typed values that stand for no item, and in how many records."""
     typed, mapper = _typed(spark, folder)
@@ -112,7 +119,7 @@ def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_unmatched, p3_found, p3_report, p3_sample, p4_found, p4_counts, p5_found, p5_terms, p6_ids, p7_containers, p7_fill, p8_found, p8_reasons, p8_kept)
+        for f in (p1_found, p1_stages, p1_unmatched, p3_found, p3_report, p3_sample, p4_found, p4_counts, p5_found, p5_terms, p6_ids, p7_containers, p7_fill, p8_found, p8_reasons, p8_kept)
     }
 
 
