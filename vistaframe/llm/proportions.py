@@ -1,10 +1,13 @@
 """A sample whose categories have given shares, with floors for small ones and a report of targets that cannot be met.
 
-Method: calibration and the pivotal method. Rows are weighted by exponential tilting; Newton iterations on the dual find the
-weights at which the expected category counts meet the targets (weights above 1 are set to 1 and the rest calibrated
-again). The moments of all iterations follow from one count per category, made distributedly. The sample is drawn with the
-resulting probabilities by the pivotal method, in blocks and then among the blocks' undecided rows, so that the size of
-every category is exact.
+Method: calibration and the pivotal method. Every record starts with the weight that its category's share asks
+for and is tilted exponentially; Newton iterations on the dual
+find the multipliers at which the expected counts meet two margins that overlap: the share of each type is an equation, and
+each category within it has its need as a floor; a weight is at most 1. A floor or a bound that holds has a multiplier of its
+own, so that the others share what is left in their type. The moments of all iterations follow from one count for each
+pattern, made distributedly. What calibration gives a category less than its need is its gap, and is reported. The expected
+counts are rounded, largest remainder first, and the sample is drawn with the resulting probabilities by the pivotal
+method, in blocks and then among the blocks' undecided rows, so that the size of every category is exact.
 
 At scale: one narrow row (id, category) for each record; a category is cut into blocks of ``BLOCK_ROWS`` by hash, however
 many rows it has; the levels after the first have a row for each block. The driver sees one row for each target.
@@ -12,9 +15,11 @@ many rows it has; the levels after the first have a row for each block. The driv
 Defined cases
 * records sent again: once. A null id: not sampled and not counted. Null, blank and missing answers: the category of their
   type with a null answer. A null type, or one without a category: in no category.
-* a category with fewer rows than its need: all its rows, reported as short. No rows at all: likewise.
+* a category with fewer rows than its need: all its rows, reported as short. No rows at all: likewise. Its type makes up for
+  it; a type that cannot is made up for by the others, in proportion to their shares.
 * needs of more than the sample size together: every need is met as far as the rows go, and the sample is larger.
-* ties: by hash, then id. An empty table: an empty sample, every target with a need is short.
+* ties: by hash, then id; of equal remainders the lower category. An empty table: an empty sample, every target with a need
+  is short.
 """
 
 from __future__ import annotations
@@ -31,60 +36,73 @@ BLOCK_ROWS = 20_000
 MAX_TARGETS = 10_000
 
 
-def calibrate(moments: np.ndarray, counts: np.ndarray, targets: np.ndarray, steps: int = 100) -> np.ndarray:
+def calibrate(moments: np.ndarray, counts: np.ndarray, targets: np.ndarray, floors: np.ndarray | None = None, base: np.ndarray | None = None, steps: int = 300) -> np.ndarray:
     """Probabilities of the patterns (rows of moments, held by so many records each) whose expected moments are the targets.
 
-    Newton's method on the dual of exponential tilting, sum(n_p * exp(x_p . l)) - t . l; a probability above 1 is set to 1
-    and the others are calibrated to what is left. Moments that no record can give are left out."""
+    Newton's method on the dual of bounded exponential tilting: a pattern's probability is base_p * exp(x_p . l), at least its
+    floor by its count and at most 1 (0 without a base, as far as the floor allows). Each step is halved until the dual falls; a multiplier that no pattern between its bounds
+    depends on moves by one. Targets that cannot be met leave their patterns at the bounds."""
     p = np.zeros(len(counts))
-    free = counts > 0
-    fixed = np.zeros(len(counts), dtype=bool)
-    while True:
-        use = free & ~fixed
-        left = targets - moments[fixed].T @ counts[fixed].astype(float)
-        dims = np.flatnonzero((moments[use].sum(axis=0) > 0) & (left > 1e-12)) if use.any() else np.array([], dtype=int)
-        p[use] = 0.0
-        use &= moments[:, dims].sum(axis=1) > 0
-        if not use.any():
+    use = counts > 0
+    if not use.any() or not moments.shape[1]:
+        return p
+    x, n, t = moments[use].astype(float), counts[use].astype(float), targets.astype(float)
+    low = np.zeros(len(n)) if floors is None else np.minimum(floors[use] / n, 1.0)
+    log_low = np.log(np.maximum(low, 1e-300))
+    log_base = np.zeros(len(n)) if base is None else np.log(np.maximum(base[use], 1e-300))
+
+    def dual(lam: np.ndarray) -> float:
+        z = x @ lam + log_base
+        inner = np.exp(np.clip(z, log_low, 0.0))
+        return float(n @ (inner + np.maximum(z, 0.0) + low * np.minimum(z - log_low, 0.0)) - t @ lam)
+
+    held = x.T @ (n * np.exp(log_base))
+    lam = np.log(np.clip(t / np.maximum(held, 1e-300), 1e-12, 1e12)) / max(1.0, x.sum(axis=1).max())
+    for _ in range(steps):
+        e = np.exp(np.clip(x @ lam + log_base, -700, 50))
+        w = np.clip(e, low, 1.0)
+        gradient = x.T @ (n * w) - t
+        gradient[(lam >= 60) & (gradient < 0)] = 0.0
+        gradient[(lam <= -60) & (gradient > 0)] = 0.0
+        if np.abs(gradient).max() <= 1e-10 * max(1.0, np.abs(t).max()):
             break
-        x, n, t = moments[np.ix_(use, dims)], counts[use].astype(float), left[dims]
-        lam = np.full(len(dims), np.log(t.sum() / n.sum()))
-        lam /= max(1.0, x.sum(axis=1).mean())
-        for _ in range(steps):
-            w = n * np.exp(np.clip(x @ lam, -700, 50))
-            gradient = x.T @ w - t
-            if np.abs(gradient).max() <= 1e-10 * max(1.0, t.max()):
+        hessian = (x * (n * e * ((e > low) & (e < 1)))[:, None]).T @ x
+        flat = np.diag(hessian) <= 1e-12
+        step = np.linalg.lstsq(hessian, np.where(flat, 0.0, gradient), rcond=None)[0]
+        step[flat] = np.sign(gradient[flat])
+        step *= min(1.0, 3.0 / max(1e-300, np.abs(step).max()))
+        before = dual(lam)
+        for _ in range(40):
+            after = np.clip(lam - step, -60, 60)
+            if dual(after) <= before:
                 break
-            step = np.linalg.lstsq((x * w[:, None]).T @ x, gradient, rcond=None)[0]
-            lam -= step * min(1.0, 3.0 / max(1e-300, np.abs(step).max()))
-        p[use] = np.exp(np.clip(x @ lam, -700, 50))
-        over = use & (p > 1 + 1e-9)
-        if not over.any():
-            p[use] = np.minimum(p[use], 1.0)
-            break
-        fixed |= over
-        p[over] = 1.0
-    p[fixed] = 1.0
+            step /= 2
+        lam = after
+    p[use] = np.clip(np.exp(np.clip(x @ lam + log_base, -700, 50)), low, 1.0)
+    p[p < 1e-12] = 0.0
     return p
 
 
-def allocate(available: list[int], permille: list[int], least: list[int], n: int) -> tuple[list[int], list[int]]:
-    """(needs, sizes) of the categories: sizes meet the needs as far as rows go and add up to n where they can."""
-    need = [max(m * n // 1000, f) for m, f in zip(permille, least)]
-    size = [min(a, d) for a, d in zip(available, need)]
-    while (spare := n - sum(size)) > 0:
-        open_ = [i for i in range(len(size)) if size[i] < available[i] and permille[i] > 0]
-        if not open_:
-            break
-        share = sum(permille[i] for i in open_)
-        exact = {i: spare * permille[i] / share for i in open_}
-        add = {i: min(int(exact[i]), available[i] - size[i]) for i in open_}
-        if not any(add.values()):
-            for i in sorted(open_, key=lambda i: (-exact[i], i))[:spare]:
-                add[i] = 1
-        for i, k in add.items():
-            size[i] += k
-    return need, size
+def shared_out(shares: np.ndarray, least: np.ndarray, most: np.ndarray, total: float) -> np.ndarray:
+    """Amounts in proportion to the shares, between their bounds, which add up to the total where the bounds allow it."""
+    most = np.where(shares > 0, most, least)
+    goal = min(max(total, least.sum()), most.sum())
+    low, high = 0.0, float((most[shares > 0] / shares[shares > 0]).max(initial=0.0))
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if np.clip(shares * middle, least, most).sum() < goal else (low, middle)
+    return np.clip(shares * high, least, most)
+
+
+def rounded(expected: np.ndarray) -> list[int]:
+    """Whole numbers with the same sum, largest remainder first, ties by position."""
+    exact = np.round(expected, 6)
+    size = np.floor(exact).astype(int)
+    spare = int(round(float(exact.sum()))) - int(size.sum())
+    order = sorted(range(len(size)), key=lambda i: (-round(float(exact[i] - size[i]), 6), i))
+    for i in order[: max(0, spare)]:
+        size[i] += 1
+    return size.tolist()
 
 
 def pivotal(p: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -174,15 +192,27 @@ class Plan:
         self.total = sum(counted.values())
         self.n = self.total // one_in
         self.available = [counted.get(c, 0) for c, *_ in self.targets]
-        self.need, size = allocate(self.available, [m for *_, m, _ in self.targets], [f for *_, f in self.targets], self.n)
-        k = len(self.targets)
-        self.p = calibrate(np.eye(k), np.array(self.available), np.array(size, dtype=float)) if k else np.array([])
-        self.size = [round(float(p) * a) for p, a in zip(self.p, self.available)]
+        permille, least = [t[3] for t in self.targets], [t[4] for t in self.targets]
+        self.need = [max(m * self.n // 1000, f) for m, f in zip(permille, least)]
+        types = sorted({t[1] for t in self.targets if t[1] is not None})
+        x = np.array([[float(t[1] == k) for k in types] for t in self.targets]).reshape(len(self.targets), len(types))
+        available, floors = np.array(self.available, dtype=float), np.minimum(self.need, self.available).astype(float)
+        asked = np.array(permille, dtype=float)
+        margins = shared_out(x.T @ asked, x.T @ floors, x.T @ np.where(asked > 0, available, floors), float(self.n)) if types else np.array([])
+        #: Expected counts after calibration, and what they lack.
+        self.expected = np.round(calibrate(x, available, margins, floors, asked / np.maximum(available, 1.0)) * available, 6)
+        self.gap = np.round(np.maximum(np.array(self.need, dtype=float) - self.expected, 0.0), 4)
+        self.size = rounded(self.expected)
+        self.p = [s / a if a else 0.0 for s, a in zip(self.size, self.available)]
 
     def report(self) -> DataFrame:
-        """(category_id, need, available, drawn, short)."""
-        rows = [(c, d, a, s, a < d) for (c, *_), d, a, s in zip(self.targets, self.need, self.available, self.size)]
-        return self.spark.createDataFrame(rows, "category_id int, need long, available long, drawn long, short boolean")
+        """(category_id, need, available, expected, drawn, target_share, share, gap, short): share is that of the sample."""
+        drawn = max(1, sum(self.size))
+        rows = [
+            (c, d, a, round(float(e), 4), s, m / 1000, round(s / drawn, 6), float(g), bool(g > 0))
+            for (c, _, _, m, _), d, a, e, s, g in zip(self.targets, self.need, self.available, self.expected, self.size, self.gap)
+        ]
+        return self.spark.createDataFrame(rows, "category_id int, need long, available long, expected double, drawn long, target_share double, share double, gap double, short boolean")
 
     def sample(self) -> DataFrame:
         """(<id>, category_id) of the sample."""

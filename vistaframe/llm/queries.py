@@ -48,7 +48,8 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _plan(spark, folder).report().where("short").select("category_id")
+    """Categories to which calibration gives less than their need."""
+    return _plan(spark, folder).report().where("gap > 0").select("category_id")
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,10 +138,39 @@ c AS (
          LEFT JOIN sample_target d ON d.question_type = v.t AND d.answer IS NULL
   GROUP BY 1
 ), r AS (
-  SELECT t.category_id, greatest(t.target_permille * n.n // 1000, t.min_rows)::BIGINT AS need, coalesce(c.available, 0)::BIGINT AS available
+  SELECT t.category_id, t.question_type, t.target_permille, n.n, greatest(t.target_permille * n.n // 1000, t.min_rows)::BIGINT AS need, coalesce(c.available, 0)::BIGINT AS available
   FROM sample_target t CROSS JOIN n LEFT JOIN c ON c.category_id = t.category_id
 )"""
 
+#: The expected counts by bisection: s shares the sample out to the types, w the type's part to its categories, by their shares.
+_P3_REPORT = _P3.replace("WITH v AS", "WITH RECURSIVE v AS", 1) + """
+, k AS (
+  SELECT question_type AS t, sum(target_permille)::DOUBLE AS share, sum(least(need, available))::DOUBLE AS lo,
+         sum(CASE WHEN target_permille > 0 THEN available ELSE least(need, available) END)::DOUBLE AS hi, any_value(n)::DOUBLE AS n FROM r GROUP BY 1
+), g AS (SELECT least(greatest(any_value(n), sum(lo)), sum(hi)) AS goal, max(CASE WHEN share > 0 THEN hi / share ELSE 0 END) AS most FROM k),
+s AS (
+  SELECT 0 AS i, 0::DOUBLE AS lo, most AS hi FROM g
+  UNION ALL
+  SELECT i + 1, CASE WHEN f < goal THEN (lo + hi) / 2 ELSE lo END, CASE WHEN f < goal THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT s.i, s.lo, s.hi, g.goal, sum(greatest(k.lo, least(k.hi, k.share * (s.lo + s.hi) / 2))) AS f FROM s CROSS JOIN g CROSS JOIN k WHERE s.i < 100 GROUP BY ALL)
+), m AS (SELECT t, greatest(k.lo, least(k.hi, k.share * s.hi)) AS margin FROM k CROSS JOIN s WHERE s.i = 100),
+w AS (
+  SELECT m.t, 0 AS i, 0::DOUBLE AS lo, max(CASE WHEN r.target_permille > 0 THEN r.available / r.target_permille ELSE 0 END)::DOUBLE AS hi
+  FROM m JOIN r ON r.question_type = m.t GROUP BY m.t
+  UNION ALL
+  SELECT t, i + 1, CASE WHEN f < margin THEN (lo + hi) / 2 ELSE lo END, CASE WHEN f < margin THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT w.t, w.i, w.lo, w.hi, m.margin, sum(greatest(least(r.need, r.available), least(r.available, r.target_permille * (w.lo + w.hi) / 2))) AS f
+        FROM w JOIN m USING (t) JOIN r ON r.question_type = w.t WHERE w.i < 100 GROUP BY ALL)
+), e AS (
+  SELECT r.*, round(greatest(least(r.need, r.available), least(r.available, r.target_permille * w.hi)), 6) AS exact FROM r JOIN w ON w.t = r.question_type AND w.i = 100
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY round(exact - floor(exact), 6) DESC, category_id) AS place,
+         round(sum(exact) OVER ())::BIGINT - sum(floor(exact)) OVER () AS spare FROM e
+), d AS (SELECT *, (floor(exact) + CASE WHEN place <= spare THEN 1 ELSE 0 END)::BIGINT AS drawn FROM o)
+SELECT category_id, need, available, round(exact, 4) AS expected, drawn, target_permille::DOUBLE / 1000 AS target_share,
+       round(drawn::DOUBLE / greatest(1, sum(drawn) OVER ()), 6) AS share, round(greatest(need - exact, 0), 4) AS gap, round(greatest(need - exact, 0), 4) > 0 AS short FROM d
+"""
+
 _P5 = rf"""
 WITH docs AS (SELECT annotation_id, any_value(doc) AS doc FROM annotation GROUP BY annotation_id),
 ok AS (
@@ -170,6 +200,7 @@ marked AS (
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _P3 + " SELECT category_id FROM r WHERE available < need",
+        "p3_report": _P3_REPORT,
         "p5_found": _P5 + " SELECT field, unit, term, mark FROM marked WHERE mark IS NOT NULL",
         "p5_terms": _P5 + " SELECT field, unit, term, occurrences, records, mark FROM marked",
     }
