@@ -1,17 +1,22 @@
 r"""Template residue, filler, error pages and notices about scripts.
 
-Method: texts are cut into sentences; numbers, addresses and dates are masked; sentences that hold a cue are grouped by the
-exact hash of their normalised form across all sources; each group is classified once, by phrase and placeholder rules,
-weak phrases only if the group recurs widely (``WIDE_TEXTS`` texts of ``WIDE_SOURCES`` sources); the classes go back to the
-texts by hash. A mention is no case: quoted spans are taken out before the phrases are looked for, and a placeholder
-within a sentence that explains templates is left alone.
-
-At scale: only sentences with a cue are shuffled, as a hash and the id, and the group's form is pre-aggregated in each map
-task; the classes are joined back with ``SALTS`` salts, so a message that a third of all texts carry is spread.
+Method: texts are cut into sentences; numbers, addresses and dates are masked, case and white space evened out; every
+sentence is hashed, and the texts and sources of each hash are counted exactly across the whole collection. Sentences that
+hold a slot or a cue (a word or shape without which no rule can fire) carry their form; each distinct form is classified
+once, by placeholder and phrase rules. One that recurs widely (in ``WIDE_TEXTS`` texts and ``WIDE_SOURCES`` sources) is
+also tried with the wider rules for messages that no list foresees: it addresses the reader and speaks of what failed or is
+missing. The classes go back to the texts by hash. A mention is no case: quoted spans are taken out before phrases are
+looked for, a phrase counts only where a message may begin and end, and a placeholder in a sentence that talks about
+templates, prompts or markup is left alone.
+
+At scale: a text becomes one row with its hashes and its few forms, written once. Counting shuffles (hash, source) after a
+count in each map task. Distinct forms are far fewer than sentences. A form in more than one in ``HOT_SHARE`` of the rows
+goes back by broadcast (there can be no more than ``HOT_SHARE`` of them), the others by a shuffle.
 
 Defined cases
 * null, empty and blank texts: no case. A null source: a source of its own. A null id: comes out as null if it is a case.
-* a text of many cases: one row (``residue``) or one row for each class (``found``). Repeated rows: one row.
+* a text of many cases: one row (``residue``) or one row for each class (``found``). Repeated rows: one row; each counts as
+  a text for the recurrence.
 * very long texts: whole. Ties: none, rules are read in a fixed order. Columns besides those named: not read.
 """
 
@@ -22,10 +27,12 @@ from pyspark.sql import functions as F
 
 from vistaframe.session import cut
 
-WIDE_TEXTS, WIDE_SOURCES, SALTS = 5, 2, 16
+WIDE_TEXTS, WIDE_SOURCES = 5, 2
+#: At most so many forms can hold more than the 1 / HOT_SHARE part of the rows each: the bound of what is broadcast.
+HOT_SHARE = 2000
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.]{0,40}(?: [A-Za-z]{2,12}){0,2}"
-_LONG = r"[A-Za-z_][A-Za-z0-9_.]{2,40}(?: [A-Za-z]{2,12}){0,2}"
+_NAME = r"[A-Za-z_][A-Za-z0-9_.]*(?: [A-Za-z]{2,12}){0,2}"
+_LONG = r"[A-Za-z_][A-Za-z0-9_.]{2,}(?: [A-Za-z]{2,12}){0,2}"
 #: Tags that belong to a page or to a prompt, so that they are no slots. Fixed values.
 _TAGS = (
     r"(?:a|abbr|article|aside|audio|b|blockquote|body|br|button|canvas|code|div|em|error|figure|footer|form|h[1-6]|head|header|hr|"
@@ -33,6 +40,8 @@ _TAGS = (
     r"span|strong|style|sub|sup|svg|table|tbody|td|template|textarea|th|thead|title|tr|u|ul|video|im_start|im_end|pad|unk|bos|eos|mask)"
 )
 
+#: A slot that looks like a tag: not in a sentence that closes a tag. Fixed values.
+TAG_SLOT = rf"(?<!<)<(?!{_TAGS}\s*/?>){_LONG}\s*/?>(?!>)"
 #: Ways to write a slot. Fixed values.
 SLOTS = [
     rf"\{{\{{\{{?\s*(?:{_NAME})?\s*\}}?\}}\}}",
@@ -44,14 +53,13 @@ SLOTS = [
     rf"(?<![\w%])%{_LONG}%",
     r"(?<![\w%])%[sd]s?(?!\w)",
     rf"\[\[\s*{_NAME}\s*\]\]",
-    r"(?i:\[(?:your|insert|enter|add) [^\[\]\n]{2,40}\])",
+    r"(?i:\[(?:your|insert|enter|add) [^\[\]\n]{2,}\])",
     r"\[(?:TBD|TK|TODO|TBA|XX+)\]",
     rf"(?<![\w\[])\[(?!(?:null|true|false|none|sic|image|link|inst|sep|cls|pad|mask|unk)\]){_LONG}\](?![\](])",
     rf"<<\s*{_NAME}\s*>>",
     rf"<%=?\s*{_NAME}\s*%>",
     rf"\{{%\s*{_NAME}\s*%\}}",
-    r"(?i:<(?:insert|your|enter) [^<>\n]{2,40}>)",
-    rf"(?<!<)<(?!{_TAGS}\s*/?>)({_LONG})\s*/?>(?!>)(?![\s\S]{{0,300}}</\1>)",
+    r"(?i:<(?:insert|your|enter) [^<>\n]{2,}>)",
     rf"(?<!\w)TBD:\s?{_NAME}",
     r"(?<![\w-])X{4,}(?![\w-])",
     r"(?<![\w?!])\?{4,}",
@@ -64,26 +72,15 @@ SLOTS = [
     r"(?<![\w_])_{3,}(?!_)",
     rf"(?i:\({_NAME} goes here\))",
 ]
-#: Words of a sentence that speaks about templates instead of being one. Fixed values.
+#: Words of a sentence that talks about templates, prompts, markup or wording instead of being an unfilled one. Fixed values.
 EXPLAINS = (
-    r"(?iu)\btemplates?\b|\bplaceholders?\b|\bslots?\b|prompts? wrote|newer ones\b|\bthe mark\b|still hold|prompt builder|"
-    r"goes? here\b.*\bexplained|where the name goes|vorlagen?\b|platzhalter|plantillas?\b|marcador|modèles? de question|gabarit|"
-    r"(?:is|are|was|were) replaced (?:by|before|at)|\bremplacée?s? (?:par|avant)|wird vor der ausgabe ersetzt|f\"[^\"]*\{|\\frac|\\sum"
+    r"(?iu)\b(?:templates?|placeholders?|slots?|variables?|syntax|notation|markup|markers?|format strings?|string literals?|regex(?:es)?|curly braces?|brackets|tutorials?|manuals?|guides?|docs|documentation|"
+    r"the (?:word|words|string|strings|tag|tags|token|tokens|mark|marks)|wrote|written as|is spelled|spelt|stands? for|denotes?|refers? to|rejects?|rejected|escapes?|escaped|documents?|documented|explains?|explained|"
+    r"(?:is|are|was|were|gets?|be) (?:replaced|substituted|filled|expanded|rendered)|yields?|expands? to)\b|"
+    r"\b(?:vorlagen?|platzhalter|schreibweise|plantillas?|marcador(?:es)?|gabarits?|modèles? de (?:question|texte|phrase|page|document))\b|(?:wird|werden) [^.]*ersetzt|\b(?:est|sont) remplacée?s?|\bremplacée?s? (?:par|avant)|\b(?:se )?sustituye|"
+    r"\bf\"[^\"]*\{|\\(?:frac|sum|int|sqrt|text|mathbb)\b"
 )
 
-#: Stock sentences that stand where content should be. Fixed values.
-FILLER = [
-    r"^(?:your|my) (?:description|caption|text|title|answer|name|content|notes?) (?:goes )?here\W*$",
-    r"^(?:enter|type|write|put|add|insert) (?:[\w']+ ){1,5}(?:here|(?:in|into) (?:this|the) (?:box|field|area))\W*$",
-    r"^(?:sample|dummy|placeholder|example|test|filler) (?:caption|entry|text|description|title|content)s?\b(?:, replace me)?\W*$",
-    r"^(?:caption|description|text|content|title|answer|notes?) (?:to be added|to follow|coming soon|goes here|will follow|pending)\W*$",
-    r"^(?:hier steht (?:später|bald) (?:der|die|das) \p{L}+|blindtext(?:, bitte ersetzen)?|(?:text|beschreibung) folgt(?: noch)?|platzhaltertext)\W*$",
-    r"^(?:(?:la|le) (?:description|texte|légende) viendra ici|texte à remplacer|texte de remplissage|description à venir)\W*$",
-    r"^(?:aquí va (?:la|el) \p{L}+|texto de (?:relleno|prueba|ejemplo)|descripción pendiente)\W*$",
-    r"^type something(?:\W+type something|\W*$)",
-]
-#: The one stock phrase that counts wherever it stands in a sentence, if it is repeated.
-TYPED = r"(?:type something\W+){2}"
 _LATIN = (
     "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|et|labore|dolore|magna|aliqua|"
     "enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|"
@@ -116,160 +113,253 @@ FOUR_TIMES = "|".join(rf"(?<!\p{{L}})({_W}{(' ' + _W) * k}+)(?:{_GAP}\{k + 1}){{
 #: One to four words, three times, and nothing else.
 ONLY_REPEATED = "^(?:" + "|".join(rf"({_W}{(' ' + _W) * k}+)(?:{_GAP}\{k + 1}){{2}}\W*$" for k in range(4)) + ")"
 
+#: Words of pseudo-Latin that are no words of the languages around it. Fixed values.
+_LATIN_ONLY = (
+    "lorem|ipsum|dolor|amet|consectetur|adipiscing|eiusmod|tempor|incididunt|labore|dolore|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|commodo|consequat|aute|irure|"
+    "reprehenderit|voluptate|velit|esse|cillum|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|proident|sunt|culpa|officia|deserunt|mollit|anim|laborum"
+)
+#: One to four words that follow on themselves: what all repeats hold.
+TWICE = rf"(?<!\p{{L}})({_W}(?: {_W}){{0,3}}?){_GAP}\1(?!\p{{L}})"
+
+#: What a text is made of, in the stock sentences that stand in its place. Fixed values.
+_PART = r"(?:caption|description|text|title|heading|answer|question|name|content|notes?|summary|comments?|message|label|paragraph|sentence|entry|body|bio|headline|abstract|story|details?)"
+#: Stock sentences that stand where content should be, whole. Fixed values.
+FILLER = [
+    rf"(?:your|my|the|this|some|insert|add|put|write) (?:[\w'’-]+ ){{0,3}}?{_PART}s? (?:goes |will go |belongs |comes |will be |to go )?(?:in )?here",
+    rf"(?:please )?(?:enter|type|write|put|add|insert|paste|provide|fill in) (?:[\w'’-]+ ){{1,5}}(?:here|below|(?:in|into) (?:this|the) (?:box|field|area|form|space))",
+    rf"(?:please )?(?:enter|type|insert|paste|add|write) your (?:[\w'’-]+ ){{0,2}}[\w'’-]+(?: here)?",
+    rf"(?:this is |here is )?(?:an? |the |some |just )?(?:sample|dummy|placeholder|example|test|filler|default|demo|mock|boilerplate) {_PART}s?\b[^.!?]{{0,40}}",
+    rf"{_PART} (?:to be (?:added|written|determined|announced|completed|confirmed|done|supplied|provided)|to follow|to come|coming soon|goes here|will follow|will be added(?: later| soon)?|pending|tbd|tba|missing, please add)",
+    rf"(?:this|the|me|these)? ?(?:{_PART} )?(?:to be (?:determined|announced|written|completed|added|replaced|filled in)(?: later| soon)?|coming soon|under construction|work in progress|content pending)",
+    rf"(?:please )?(?:replace|edit|change|overwrite|update|delete|remove) (?:this|the|me)(?: (?:sample|dummy|placeholder|example|default))?(?: {_PART})?(?: (?:with|by|before) [^.!?]{{1,40}})?",
+    rf"(?:no|without) {_PART} (?:available|provided|entered|given|yet|has been (?:added|provided|entered))(?: yet)?",
+    r"type something(?:\W+type something)*|(?:insert|your) (?:text|caption) here",
+    r"hier (?:steht|folgt|kommt) (?:später |bald |noch )?(?:der|die|das|ihr|ein|eine)? ?\p{L}+|hier (?:\p{L}+ )?(?:text|beschreibung|titel) (?:einfügen|eingeben|eintragen)|(?:blind|platzhalter|muster|beispiel)text\b[^.!?]{0,40}|(?:text|beschreibung|inhalt|titel) (?:folgt|kommt)(?: noch| bald| später| in kürze)?",
+    r"(?:la|le|votre|un|une|du) ?(?:description|texte|légende|titre|contenu) (?:viendra|ira|sera ajouté\w*|à compléter|à remplacer|à venir|ici)\b[^.!?]{0,30}|texte (?:à remplacer|de remplissage|factice|d['’]exemple|à venir|ici)|(?:description|légende|titre|contenu) (?:à venir|à compléter)|(?:insérez|saisissez|entrez|écrivez) (?:votre|le|la|un|une) [^.!?]{1,40} ici",
+    r"aquí (?:va|irá|viene|aparecerá) (?:la|el|su|tu|un|una) \p{L}+|texto de (?:relleno|prueba|ejemplo|muestra)\b[^.!?]{0,30}|(?:descripción|título|contenido|texto) (?:pendiente|por definir|próximamente)|(?:escriba|introduzca|inserte|ingrese|escribe) (?:su|tu|el|la|un|una|aquí) [^.!?]{0,40}",
+]
+#: Repeats of one stock phrase, wherever they stand.
+TYPED = r"(?:type something\W+){2}"
+
 #: Reasons that follow a status code. Fixed values.
 _REASONS = (
-    "bad request|unauthorized|payment required|forbidden|not found|method not allowed|not acceptable|request timeout|conflict|gone|"
-    "too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway timeout"
+    "bad request|unauthorized|payment required|forbidden|(?:page |file )?not found|method not allowed|not acceptable|request time-?out|conflict|gone|"
+    "too many requests|internal server error|(?:internal )?error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out"
 )
-STATUS = rf"(?<!\w)(?:http |status |error )?\d{{1,9}}(?: ?[-|:(] ?| )(?:{_REASONS})\b"
-#: What pages print around their message. Fixed values.
-FURNITURE = (
-    r"(?>©[^.|\n]{0,30}?browser|retry|back to (?:the )?start(?: page)?|home \| scenes \| help|(?:incident|reference|request id):? ?[0-9a-f]+|"
-    r"(?:- ?){2,40}+|oops!?|contact the site team if this persists|refresh to retry|</?noscript>|</?message>|</?error>|<code>\d{1,9}</code>|"
-    r"(?:reason|detail|message|error|warning)\s*:|[*•>#]{1,9}+|-)[\s.:]{0,9}+"
+STATUS = rf"(?<!\w)(?:http |status |error )?\d{{1,9}}(?: ?[-–—|:(] ?| )(?:{_REASONS})\b(?=\W*(?:$|\s(?-i:\p{{Lu}}))|\s*[|)<:.!–—-]|\s+(?:nginx|apache|cloudflare|openresty|microsoft-iis)\b)"
+#: A code after a word for it, where a message begins, with nothing or the start of a message after it.
+CODE = r"(?:http(?:/\d(?:\.\d)?)?|error|status|status code|error code|fehler|erreur|código|code)[ :#]{1,2}[45]\d\d\b(?=\W*$|\W*\s(?-i:\p{Lu})|\s*[|:(–—-])"
+#: Where a message may begin: at the start, after the end of another or a divider, or at a capital letter.
+_BEGIN = r"(?:^|(?<=[.!?:;|>•*©–—#-]) ?|(?<= )(?=(?-i:\p{Lu})))[\W_]{0,9}(?:(?:sorry|oops|ups|whoops|uh[ -]oh|error|warning|notice|attention|hinweis|fehler|désolé|erreur|lo sentimos|error|aviso|reason|detail|message|status)\b[\W_]{1,4}){0,3}?"
+#: Where it may end: at the end of the sentence, before markup or a capital letter, or before what to do.
+_NEXT = r"(?:please|try|retry|sorry|slow down|check|contact|go|return|reload|refresh|come|bitte|versuchen|veuillez|réessayez|merci|inténtelo|intente|vuelva|por favor|or |and (?:may|might|could)\b)"
+_STOP = rf"(?=\W{{0,3}}$|\s*[.!?;:<|(]|\s*[–—-]+(?:\s|$)|\s*, ?{_NEXT}|\s+(?:{_NEXT}|[\d©]|(?:for (?:the|a) (?:moment|while)|(?:right )?now|at (?:this|the) (?:time|moment)|(?:for )?maintenance|anymore|any more|any longer|on (?:this|our) (?:server|site|host|system)|in (?:your|this) (?:country|region|area|location|browser)|momentarily|temporarily)\b)|\s+(?-i:\p{{Lu}}))"
+_THING = (
+    r"(?:page|web ?page|scene|view|record|request|caption|servers?|service|file|content|link|url|address|annotation|session|token|site|website|web ?site|document|resource|item|entry|image|picture|photo|video|media|article|"
+    r"post|gateway|host|proxy|connection|database|account|app|application|system|feed|form|product|upload|download|operation|transaction|login|domain|backend|upstream|listing|profile|feature|tool|viewer|map)"
 )
-_START = rf"^(?:(?:{FURNITURE})|(?>{STATUS}\)?[\s.:]{{0,9}})){{0,12}}+"
-_STOP = r"(?=\s*(?:$|[.,;:!(<–|\"-])|\s+(?-i:\p{Lu})|\s+©)"
-_THING = r"(?:page|scene|view|record|request|caption|server|service|file|content|link|annotation|session|site|document|resource|item|entry|image|picture)"
-
-#: Messages, each from the start of its sentence. Fixed values.
+_CANNOT = r"(?:could not|cannot|can ?not|can['’]t|couldn['’]t|was unable to|were unable to|is unable to|are unable to|failed to)"
+_DONE = r"(?:found|loaded|completed|displayed|opened|reached|processed|located|accessed|retrieved|established|verified|shown|fetched|saved|rendered|resolved|handled|authenticated|played|downloaded|uploaded|started)"
+_LOST = r"(?:removed|deleted|moved|disabled|suspended|blocked|restricted|archived|closed|taken down|withdrawn|discontinued|terminated)"
+#: Messages, each where one may begin. Fixed values.
 MESSAGES = [
-    rf"(?:(?:the|this|that|your|our|an?) )?(?:[a-z]+ ){{0,2}}?{_THING}(?: you (?:opened|asked for|requested|are looking for))? (?:is (?:temporarily |currently )?(?:unavailable|not available)|is no longer available|"
-    r"is (?:down for maintenance|broken|offline)|(?:could not|cannot|can ?not|can't|couldn't) be (?:found|loaded|completed|displayed|opened|reached|processed)|was (?:refused|denied|rejected|not found)|"
-    rf"has been (?:removed|deleted|moved)|has (?:ended|expired)|timed out|did not respond|does not (?:exist|respond)|(?:has )?failed(?: with an? (?:unknown |internal |unexpected )?error)?|took too long to respond|not found){_STOP}",
-    r"(?:access denied|permission denied|something went wrong|an? (?:unexpected|internal|unknown) error (?:has )?occurred|(?:sorry, )?we (?:could not|couldn't|cannot|can't) find|unable to (?:load|open|connect|reach)|"
-    r"you (?:do not|don't) have permission|too many requests|connection (?:reset|refused|timed out)|internal server error|page not found|service unavailable|please (?:sign|log) in again)\b",
-    r"(?:die|der|das|diese[rs]?|ihre?) (?:[a-zäöüß]+ )?(?:seite|szene|anfrage|datensatz|sitzung|dienst|server|ansicht|eintrag|inhalt|datei|dokument) (?:wurde (?:abgelehnt|nicht gefunden|entfernt|gelöscht)|"
-    rf"konnte nicht (?:geladen|gefunden|abgeschlossen|bearbeitet|angezeigt) werden|ist (?:zurzeit |derzeit |momentan )?(?:nicht (?:verfügbar|erreichbar)|abgelaufen)|antwortet nicht|existiert nicht){_STOP}",
-    r"(?:zugriff verweigert|interner serverfehler|wegen wartungsarbeiten nicht|es ist ein (?:unerwarteter |interner )?fehler aufgetreten|zu viele anfragen|seite nicht gefunden)\b",
-    r"(?:la|le|cette|ce|votre) (?:page|scène|fiche|demande|session|vue|service|serveur|contenu|fichier|document)(?: demandée?)? (?:est (?:temporairement |actuellement )?(?:introuvable|indisponible|inaccessible)|"
-    rf"n['’]a pas pu être \p{{L}}+|a été (?:refusée?|supprimée?|rejetée?)|a expiré|n['’]existe (?:pas|plus)|ne répond pas)(?= pour le moment|\s*(?:$|[.,;:!(<–|\"-])|\s+(?-i:\p{{Lu}})|\s+©)",
-    r"(?:accès refusé|accès interdit|une erreur (?:interne|inattendue) (?:est survenue|s['’]est produite)|service momentanément indisponible|erreur interne du serveur|trop de requêtes|page introuvable)(?!\p{L})",
-    r"(?:la|el|esta|este|su) (?:página|escena|ficha|solicitud|sesión|vista|servicio|servidor|contenido|archivo|documento)(?: solicitad[ao])? (?:no (?:fue encontrad[ao]|está disponible|se pudo \p{L}+|existe|responde)|"
-    r"fue (?:rechazad[ao]|eliminad[ao])|ha (?:caducado|expirado|sido \p{L}+))(?!\p{L})",
-    r"(?:acceso denegado|se (?:produjo|ha producido) un error|no se (?:encontró|pudo encontrar) la|servicio no disponible|error interno del servidor|demasiadas solicitudes|página no encontrada)(?!\p{L})",
+    rf"(?:(?:the|this|that|your|our|an?|requested) )?(?:[a-z-]+ ){{0,2}}?{_THING}(?: (?:that |which )?(?:you|we)(?:['’]re|['’]ve| are| have| were)? (?:opened|requested|asked for|looking for|followed|clicked|entered|want(?:ed)?|tried to \w+|trying to \w+))? "
+    rf"(?:(?:is|are|was|has become) (?:temporarily |currently |no longer |not |not currently |presently )?(?:unavailable|available|accessible|down|offline|broken|invalid|expired|overloaded|busy|supported|responding|working|under (?:maintenance|construction)|down for maintenance|missing|not found|found|refused|denied|rejected|{_LOST})|"
+    rf"(?:could not|cannot|can ?not|can['’]t|couldn['’]t|may not) be {_DONE}|(?:has|have|may have|might have) (?:been {_LOST}|ended|expired|timed out|crashed|failed|moved|stopped)|timed out|"
+    rf"(?:did not|didn['’]t|does not|doesn['’]t|is not|isn['’]t) (?:respond(?:ing)?|exist|load|answer|work(?:ing)?)(?: in time)?|(?:has )?(?:failed|crashed)(?: with an? (?:\w+ ){{0,2}}error| to (?:load|respond|start|open|connect|complete|process|render))?|took too long(?: to \w+)?|not found|expired|unavailable|fetch failed){_STOP}",
+    rf"(?:access (?:is |was |has been )?(?:denied|forbidden|restricted|blocked)|permission denied|something (?:has )?(?:went|gone) wrong(?: on (?:our|the server|the other) (?:side|end))?|an? (?:\w+ ){{0,2}}error (?:has )?(?:occurred|happened|was encountered)|too many (?:requests|redirects|attempts|connections)|connection (?:was )?(?:reset|refused|closed|lost|timed out|failed)|"
+    rf"(?:request|gateway|session|operation|connection) time-?out|internal (?:server )?error|(?:page|file) not found|service (?:temporarily )?unavailable|forbidden|unauthori[sz]ed|bad (?:gateway|request)|(?:application|server|runtime|fatal|database|network|unknown|unexpected) error|rate limit exceeded|error (?:establishing|connecting to|loading|opening|reading|fetching|processing) (?:the |this |your |a |an )?(?:[a-z-]+ ){{0,2}}?{_THING}|quota exceeded|no (?:internet|network) connection|under maintenance|down for maintenance)"
+    rf"(?: (?:to|by|for|on|from) (?:this |the |that |your |our )?(?:[a-z]+ )?(?:{_THING}|peer|user|ip)| while \w+ing [^.!?,]{{1,40}})?{_STOP}",
+    rf"(?:(?:we['’]?re|we are|i['’]?m|i am) sorry,? ?(?:but )?)?(?:we|the (?:server|system|site|page|app|application|browser)|your (?:browser|request)) {_CANNOT} (?:be )?(?:find|load|open|process|complete|reach|verify|display|show|connect(?: to)?|retrieve|fetch|locate|access|handle|understand|play|render|save|log you in|{_DONE})(?: (?:the|this|that|your|any|what|an?)(?: [a-z-]+){{0,2}}? (?:{_THING}|results?|data|you['’]re looking for|you were looking for|you are looking for)| it| you)?{_STOP}",
+    rf"(?:unable|failed) to (?:load|open|connect(?: to)?|reach|find|process|fetch|display|retrieve|establish|resolve|start|render|save|play|access|parse|read|write)(?: (?:the|this|that|your|a|an))?(?: [a-z-]+){{0,2}}?(?: (?:{_THING}|data|results?))?{_STOP}",
+    rf"you (?:do not|don['’]t|no longer) have (?:the )?(?:necessary |sufficient |required )?(?:permissions?|access|authorization|rights)|you are not (?:authori[sz]ed|allowed|permitted|logged in|signed in)|you (?:have been|were|are being) (?:logged out|signed out|blocked|redirected|rate limited)|(?:please )?(?:sign|log) ?in (?:again|to (?:continue|view|access|proceed|see))|you must (?:be logged in|log in|sign in)",
+    rf"(?:our )?(?:site|website|server|servers|service|system|we|page)(?:['’]re| is| are) (?:currently |temporarily )?(?:undergoing|performing|down for|under|experiencing|having) (?:\w+ ){{0,2}}(?:maintenance|technical (?:difficulties|problems|issues)|outage|high (?:traffic|load)|problems){_STOP}",
+    rf"(?:die|der|das|diese[rs]?|ihre?|angeforderte\w?) (?:\p{{L}}+ ){{0,2}}?(?:seite|szene|anfrage|datensatz|sitzung|dienst|server|ansicht|eintrag|inhalt|datei|dokument|ressource|verbindung|vorgang|bild|adresse|konto)(?:,? die sie [^.,]{{1,40}},)? (?:wurde (?:abgelehnt|nicht gefunden|entfernt|gelöscht|verschoben|gesperrt|unterbrochen|abgebrochen|zurückgesetzt)|"
+    rf"(?:konnte|kann)(?: derzeit| zurzeit)? nicht (?:geladen|gefunden|abgeschlossen|bearbeitet|angezeigt|geöffnet|erreicht|hergestellt|verarbeitet) werden|ist (?:zurzeit |derzeit |momentan |vorübergehend |leider )?(?:nicht (?:verfügbar|erreichbar|mehr verfügbar|vorhanden)|abgelaufen|gesperrt|überlastet|offline)|antwortet nicht(?: mehr)?|existiert nicht(?: mehr)?|fehlgeschlagen){_STOP}",
+    rf"(?:zugriff (?:wurde )?verweigert|interner serverfehler|wegen wartungsarbeiten (?:nicht|derzeit)[^.!?]{{0,30}}|(?:es ist )?(?:ein|leider ein) (?:\p{{L}}+ )?fehler (?:ist )?aufgetreten|etwas ist schiefgelaufen|da ist etwas schiefgelaufen|zu viele anfragen|(?:seite|datei) nicht gefunden|zeitüberschreitung[^.!?]{{0,30}}|dienst nicht verfügbar|keine berechtigung|sie haben keine berechtigung[^.!?]{{0,40}}){_STOP}",
+    rf"(?:la|le|cette|ce|cet|votre|l['’]) ?(?:page|scène|fiche|demande|requête|session|vue|service|serveur|contenu|fichier|document|ressource|connexion|image|adresse|compte|site)(?: (?:demandée?|recherchée?|que vous \p{{L}}+(?: \p{{L}}+)?))? (?:est (?:temporairement |actuellement |momentanément )?(?:introuvable|indisponible|inaccessible|expirée?|bloquée?|hors ligne|en maintenance)|"
+    rf"n['’]a pas pu (?:être )?\p{{L}}+|n['’]a pas été trouvée?|a été (?:refusée?|supprimée?|rejetée?|déplacée?|interrompue?|désactivée?)|a (?:expiré|échoué)|n['’]existe (?:pas|plus)|ne répond (?:pas|plus)|n['’]est (?:pas|plus) (?:disponible|accessible)){_STOP[:-1]}|\s+pour le moment)",
+    rf"(?:accès (?:refusé|interdit)|(?:une )?erreur (?:interne|inattendue|inconnue)(?: (?:est survenue|s['’]est produite))?(?: du serveur)?|une erreur (?:est survenue|s['’]est produite)|service (?:momentanément |temporairement )?indisponible|erreur interne du serveur|trop de requêtes|page (?:introuvable|non trouvée)|délai (?:d['’]attente )?dépassé|vous n['’](?:avez pas|êtes pas) (?:la permission|l['’]autorisation|autorisée?)[^.!?]{{0,40}}|impossible (?:de|d['’]) ?(?:charger|afficher|ouvrir|trouver|accéder)[^.!?]{{0,40}}){_STOP}",
+    rf"(?:la|el|esta|este|su|tu) (?:página|escena|ficha|solicitud|sesión|vista|servicio|servidor|contenido|archivo|documento|recurso|conexión|imagen|dirección|cuenta|sitio)(?: (?:solicitad[ao]|que (?:busca|solicitó|buscas)))? (?:no (?:fue encontrad[ao]|(?:está|se encuentra) disponible|se (?:pudo|puede|ha podido) \p{{L}}+|existe|responde)|"
+    rf"fue (?:rechazad[ao]|eliminad[ao]|movid[ao]|bloquead[ao])|ha (?:caducado|expirado|fallado|sido \p{{L}}+)|está (?:temporalmente )?(?:fuera de servicio|en mantenimiento|caíd[ao])|falló)(?! en \d)(?=\W|$)",
+    rf"(?:acceso (?:denegado|prohibido|restringido)|(?:se (?:produjo|ha producido)|ha ocurrido|ocurrió) un error[^.!?]{{0,40}}|algo salió mal|no se (?:encontró|pudo encontrar|pudo cargar|puede mostrar) (?:la|el|esta|este)[^.!?]{{0,40}}|servicio no disponible|error interno del servidor|demasiadas solicitudes|(?:página|archivo) no encontrad[ao]|tiempo de espera agotado|no tiene (?:permisos?|autorización)[^.!?]{{0,40}}){_STOP}",
 ]
-#: Notices that scripts are needed, each from the start of its sentence. Fixed values.
+_JS = r"(?:java ?scripts?|js|scripts?|scripting|active scripting)"
+_ON = r"(?:enable|activate|turn on|allow|switch on|unblock|re-?enable)"
+_APP = r"(?:viewer|page|app|application|web ?app|site|website|web ?site|view|scene|feature|content|form|map|player|widget|service|tool|dashboard|gallery|portal)"
+#: Notices that scripts are needed, each where a message may begin. Fixed values.
 SCRIPTS = [
-    r"(?:please )?(?:enable|activate|turn on|allow|switch on) (?:javascript|scripts?)\b",
-    r"(?:you (?:need|have) to|you must) (?:enable|activate|turn on|allow|switch on) (?:javascript|scripts?)\b",
-    r"(?:javascript|scripts?) (?:is|are) (?:disabled|blocked|required|needed|turned off|switched off|not (?:enabled|supported|allowed))\b",
-    r"(?:this|the|our) (?:viewer|page|app|application|site|website|view|scene) (?:requires|needs) (?:javascript|scripts?)\b",
-    r"your browser (?:does not|doesn't|cannot|can't) (?:run|support|allow|execute) (?:javascript|scripts?)\b",
-    r"to (?:see|view|open|use|load|continue)\b[^.,]{0,40}, (?:please )?(?:allow|enable|activate|turn on) (?:javascript|scripts?)\b",
-    r"(?:bitte )?aktivieren sie (?:javascript|skripte)\b|für diese (?:ansicht|seite|anwendung) (?:wird|werden) (?:javascript|skripte) benötigt|(?:skripte|javascript) (?:sind|ist) (?:in ihrem browser|auf dieser seite) \p{L}+",
-    r"(?:veuillez )?(?:activer|activez) (?:javascript|les scripts)\b|cette (?:page|vue|application) (?:a besoin de|nécessite) (?:javascript|scripts)|les scripts sont (?:bloqués|désactivés)|javascript est (?:désactivé|requis)",
-    r"(?:por favor,? )?(?:active|habilite|activa|habilita) (?:javascript|los scripts)\b|esta (?:vista|página|aplicación) (?:necesita|requiere) (?:javascript|scripts)|su navegador tiene los scripts \p{L}+|javascript está (?:desactivado|deshabilitado)",
+    rf"(?:please |kindly |you (?:need|have) to |you(?:['’]ll)? (?:will )?need to |you must |you should |make sure (?:to|you) |try to |first,? )?{_ON} (?:\w+ (?:and|or|&) )?{_JS}\b",
+    rf"(?:(?:sorry|we['’]re sorry|we are sorry),? (?:but )?)?(?:the|this|our|it)(?: [a-z-]+){{0,2}}? (?:does(?: not|n['’]t)|cannot|can['’]t|will not|won['’]t) (?:work|run|function|load|start)(?: \w+)? without {_JS}\b",
+    rf"(?:{_ON} |turn |switch )?(?:java ?script|active scripting|js) (?:is|are|seems? to be|appears? to be|must be|has to be|needs? to be|should be|may be|has been) (?:currently )?(?:disabled|blocked|required|needed|enabled|activated|deactivated|turned (?:off|on)|switched (?:off|on)|unavailable|not (?:enabled|supported|allowed|available|active|running))\b",
+    rf"scripts? (?:is|are|seems? to be|must be|need to be|have been) (?:disabled|blocked|turned off|switched off|not (?:enabled|allowed|supported)|(?:required|needed|enabled|allowed) (?:to (?:view|see|use|open|run|load|show|continue|display)|for this|by this|on this|here))",
+    rf"(?:this|the|our|your) (?:[a-z-]+ ){{0,2}}?{_APP} (?:(?:only )?works? (?:best |only )?with|does(?: not|n['’]t) work without|will not work without|won['’]t work without|cannot run without|can['’]t run without|requires|needs|relies on|depends on) (?:\w+ )?{_JS}\b",
+    rf"your browser (?:does not|doesn['’]t|cannot|can['’]t|has|is) (?:currently )?(?:\w+ )?(?:run|support|allow|execute|blocking|blocked|disabled|have) ?(?:\w+ )?{_JS}\b|your browser has {_JS} (?:disabled|blocked|turned off|switched off)|your browser (?:blocks|is blocking|has blocked|has disabled) {_JS}\b",
+    rf"(?:it (?:looks like|seems|appears)(?: that| as if)?|we(?:['’]ve| have)? (?:detected|noticed|see)(?: that)?|looks like|you seem to|you appear to) (?:you |your browser |to )?(?:have |has |had )?{_JS} (?:is |are |has been )?(?:disabled|blocked|turned off|switched off|not enabled|off)",
+    rf"(?:you (?:have|need|must have)|requires?) {_JS} (?:disabled|blocked|turned off|turned on|enabled|active)|(?:without|no) {_JS},? (?:this|the|our|you|nothing|some|enabled)\b|{_JS} (?:required|needed|disabled|not enabled|blocked){_STOP}",
+    rf"(?:to|in order to|for) (?:see|view|open|use|load|continue|display|access|proceed|run|get|the|full|best)\b[^.,]{{0,60}},? (?:please |you (?:must|need to|have to) |it is necessary to )?{_ON} (?:\w+ (?:and|or|&) )?{_JS}\b",
+    rf"(?:bitte )?(?:aktivieren|erlauben|schalten) sie (?:bitte )?(?:in ihrem browser )?(?:{_JS}|skripte)\b|(?:bitte )?(?:{_JS}|skripte) (?:aktivieren|einschalten|erlauben)|für (?:diese|die) (?:ansicht|seite|anwendung|funktion|darstellung)[^.]{{0,30}} (?:wird|werden) (?:{_JS}|skripte) benötigt|(?:diese|die) (?:seite|ansicht|anwendung|website) (?:benötigt|erfordert|braucht|funktioniert nur mit) (?:{_JS}|skripte)|"
+    rf"(?:skripte|{_JS}) (?:sind|ist|muss|müssen) (?:in ihrem browser |auf dieser seite |derzeit |nicht )?(?:deaktiviert|blockiert|gesperrt|ausgeschaltet|abgeschaltet|aktiviert|erforderlich|eingeschaltet)|ihr browser (?:unterstützt kein|blockiert|führt kein|hat) (?:{_JS}|skripte)",
+    rf"(?:veuillez |merci d['’]|vous devez )?(?:activer|activez|autorisez|autoriser) (?:le )?(?:{_JS}|les scripts)\b|cette (?:page|vue|application) (?:a besoin de|nécessite|requiert|ne fonctionne pas sans) (?:le )?(?:{_JS}|les scripts)|ce site (?:a besoin de|nécessite|requiert) (?:le )?(?:{_JS}|les scripts)|les scripts sont (?:bloqués|désactivés|nécessaires|requis)|(?:le )?javascript (?:est|doit être|semble) (?:désactivé|requis|nécessaire|activé|bloqué)|votre navigateur (?:bloque|ne prend pas en charge|n['’]exécute pas|a désactivé) (?:le |les )?(?:{_JS})",
+    rf"(?:por favor,? |debe |necesita )?(?:active|habilite|activa|habilita|permita|activar|habilitar) (?:el )?(?:{_JS}|los scripts)\b|est[ae] (?:vista|página|aplicación|sitio) (?:necesita|requiere|no funciona sin) (?:el )?(?:{_JS}|los scripts)|su navegador (?:tiene|no admite|no soporta|bloquea|no ejecuta) (?:el |los )?(?:{_JS})\b|(?:el )?javascript (?:está|debe estar) (?:desactivado|deshabilitado|bloqueado|activado|habilitado)|los scripts están (?:bloqueados|desactivados|deshabilitados)|se (?:necesita|requiere) javascript",
 ]
 #: Shapes of programs' messages, anywhere in a sentence. Fixed values.
 SHAPES = [
     r"traceback \(most recent call last\)",
-    r"^(?:\w+\.)*\w*(?:error|exception): \S",
+    r"^(?:exception in thread \"[^\"]*\" )?(?:uncaught )?(?:[\w$]+\.)*\w*(?:error|exception): \S",
+    r"^(?:fatal|parse|syntax|php|warning|notice|uncaught)(?: \w+)? (?:error|warning|exception|notice): \S",
     r"<error>\s*<code>",
-    r"""\{\s*"(?:error|status|code)"\s*:\s*(?:\{[^{}]*"message"\s*:|\d{1,9}\s*,\s*"(?:detail|message|error|reason)"\s*:)""",
+    r"""\{\s*"(?:error|status|code|errors)"\s*:\s*(?:\[?\{[^{}]*"message"\s*:|\d{1,9}\s*,\s*"(?:detail|message|error|reason|title)"\s*:|"[^"{}]*"\s*,\s*"(?:message|detail|code|status|error_description|path)"\s*:)""",
     r"^status: \d{1,9}$",
+    r"^(?:bash|sh|zsh|/bin/sh): [^:]+: .*(?:command not found|no such file)|segmentation fault \(core dumped\)|^panic: \S|npm err!|sqlstate\[|^ora-\d+:|cannot read propert(?:y|ies) of (?:undefined|null)|undefined is not a function|\bat (?:[\w$]+\.)+[\w$<>]+\([\w$]+\.java:\d+\)|^caused by: (?:[\w$]+\.)+\w+",
+]
+#: Sentences that count only in forms that recur widely: they address the reader or stand as a status, and speak of what failed,
+#: is missing or must be done. Fixed values.
+WIDE = [
+    r"(?:please )?(?:try|check|come|go) (?:again|back)(?: (?:later|soon|shortly|in an? \w+|in (?:a few|some) \w+|in \d+ \w+|now))?\W*$",
+    r"(?:please )?(?:reload|refresh|retry|close|restart|clear|contact|click|tap|press|use|update|disable|wait|stand by|check|verify|confirm|accept|sign in|sign out|log in|go back|return)\b[^.!?]{0,60}\b(?:page|browser|support|administrator|admin|webmaster|cookies?|cache|later|again|connection|continue|link|button|robot|human|team|home|start|address|password|url|go on)\W*$",
+    r"(?:we|our \w+|this \w+)(?:['’]re| are| is) (?:currently |still )?(?:working on it|on it|looking into|fixing|aware of|sorry|experiencing|being (?:updated|repaired|moved))\b[^.!?]{0,60}\W*$",
+    r"(?:it|this|that)(?: \w+)? (?:may|might|could|must|seems to|appears to) (?:have (?:been )?|be )(?:moved|deleted|removed|renamed|expired|gone|wrong|broken|unavailable|down)\b[^.!?]{0,40}\W*$",
+    r"(?:loading|redirecting|verifying|checking|connecting|please wait|one moment|just a moment)\b[^!?]{0,50}(?:\.{2,}|…|please|wait|browser|seconds?|moment)?\W*$",
+    r"(?:sorry|oops|whoops|uh[ -]oh|apologies)\b[^.?]{0,80}\W*$",
+    r"(?:are you|confirm you are|prove you are|i am|i['’]m) (?:not )?(?:a )?(?:robot|human)\b[^.!]{0,30}\W*$|[^.]{0,40}\bcaptcha\b[^.]{0,40}$",
+    r"(?:no|nothing|0) (?:results?|content|data|items?|entries|matches|records?|to (?:see|show|display))(?: (?:was|were|is|are|could be))?(?: (?:found|available|here|yet|to (?:show|display)|for (?:this|your) \w+))+\W*$",
+    r"(?:bitte )?versuchen sie es (?:später )?(?:erneut|noch einmal)\b[^.!?]{0,30}\W*$|wir arbeiten daran\W*$|(?:bitte )?laden sie die seite (?:neu|erneut)\W*$|(?:veuillez |merci de )?(?:réessayez|réessayer)(?: plus tard| dans [^.!?]{1,20})?\W*$|nous y travaillons\W*$|(?:por favor,? )?(?:inténtelo|intente|vuelva a intentarlo)(?: de nuevo)?(?: más tarde)?\W*$|estamos trabajando en ello\W*$",
 ]
-#: Phrases that count only in messages that recur widely. Fixed values.
-WEAK = [
-    r"(?:please )?try again (?:later|in a few minutes)\W*$", r"we are working on it\W*$", r"sign in again to go on\W*$", r"it may have been (?:moved|deleted)\b",
-]
-
-_QUOTES = r"\"[^\"\n]{0,400}\"|“[^“”\n]{0,400}”|„[^„“”\n]{0,400}[“”]|«[^«»\n]{0,400}»|‹[^‹›\n]{0,400}›"
-_TICKS = r"`[^`\n]{1,200}`"
-
-
-def masked(text: Column) -> Column:
-    """Addresses, dates, codes and numbers masked; white space made one space."""
-    t = F.regexp_replace(text, r"(?iu)\b(?:https?|ftp)://\S+|\bwww\.\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "<address>")
-    t = F.regexp_replace(t, r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "<when>")
-    t = F.regexp_replace(t, r"(?iu)\b(code|código|incident|reference:?) [0-9a-f]{4,}\b", "$1 0")
-    t = F.regexp_replace(t, r"(?<![\w{])\d+(?:[.,]\d+)*(?!\w)", "0")
-    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
-
-
-def _sentences(line: Column) -> Column:
-    """A line cut after the ends of sentences and at wide gaps."""
-    return F.split(line, r"(?<=[.!?])\s+|\s{2,}|\t")
 
+_QUOTES = r"\"[^\"]*+\"|“[^“”]*+”|„[^„“”]*+[“”]|«[^«»]*+»|‹[^‹›]*+›"
+_TICKS = r"`[^`\n]++`"
+_BREAK = r"\r\n?|[\n\x0b\x0c\x85\u2028\u2029]"
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern of words that share their beginnings, so that a scan tries few branches at each place."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[0], []).append(w[1:])
+    parts = []
+    for c, tails in heads.items():
+        rest = "" if "" in tails else _trie(tails)  # a word ends here: what follows it need not be looked at
+        parts.append((r"\ " if c == " " else c) + (f"(?:{rest})" if "|" in rest else rest))
+    return "|".join(parts)
+
+
+#: Beginnings of words: a sentence that holds none of them is no message and no stock sentence, whatever else it says. Fixed values.
+CUES = [
+    # what failed, and how it is said
+    "unavail", "not avail", "no longer", "not found", "inaccess", "not access", "offline", "is broken", "invalid", "expired", "overload", "is busy", "not resp", "not supp", "not work", "maintenance", "is missing", "denied", "refused", "rejected", "been removed", "was removed", "been deleted", "was deleted",
+    "been moved", "was moved", "has moved", "disabled", "suspended", "blocked", "restricted", "been archived", "been closed", "taken down", "withdrawn", "discontinued", "terminated", "could not be", "cannot be", "can not be", "can't be", "can’t be", "couldn't", "couldn’t", "may not be", "unable", "failed", "crashed", "timed out", "time out", "timeout", "time-out",
+    "did not respond", "didn't respond", "didn’t respond", "does not exist", "doesn't exist", "doesn’t exist", "does not respond", "doesn't respond", "not load", "is down", "took too long", "went wrong", "gone wrong", "error", "too many", "connection", "forbidden", "unauthor", "bad gateway", "bad request", "limit exceeded", "quota", "no internet", "no network", "permission", "not auth", "not allowed", "not permitted",
+    "we could not", "we cannot", "we can not", "we can't", "we can’t", "we were unable", "has ended", "logged", "log in", "login", "sign in", "signed", "rate limit", "redirect", "undergoing", "experiencing", "technical", "http", "status", "payment req", "method not", "conflict", "gone", "internal server", "not impl", "service temp", "gateway",
+    # scripts
+    "javascript", "java script", "js", "script", "active scripting",
+    # filler
+    "here", "enter ", "insert ", "paste ", "type ", "write your", "add your", "put your", "provide your", "fill in", "in this box", "sample", "dummy", "placeholder", "example", "this is a test", "test ", "filler", "default", "demo", "mock", "boilerplate", "to be ", "to follow", "to come", "coming soon", "pending", "tbd", "tba", "will follow", "will be added",
+    "under construction", "in progress", "replace", "edit ", "overwrite", "change this", "update this", "delete this", "remove this", "no description", "no caption", "no text", "no title", "no content", "no answer", "no summary", "no comment",
+    # widely recurring messages
+    "again", "reload", "refresh", "retry", "restart", "contact", "click", "tap", "press ", "wait", "stand by", "please", "verify", "confirm", "accept", "working on", "looking into", "we're on it", "we are on it", "aware of", "sorry", "loading", "connecting", "moment", "oops", "whoops", "uh-oh", "uh oh", "apolog", "robot", "human", "captcha", "no result", "nothing", "no data", "no item", "no entr", "no match", "no record", "may have been", "might have been", "cookie",
+    # German, French and Spanish
+    "hier", "blindtext", "platzhaltertext", "mustertext", "beispieltext", "folgt", "nicht", "abgelehnt", "entfernt", "gelöscht", "verschoben", "gesperrt", "unterbrochen", "abgebrochen", "zurückgesetzt", "abgelaufen", "überlastet", "fehlgeschlagen", "verweigert", "fehler", "serverfehler", "wartung", "schief", "zu viele", "zeitüber", "berechtigung", "skripte", "versuchen", "wir arbeiten", "laden sie",
+    "viendra", "à compléter", "à remplacer", "remplissage", "à venir", "ici", "factice", "introuvable", "indispo", "expiré", "bloqué", "hors ligne", "n'a pas", "n’a pas", "n'est", "n’est", "n'existe", "n’existe", "refusé", "supprim", "rejet", "déplac", "interromp", "désactiv", "échoué", "ne répond", "interdit", "erreur", "trop de", "non trouv", "délai", "impossible", "activer", "activez", "réessay", "nous y", "a été",
+    "aquí va", "aquí irá", "aquí viene", "relleno", "de prueba", "de muestra", "de ejemplo", "pendiente", "por definir", "próximamente", "escriba", "introduzca", "ingrese", "no fue", "no está", "no se", "no existe", "no responde", "rechazad", "eliminad", "movid", "bloquead", "caduc", "fallado", "ha sido", "fuera de", "mantenimiento", "caíd", "falló", "denegado", "prohibido", "restringido", "algo salió", "no encontr", "demasiadas", "agotado", "no tiene", "habilit", "active ", "navegador",
+    "inténtelo", "intente", "vuelva", "estamos", "se produjo", "se ha producido",
+    # programs
+    "traceback", "exception", "warning:", "notice:", "segmentation", "panic:", "npm err", "sqlstate", "ora-", "undefined", "caused by", "code", "fatal", "bash:", "sh:", "zsh:",
+]
 
+_CUED = r"(?iu)\b(?:" + _trie(CUES) + r")|\b(?:" + _LATIN_ONLY + r")\b|\w(?:error|exception): |\.java:"
+_SENTENCE = r"(?<=[.!?])\s+|\s{2,}|[\t\n]"
 _SLOT = "|".join(SLOTS)
 #: Characters without which a sentence holds no slot: one pass over the text, before the patterns are tried.
-_SLOT_CUE = r"[{<$%\[@#~|]|\?{4}|___|__[A-Za-z]|XXXX|TBD:|:[A-Za-z_][A-Za-z0-9_. ]{2,60}:|goes here\)"
-
+_SLOT_CUE = r"[{<$%\[@#~|]|\?{4}|___|__[A-Za-z]|XXXX|TBD:|:[A-Za-z_][A-Za-z0-9_. ]{2,}:|goes here\)"
+_SHAPED = r"(?iu)<error>|\{\s*\"(?:error|status|code|errors)\"\s*:"
 
-def _starts(form: Column, patterns: list[str]) -> Column:
-    return form.rlike(f"(?iu){_START}(?:{'|'.join(patterns)})")
 
+def _numbers(text: Column) -> Column:
+    """Addresses, dates, codes and numbers masked; a status code after its word stays."""
+    t = F.when(text.rlike(r"(?i)://|www\.|@"), F.regexp_replace(text, r"(?iu)\b(?:https?|ftp)://\S+|\bwww\.\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "<address>")).otherwise(text)
+    t = F.regexp_replace(t, r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "<when>")
+    t = F.regexp_replace(t, r"(?iu)\b(code|código|incident|reference|ray|trace|request)((?: id)?:?) [0-9a-f]{4,}\b", "$1$2 0")
+    return F.regexp_replace(t, r"(?<![\w{])(?<!(?i:error|http|status|code)[ :#]{1,2})\d+(?:[.,]\d+)*(?!\w)", "0")
 
-def _has(form: Column, patterns: list[str]) -> Column:
-    return form.rlike(f"(?iu)(?:{'|'.join(patterns)})")
 
+def _even(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
-def _filler(form: Column) -> Column:
-    """Stock sentences begin where the sentence does, so the pattern is anchored once; TYPED is searched."""
-    return form.rlike("(?iu)" + TYPED) | form.rlike(f"(?iu)^(?:{'|'.join(f.removeprefix('^') for f in FILLER)})")
 
+def masked(text: Column) -> Column:
+    """Addresses, dates, codes and numbers masked; white space made one space."""
+    return _even(_numbers(text))
 
-def _nonsense(form: Column) -> Column:
-    """Pseudo-Latin, repeats and mashed keys in any case: the patterns are those of lower case."""
 
-    def any_case(lowered: Column) -> Column:
-        return lowered.rlike(LATIN) | (lowered.rlike(_AGAIN) & lowered.rlike(FOUR_TIMES)) | lowered.rlike(ONLY_REPEATED) | lowered.rlike(MASHED)
+def _any(form: Column, patterns: list[str]) -> Column:
+    return form.rlike("(?iu)(?:" + "|".join(patterns) + ")")
 
-    return F.exists(F.array(F.lower(form)), any_case)
 
+def _begun(form: Column, patterns: list[str]) -> Column:
+    """True if a message of these begins where one may."""
+    return form.rlike(f"(?iu){_BEGIN}(?:{'|'.join(patterns)})")
 
-def _spoken(form: Column) -> Column:
-    """True if a sentence may be one of the phrases: rules that are anchored at its start, then those that search it."""
-    return (
-        _starts(form, [*SCRIPTS, *MESSAGES, *WEAK])
-        | _filler(form)
-        | _has(form, [*SHAPES, STATUS])
-        | _nonsense(form)
-    )
 
+def _holds_slot(sentence: Column) -> Column:
+    return sentence.rlike(_SLOT_CUE) & (sentence.rlike(_SLOT) | (sentence.rlike(TAG_SLOT) & ~sentence.contains("</")))
 
-def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, view, form): masked sentences with a cue. view 0 is the sentence as it stands, without inline code, for
-    the slots; view 1 is without quoted spans, for the phrases."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S"))
-    # outer generators: of the others Spark computes the arrays twice, once to leave out rows whose array is empty
-    lines = rows.select("id", "source", F.explode_outer(F.split("text", r"\r\n?|[\n\x0b\x0c\x85\u2028\u2029]")).alias("line"))
-    shaped = F.col("line").rlike("|".join(["(?iu)<error>", r"\{\s*\"(?:error|status|code)\"\s*:"]))
-    code = F.regexp_replace("line", _TICKS, " ")
-    views = F.concat(
-        F.transform(F.filter(_sentences(code), lambda s: s.rlike(_SLOT_CUE) & s.rlike(_SLOT) & ~s.rlike(EXPLAINS)), lambda s: F.struct(F.lit(0).alias("view"), masked(s).alias("form"))),
-        F.when(shaped, F.array(F.struct(F.lit(1).alias("view"), masked(F.col("line")).alias("form")))).otherwise(
-            F.transform(F.filter(F.transform(_sentences(F.regexp_replace(code, _QUOTES, " ' ")), F.trim), _spoken), lambda s: F.struct(F.lit(1).alias("view"), masked(s).alias("form")))
-        ),
-    )
-    return lines.select("id", "source", F.inline_outer(views)).where(F.col("form").isNotNull())
 
+def _nonsense(lowered: Column) -> Column:
+    """Repeats and mashed keys; the patterns are those of lower case."""
+    return (lowered.rlike(TWICE) & (lowered.rlike(FOUR_TIMES) | lowered.rlike(ONLY_REPEATED))) | lowered.rlike(MASHED)
 
-def classified(form: Column, view: Column, texts: Column, sources: Column) -> Column:
-    """``slot``, ``filler``, ``error`` or ``script``; NULL if the message is none of them."""
 
-    wide = (texts >= WIDE_TEXTS) & (sources >= WIDE_SOURCES)
-    spoken = (
-        F.when(_filler(form) | _nonsense(form), "filler")
-        .when(_starts(form, SCRIPTS), "script")
-        .when(_has(form, [*SHAPES, STATUS]) | _starts(form, MESSAGES), "error")
-        .when(wide & _starts(form, WEAK), "error")
+def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, hashes, forms) of every text that is not blank: the hashes of all its sentences, each once, and the forms
+    (view, form) that may be a case. view 0 are sentences with a slot, without inline code; view 1 are sentences without
+    inline code and quoted spans that hold a cue, and lines that have the shape of a program's message."""
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S"))
+    cut_up = lambda parts: F.flatten(F.transform(parts, lambda p: F.split(p, _SENTENCE)))
+    rows = rows.withColumn("code", F.transform(F.split(F.regexp_replace("text", _BREAK, "\n"), r"\n[ \t]*\n"), lambda p: F.when(p.contains("`"), F.regexp_replace(p, _TICKS, " ")).otherwise(p))).drop("text")
+    rows = rows.withColumn("plain", F.transform("code", lambda p: F.when(p.rlike("[\"“„«‹]"), F.regexp_replace(p, _QUOTES, " ' ")).otherwise(p)))
+    rows = rows.withColumn("said", F.transform(cut_up(F.transform("plain", _numbers)), _even))
+    view = lambda k, forms: F.transform(forms, lambda s: F.struct(F.lit(k).alias("view"), s.alias("form")))
+    slots = F.transform(F.filter(cut_up(F.filter("code", lambda p: p.rlike(_SLOT_CUE))), _holds_slot), masked)
+    shaped = F.transform(F.filter(F.flatten(F.transform(F.filter("code", lambda p: p.rlike(_SHAPED)), lambda p: F.split(p, "\n"))), lambda s: s.rlike(_SHAPED)), masked)
+    cued = F.filter(F.array_distinct("said"), lambda s: s.rlike(_CUED) | F.exists(F.array(F.lower(s)), lambda w: w.rlike(TWICE) | w.rlike(MASHED)))
+    hashes = F.array_distinct(F.transform(F.filter("said", lambda s: s != ""), lambda s: F.xxhash64(F.lower(s))))
+    return rows.select("id", "source", hashes.alias("hashes"), F.concat(view(0, F.array_distinct(slots)), view(1, cued), view(1, F.array_distinct(shaped))).alias("forms"))
+
+
+def recurring(rows: DataFrame) -> DataFrame:
+    """(hash, texts, sources) of the sentences that recur widely, both counted exactly. rows: as ``sentences`` gives them."""
+    per_source = rows.select("source", F.explode("hashes").alias("hash")).groupBy("hash", "source").agg(F.count("*").alias("texts"))
+    counted = per_source.groupBy("hash").agg(F.sum("texts").alias("texts"), F.count("*").alias("sources"))
+    return counted.where((F.col("texts") >= WIDE_TEXTS) & (F.col("sources") >= WIDE_SOURCES))
+
+
+def classified(form: Column, view: Column, wide: Column) -> Column:
+    """``slot``, ``filler``, ``error`` or ``script``; NULL if the form is none of them."""
+    return F.when(view == 0, F.when(~form.rlike(EXPLAINS), "slot")).otherwise(
+        F.when((form.rlike(f"(?iu)\\b(?:{_LATIN_ONLY})\\b") & F.lower(form).rlike(LATIN)) | form.rlike("(?iu)" + TYPED) | form.rlike(f"(?iu){_BEGIN}(?:{'|'.join(FILLER)})\\W*$") | F.exists(F.array(F.lower(form)), _nonsense), "filler")
+        .when(_begun(form, SCRIPTS), "script")
+        .when(_any(form, [*SHAPES, STATUS]) | _begun(form, [CODE, *MESSAGES]), "error")
+        .when(wide & _begun(form, WIDE) & ~form.rlike(EXPLAINS), "error")
     )
-    return F.when(view == 0, F.lit("slot")).otherwise(spoken)
 
 
 def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(<id>, reason): each text that is a case, with each of its reasons."""
-    sentences = candidates(df, id_col, text_col, source_col)
-    keyed = sentences.select("id", "source", "view", "form", F.xxhash64("view", F.lower("form")).alias("h1"), F.xxhash64(F.lower("form"), F.lit(5), "view").alias("h2"))
-    keyed = cut(keyed, "sentences")
-    groups = keyed.groupBy("h1", "h2").agg(F.min("form").alias("form"), F.min("view").alias("view"), F.count("*").alias("texts"), F.approx_count_distinct(F.coalesce("source", F.lit(""))).alias("sources"))
-    classes = groups.select("h1", "h2", classified(F.col("form"), F.col("view"), F.col("texts"), F.col("sources")).alias("reason")).where(F.col("reason").isNotNull())
-    spread = classes.select("h1", "h2", "reason", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = keyed.select("id", "h1", "h2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return salted.join(spread, ["h1", "h2", "salt"]).select(F.col("id").alias(id_col), "reason").distinct()
+    rows = cut(sentences(df, id_col, text_col, source_col), "sentences")
+    said = rows.select("id", F.inline("forms")).select("id", "view", "form", F.lower("form").alias("low"))
+    said = said.select("id", "view", "form", F.xxhash64("low").alias("hash"), F.xxhash64("low", F.lit(5), "view").alias("second"))
+    forms = said.groupBy("hash", "second").agg(F.min("form").alias("form"), F.min("view").alias("view"), F.count("*").alias("n"))
+    forms = forms.join(recurring(rows).select("hash", F.lit(True).alias("wide")), "hash", "left")
+    classes = cut(forms.select("hash", "second", "n", classified(F.col("form"), F.col("view"), F.coalesce("wide", F.lit(False))).alias("reason")), "classes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(classes.where(F.col("n") * HOT_SHARE > F.lit(total)).select("hash", "second", F.lit(True).alias("is_hot"), F.col("reason").alias("hot_reason")))
+    keyed = said.select("id", "hash", "second").join(hot, ["hash", "second"], "left")
+    few = classes.where((F.col("n") * HOT_SHARE <= F.lit(total)) & F.col("reason").isNotNull()).select("hash", "second", "reason")
+    out = keyed.where(F.col("hot_reason").isNotNull()).select("id", F.col("hot_reason").alias("reason"))
+    out = out.unionAll(keyed.where(F.col("is_hot").isNull()).select("id", "hash", "second").join(few, ["hash", "second"]).select("id", "reason"))
+    return out.select(F.col("id").alias(id_col), "reason").distinct()
 
 
 def residue(df: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
