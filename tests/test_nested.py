@@ -94,7 +94,8 @@ def test_tables_are_written_once_and_read_by_tag(spark, tmp_path):
     read = lambda tag: [r.asDict() for r in nested.read_table(spark, path, tag).orderBy("child_idx").collect()]
     assert [(r["name"], r["is_object"]) for r in read("object")] == [("lamp", True), (None, False)]
     assert [(r["object_ref"], r["x"], r["y"], r["n_points"], r["parent_key"]) for r in read("polygon")] == [(0, [1.0, 2.0], [3.0], 1, "0")]
-    assert [(r["x"], r["y"], r["z"], r["parent_key"]) for r in read("point")] == [(1.0, 2.0, 3.5, "0/0")]
+    assert [(r["x"], r["y"], r["z"], r["own_key"], r["parent_key"]) for r in read("point")] == [(1.0, 2.0, 3.5, "0/0/0", "0/0")]
+    assert [(r["own_key"], r["parent_key"]) for r in read("frame")] == [("0", "")]
     assert [r["n_chars"] for r in read("bad")] == [1]
     assert [r["n_polygons"] for r in read("frame")] == [1]
 
@@ -103,3 +104,12 @@ def test_tables_are_written_once_and_read_by_tag(spark, tmp_path):
 def test_object_names(spark, doc, names):
     df = spark.createDataFrame([(1, doc)], "annotation_id long, doc string")
     assert [(r[1], r[2]) for r in nested.object_names(df).collect()] == names
+
+
+def test_repeated_records_are_dropped_before_the_visit(spark):
+    rows = [(1, "a", 0), (1, "a", 1), (2, "b", 0), (3, None, 0), (3, None, 1), (None, "c", 0), (None, "c", 1), (4, "d", 0), (4, "e", 0)]
+    df = spark.createDataFrame(rows, "annotation_id long, doc string, received_at int")
+    want = sorted([(1, "a"), (2, "b"), (3, None), (None, "c"), (None, "c"), (4, "d"), (4, "e")], key=str)
+    assert sorted((tuple(r) for r in nested.once(df).collect()), key=str) == want
+    assert sorted((tuple(r) for r in nested.once(df, most=0).collect()), key=str) == want  # the way beyond the bound
+    assert nested.once(df.limit(0)).count() == 0

@@ -70,16 +70,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in this application's part of the shared folder, which is removed when the application ends."""
+    context = spark.sparkContext
+    own = f"{shared_folder(spark)}/vistaframe/{context.applicationId}"
+    if getattr(context, "_vistaframe_scratch", None) != own:
+        context._vistaframe_scratch = own
+        atexit.register(_remove, spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: the plan ends there and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vistaframe/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def forget(spark: SparkSession) -> None:
-    """Removes what ``cut`` has written to the shared folder. Frames that read it are of no use afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/vistaframe")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Removes what this application has written to the shared folder, and nothing of others. Frames that read it are of no
+    use afterwards. Without this call it is removed when the driver's Python ends."""
+    _remove(spark, f"{shared_folder(spark)}/vistaframe/{spark.sparkContext.applicationId}")
