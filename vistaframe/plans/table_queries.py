@@ -50,42 +50,52 @@ def null_literals(spark: SparkSession, folder: str) -> DataFrame:
     return _qa(spark, folder, "val").groupBy("Question_Type").agg(F.count("*").alias("n"), F.count(T.without_na(F.col("Answers"))).alias("present"))
 
 
+#: Letters, marks, digits and joiners of words, and white space, as classes of the SQL's patterns, whose own are those of ASCII.
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+_S = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+
+
 def _re(s: str) -> str:
     return s.replace("'", "''")
 
 
 def _fold(column: str, repairs) -> str:
+    """The repairs as SQL. A match takes the characters beside the word along, so each is made twice for words side by side."""
     out = column
     for word, by in repairs:
-        out = f"regexp_replace({out}, '\\b{_re(word)}\\b', '{_re(by)}', 'gi')"
+        after = rf"([{_W}])" if word.endswith("?") else rf"($|[^{_W}])"  # a boundary after a question mark is the start of a word
+        for _ in range(2):
+            out = f"regexp_replace({out}, '(^|[^{_W}]){_re(word)}{after}', '\\1{_re(by)}\\2', 'gi')"
     return out
 
 
-_ASCII = r"regexp_full_match(coalesce(Questions, ''), '[\x00-\x7F]*') AND regexp_full_match(coalesce(Answers, ''), '[\x00-\x7F]*')"
+def _noise(column: str) -> str:
+    return rf"coalesce(regexp_matches({column}, 'wall\p{{Nd}}+|^i think(\r?\n|[\r\x{{85}}\x{{2028}}\x{{2029}}])?$', 'i'), false)"
+
+
+def _all(column: str) -> str:
+    return f"coalesce(regexp_matches({column}, '(^|[^{_W}])alls?($|[^{_W}])', 'i'), false)"
 
 
-@catalogue("regex_repair", f"SELECT Question_Id, md5({_fold('Questions', [*T.QUESTION_REPAIRS, *T.REPAIRS])}) AS q, {_fold(_fold('Answers', [('grey', 'gray')]), [*T.ANSWER_REPAIRS, *T.REPAIRS])} AS a FROM ({_ALL}) WHERE {_ASCII}")
+@catalogue("regex_repair", f"SELECT Question_Id, md5({_fold('Questions', [*T.QUESTION_REPAIRS, *T.REPAIRS])}) AS q, {_fold(_fold('Answers', [('grey', 'gray')]), [*T.ANSWER_REPAIRS, *T.REPAIRS])} AS a FROM ({_ALL})")
 def regex_repair(spark: SparkSession, folder: str) -> DataFrame:
-    """The repairs on every question and answer. The SQL reads only rows of plain ASCII."""
+    """The repairs on every question and answer."""
     fixed = C.repaired(_qa(spark, folder))
     return fixed.select(KEY, F.md5("Questions").alias("q"), F.col("Answers").alias("a"))
 
 
-@catalogue("drop_patterns", rf"""
-SELECT Question_Type, count(*) AS n,
-  count(*) FILTER (WHERE coalesce(regexp_matches(Questions, '\b(all|alls)\b', 'i'), false) OR coalesce(regexp_matches(Answers, '\b(all|alls)\b', 'i'), false)) AS says_all,
-  count(*) FILTER (WHERE coalesce(regexp_matches(Questions, 'wall\d+|^i think$', 'i'), false) OR coalesce(regexp_matches(Answers, 'wall\d+|^i think$', 'i'), false)) AS noise
-FROM ({_ALL}) WHERE {_ASCII} GROUP BY 1""")
+@catalogue("drop_patterns", f"""
+SELECT Question_Type, count(*) AS n, count(*) FILTER (WHERE {_all('Questions')} OR {_all('Answers')}) AS says_all, count(*) FILTER (WHERE {_noise('Questions')} OR {_noise('Answers')}) AS noise
+FROM ({_ALL}) GROUP BY 1""")
 def drop_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows that say all, and noise, of every row. The SQL reads only rows of plain ASCII."""
+    """Rows that say all, and noise, of every row."""
     n = lambda c: F.count_if(c).cast("long")
     rows = _qa(spark, folder)
     return rows.groupBy("Question_Type").agg(F.count("*").alias("n"), n(T.says_all(F.col("Questions"), F.col("Answers"))).alias("says_all"), n(T.is_noise(F.col("Questions")) | T.is_noise(F.col("Answers"))).alias("noise"))
 
 
-@catalogue("normalize_answer", r"""
-SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(Answers), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) AS a FROM val_dataset
-WHERE Answers IS NOT NULL AND regexp_full_match(Answers, '[\x00-\x7F]*')""")
+@catalogue("normalize_answer", f"""
+SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(lower(Answers), '[^{_W}{_S}]', '', 'g'), '[{_S}]+', ' ', 'g'), '^ | $', '', 'g') AS a FROM val_dataset WHERE Answers IS NOT NULL""")
 def normalize_answer(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "val_dataset", ["Answers"]).where(F.col("Answers").isNotNull())
     return rows.select(T.normalized_answer(F.col("Answers")).alias("a")).distinct()
@@ -194,22 +204,25 @@ def file_counts(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts).rollup("file").agg(F.count("*").alias("n"))
 
 
-@catalogue("noun_frequency", r"""
-SELECT noun, count(*) AS n FROM (SELECT unnest(regexp_extract_all(Questions, 'How many (\w+) are there\?', 1)) AS noun FROM (SELECT DISTINCT Question_Id, Questions FROM train_dataset) WHERE regexp_full_match(Questions, '[\x00-\x7F]*')) GROUP BY 1""")
+@catalogue("noun_frequency", f"SELECT noun, count(*) AS n FROM (SELECT unnest(regexp_extract_all(Questions, 'How many ([{_W}]+) are there\\?', 1)) AS noun FROM (SELECT DISTINCT Question_Id, Questions FROM train_dataset)) GROUP BY 1")
 def noun_frequency(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "train_dataset", [KEY, "Questions"]).distinct()
     return rows.select(F.explode(F.regexp_extract_all("Questions", F.lit(r"(?U)How many (\w+) are there\?"), F.lit(1))).alias("noun")).groupBy("noun").agg(F.count("*").alias("n"))
 
 
-_TOKENS = r"list_filter(string_split_regex(translate(lower(Questions), '?.,', ''), '\s+'), lambda t: t <> '')"
-_QVAL = r"SELECT DISTINCT Question_Id, Questions FROM val_dataset WHERE Questions IS NOT NULL AND regexp_full_match(Questions, '[\x00-\x7F]*')"
+def _words_of(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, '[{_S}]+'), lambda t: t <> '')"
+
+
+_TOKENS = _words_of("translate(lower(Questions), '?.,', '')")
+_QVAL = "SELECT DISTINCT Question_Id, Questions FROM val_dataset WHERE Questions IS NOT NULL"
 _VOCAB = f"""
 WITH q AS ({_QVAL}), k AS (SELECT Question_Id, {_TOKENS} AS t FROM q), p AS (SELECT Question_Id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM k),
 f AS (SELECT token, min((Question_Id, pos)) AS seen FROM p GROUP BY token), v AS (SELECT token, (row_number() OVER (ORDER BY seen) + 1)::BIGINT AS id FROM f)"""
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
-    """Every question that is not null. The SQL of the queries on them reads only those of plain ASCII."""
+    """Every question that is not null."""
     return table(spark, folder, "val_dataset", [KEY, "Questions"]).distinct().where(F.col("Questions").isNotNull())
 
 
@@ -241,7 +254,7 @@ def unknown_class(spark: SparkSession, folder: str) -> DataFrame:
     return V.class_ids(rows, F.lower(F.trim("Answers")), answer_vocabulary(spark, folder)).groupBy(F.col("class_id").cast("long").alias("class_id")).agg(F.count("*").alias("n"))
 
 
-@catalogue("distinct_tokens", r"SELECT DISTINCT unnest(list_filter(string_split_regex(Answers, '\s+'), lambda t: t <> '')) AS token FROM val_dataset WHERE regexp_full_match(Answers, '[\x00-\x7F]*')")
+@catalogue("distinct_tokens", f"SELECT DISTINCT unnest({_words_of('Answers')}) AS token FROM val_dataset")
 def distinct_tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "val_dataset", ["Answers"])
     return rows.select(F.explode(N.tokens(F.col("Answers"))).alias("token")).distinct()
@@ -284,9 +297,11 @@ def paths(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(KEY, T.image_path("/data", F.col("Image_Path")).alias("path"), T.padded_id(F.col(KEY)).alias("padded"))
 
 
-@catalogue("relative_paths", r"SELECT DISTINCT scene_idx, regexp_extract(regexp_replace(rgb_path, '/[^/]*/[^/]*$', ''), 'SUNRGBD/?(.*)$', 1) AS folder FROM scene WHERE regexp_matches(rgb_path, '^SUNRGBD/[^/]*/[^/]*/[^/]*/image/[^/]*$')")
+@catalogue("relative_paths", r"""
+SELECT DISTINCT scene_idx, CASE WHEN contains(kept, 'SUNRGBD') THEN regexp_extract(kept, 'SUNRGBD/?(.*)$', 1) END AS folder
+FROM (SELECT scene_idx, array_to_string(parts[1:len(parts) - 2], '/') AS kept FROM (SELECT scene_idx, string_split(replace(rgb_path, '\', '/'), '/') AS parts FROM scene))""")
 def relative_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """The folder of every scene row, NULL without the root. The SQL reads only paths of the usual form."""
+    """The folder of every scene row, NULL without the root."""
     rows = table(spark, folder, "scene", ["scene_idx", "rgb_path"])
     return rows.select("scene_idx", T.relative_path(F.col("rgb_path")).alias("folder")).distinct()
 
@@ -296,11 +311,16 @@ def prompts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "test_dataset", [KEY, "Questions", "Answers"]).select(KEY, T.chat(F.col("Questions"), F.col("Answers")).alias("prompt")).distinct()
 
 
-@catalogue("after_marker", r"""
-SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(CASE WHEN len(p) > 1 THEN p[2] ELSE text END, '^\s+|\s+$', '', 'g')), '\s+'), lambda t: t <> ''), ' ') AS said
-FROM (SELECT doc_id, text, string_split(text, 'assistant') AS p FROM documents WHERE regexp_full_match(text, '[\x00-\x7F\n]*') AND NOT regexp_matches(text, '(^|\s)\d+(\s|$)'))""")
+_THOUSANDS = "w.word[(t::INT // 1000) + 1] || ' thousand' || CASE WHEN t::INT % 1000 = 0 THEN '' WHEN t::INT % 1000 < 100 THEN ' and ' || w.word[(t::INT % 1000) + 1] ELSE ', ' || w.word[(t::INT % 1000) + 1] END"
+
+
+@catalogue("after_marker", f"""
+WITH w AS (SELECT [{', '.join(f"'{N._words(n)}'" for n in range(1000))}] AS word),
+d AS (SELECT doc_id, string_split(text, 'assistant') AS p, text FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, {_words_of("lower(CASE WHEN len(p) > 1 THEN p[2] ELSE text END)")} AS t FROM d)
+SELECT doc_id, array_to_string(list_transform(k.t, lambda t: CASE WHEN NOT regexp_full_match(t, '[0-9]{{1,6}}') THEN t WHEN t::INT < 1000 THEN w.word[t::INT + 1] ELSE {_THOUSANDS} END), ' ') AS said FROM k CROSS JOIN w""")
 def after_marker(spark: SparkSession, folder: str) -> DataFrame:
-    """Text after the marker, of every text. The SQL reads only texts of plain ASCII without words of digits."""
+    """Text after the marker, of every text."""
     rows = table(spark, folder, "documents", ["doc_id", "text"]).where(F.col("text").isNotNull())
     return rows.select("doc_id", T.after_marker(F.col("text")).alias("said"))
 
@@ -312,9 +332,12 @@ def questions_asked(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("item", T.asked("count", i).alias("how_many"), T.asked("closest", i).alias("closest"), T.asked("no", i).alias("no"))
 
 
-@catalogue("min_val_loss", "SELECT arg_min(path, (v, path)) AS path, min(v) AS val_loss FROM (SELECT 'run/val_loss=' || round(value, 4) || '.ckpt' AS path, try_cast(regexp_extract('run/val_loss=' || round(value, 4) || '.ckpt', 'val_loss=([\\d.]+)\\.ckpt', 1) AS DOUBLE) AS v FROM events WHERE value >= 0.001)")
+@catalogue("min_val_loss", r"""
+SELECT arg_min(path, (v, path)) AS path, min(v) AS val_loss FROM (
+  SELECT path, coalesce(try_cast(regexp_extract(path, 'val_loss=([\d.]+)\.ckpt', 1) AS DOUBLE), 'inf'::DOUBLE) AS v
+  FROM (SELECT 'run/val_loss=' || regexp_replace(printf('%.4f', round(value, 4)), '(\.\d+?)0+$', '\1') || '.ckpt' AS path FROM events WHERE value IS NOT NULL))""")
 def min_val_loss(spark: SparkSession, folder: str) -> DataFrame:
-    """The checkpoint of the least value, of all that are not null; the names have fixed decimals. The SQL reads only values from 0.001."""
+    """The checkpoint of the least value, of all that are not null; the names have fixed decimals."""
     rows = table(spark, folder, "events", ["value"]).where(F.col("value").isNotNull())
     loss = F.regexp_replace(F.format_string("%.4f", F.round("value", 4)), r"(\.\d+?)0+$", "$1")
     return best_checkpoint(rows, F.concat(F.lit("run/val_loss="), loss, F.lit(".ckpt")))
@@ -362,9 +385,9 @@ def prominence_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @catalogue("curated", f"""
-WITH u AS ({_sql('val')}), x AS (SELECT Question_Id AS old_id, Questions AS q, Answers AS a, Image_Path, Question_Type FROM u WHERE {_ASCII}),
+WITH u AS ({_sql('val')}), x AS (SELECT Question_Id AS old_id, Questions AS q, Answers AS a, Image_Path, Question_Type FROM u),
 f AS (SELECT old_id, {_fold('q', [*T.QUESTION_REPAIRS, *T.REPAIRS])} AS Questions, {_fold(_fold('a', [('grey', 'gray')]), [*T.ANSWER_REPAIRS, *T.REPAIRS])} AS Answers, Image_Path, Question_Type FROM x),
-q AS (SELECT * FROM f WHERE NOT (coalesce(regexp_matches(Questions, 'wall\\d+|^i think$', 'i'), false) OR coalesce(regexp_matches(Answers, 'wall\\d+|^i think$', 'i'), false))),
+q AS (SELECT * FROM f WHERE NOT ({_noise('Questions')} OR {_noise('Answers')})),
 t AS (SELECT Question_Type, row_number() OVER (ORDER BY min(old_id), Question_Type) - 1 AS chunk FROM q WHERE Question_Type IS NOT NULL GROUP BY 1),
 i AS (SELECT Image_Path, row_number() OVER (ORDER BY Image_Path) - 1 AS r FROM (SELECT DISTINCT Image_Path FROM q WHERE Image_Path IS NOT NULL)),
 k AS (SELECT (SELECT count(*) FROM i) // (SELECT count(*) FROM t) AS k),
@@ -374,7 +397,7 @@ n AS (SELECT count(*) // 2 AS target FROM y),
 z AS (SELECT old_id FROM b WHERE Question_Type IS DISTINCT FROM 'Yes/No' UNION ALL SELECT old_id FROM y CROSS JOIN n WHERE a IN ('yes', 'no') AND r <= target // 2)
 SELECT row_number() OVER (ORDER BY old_id)::BIGINT AS Question_Id, b.Question_Type, b.Questions, b.Answers FROM z JOIN b USING (old_id)""")
 def curated(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole curation of the validation split. The SQL reads only rows of plain ASCII."""
+    """The whole curation of the validation split."""
     return C.curated([_qa(spark, folder, "val")]).select(KEY, "Question_Type", "Questions", "Answers")
 
 
@@ -392,10 +415,10 @@ def last_in_batch(spark: SparkSession, folder: str) -> DataFrame:
     return b.groupBy("batch_id").agg(F.max_by(KEY, KEY).alias("question_id"))
 
 
-@catalogue("pad_batches", r"""
-WITH q AS (SELECT Question_Id, len(list_filter(string_split_regex(translate(lower(Questions), '?.,', ''), '\s+'), lambda t: t <> ''))::INT AS n FROM (SELECT DISTINCT Question_Id, Questions FROM test_dataset WHERE Questions IS NOT NULL AND regexp_full_match(Questions, '[\x00-\x7F]*'))),
+@catalogue("pad_batches", f"""
+WITH q AS (SELECT Question_Id, len({_TOKENS})::INT AS n FROM (SELECT DISTINCT Question_Id, Questions FROM test_dataset WHERE Questions IS NOT NULL)),
 b AS (SELECT Question_Id, n, (row_number() OVER (ORDER BY Question_Id) - 1) // 16 AS batch_id FROM q)
-SELECT batch_id, count(*) AS n, max(n) AS width, sum((SELECT max(n) FROM b c WHERE c.batch_id = b.batch_id) - n)::BIGINT AS padding FROM b GROUP BY batch_id""")
+SELECT batch_id, count(*) AS n, max(n) AS width, (max(n) * count(*) - sum(n))::BIGINT AS padding FROM b GROUP BY batch_id""")
 def pad_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Batches padded to their longest question: how wide, and how much padding."""
     rows = table(spark, folder, "test_dataset", [KEY, "Questions"]).distinct().where(F.col("Questions").isNotNull())
