@@ -241,7 +241,12 @@ def _trie(words: list[str]) -> str:
     for c, tails in heads.items():
         rest = "" if "" in tails else _trie(tails)  # a word ends here: what follows it need not be looked at
         parts.append((r"\ " if c == " " else c) + (f"(?:{rest})" if "|" in rest else rest))
-    return "|".join(parts)
+    if len(parts) < 8:
+        return "|".join(parts)
+    # many branches stand in groups behind a look at the first letter, so that most are passed by at once
+    firsts = list(heads)
+    groups = [range(i, min(i + 4, len(parts))) for i in range(0, len(parts), 4)]
+    return "|".join("(?=[" + "".join(firsts[i].replace("-", r"\-") for i in g) + "])(?:" + "|".join(parts[i] for i in g) + ")" for g in groups)
 
 
 #: Beginnings of words: a sentence that holds none of them is no message and no stock sentence, whatever else it says. Fixed values.
@@ -267,7 +272,8 @@ CUES = [
     "traceback", "exception", "warning:", "notice:", "segmentation", "panic:", "npm err", "sqlstate", "ora-", "undefined", "caused by", "code", "fatal", "bash:", "sh:", "zsh:",
 ]
 
-_CUED = r"(?iu)\b(?:" + _trie(CUES) + r")|\b(?:" + _LATIN_ONLY + r")\b|\w(?:error|exception): |\.java:"
+#: On lower case, so that no comparison has to fold it.
+_CUED = r"(?<![a-zà-ÿ])(?:" + _trie(CUES) + "|(?:" + _trie(_LATIN_ONLY.split("|")) + r")(?![a-zà-ÿ]))|[a-z](?:error|exception): |\.java:"
 _SENTENCE = r"(?<=[.!?])\s+|\s{2,}|[\t\n]"
 _SLOT = "|".join(SLOTS)
 #: Characters without which a sentence holds no slot: one pass over the text, before the patterns are tried.
@@ -277,10 +283,10 @@ _SHAPED = r"(?iu)<error>|\{\s*\"(?:error|status|code|errors)\"\s*:"
 
 def _numbers(text: Column) -> Column:
     """Addresses, dates, codes and numbers masked; a status code after its word stays."""
-    t = F.when(text.rlike(r"(?i)://|www\.|@"), F.regexp_replace(text, r"(?iu)\b(?:https?|ftp)://\S+|\bwww\.\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "<address>")).otherwise(text)
+    t = F.when(text.contains("://") | text.contains("www.") | text.contains("WWW.") | text.contains("@"), F.regexp_replace(text, r"(?iu)\b(?:https?|ftp)://\S+|\bwww\.\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "<address>")).otherwise(text)
     t = F.regexp_replace(t, r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "<when>")
-    t = F.regexp_replace(t, r"(?iu)\b(code|código|incident|reference|ray|trace|request)((?: id)?:?) [0-9a-f]{4,}\b", "$1$2 0")
-    return F.regexp_replace(t, r"(?<![\w{])(?<!(?i:error|http|status|code)[ :#]{1,2})\d+(?:[.,]\d+)*(?!\w)", "0")
+    t = F.regexp_replace(t, r"(?i)\b(code|c[óÓ]digo|incident|reference|ray|trace|request)((?: id)?:?) [0-9a-f]{4,}\b", "$1$2 0")
+    return F.regexp_replace(t, r"(?=\d)(?<![\w{])(?<!(?i:error|http|status|code)[ :#]{1,2})\d+(?:[.,]\d+)*(?!\w)", "0")
 
 
 def _even(text: Column) -> Column:
@@ -320,12 +326,14 @@ def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     rows = rows.withColumn("code", F.transform(F.split(F.regexp_replace("text", _BREAK, "\n"), r"\n[ \t]*\n"), lambda p: F.when(p.contains("`"), F.regexp_replace(p, _TICKS, " ")).otherwise(p))).drop("text")
     rows = rows.withColumn("plain", F.transform("code", lambda p: F.when(p.rlike("[\"“„«‹]"), F.regexp_replace(p, _QUOTES, " ' ")).otherwise(p)))
     rows = rows.withColumn("said", F.transform(cut_up(F.transform("plain", _numbers)), _even))
+    # both cases in one array: a look at another array by position would compute that array again for each element
+    rows = rows.withColumn("said", F.transform("said", lambda s: F.struct(s.alias("form"), F.lower(s).alias("low"))))
     view = lambda k, forms: F.transform(forms, lambda s: F.struct(F.lit(k).alias("view"), s.alias("form")))
     slots = F.transform(F.filter(cut_up(F.filter("code", lambda p: p.rlike(_SLOT_CUE))), _holds_slot), masked)
     shaped = F.transform(F.filter(F.flatten(F.transform(F.filter("code", lambda p: p.rlike(_SHAPED)), lambda p: F.split(p, "\n"))), lambda s: s.rlike(_SHAPED)), masked)
-    cued = F.filter(F.array_distinct("said"), lambda s: s.rlike(_CUED) | F.exists(F.array(F.lower(s)), lambda w: w.rlike(TWICE) | w.rlike(MASHED)))
-    hashes = F.array_distinct(F.transform(F.filter("said", lambda s: s != ""), lambda s: F.xxhash64(F.lower(s))))
-    return rows.select("id", "source", hashes.alias("hashes"), F.concat(view(0, F.array_distinct(slots)), view(1, cued), view(1, F.array_distinct(shaped))).alias("forms"))
+    cued = F.transform(F.filter("said", lambda s: s["low"].rlike(_CUED) | s["low"].rlike(TWICE) | s["low"].rlike(MASHED)), lambda s: s["form"])
+    hashes = F.array_distinct(F.transform(F.filter("said", lambda s: s["low"] != ""), lambda s: F.xxhash64(s["low"])))
+    return rows.select("id", "source", hashes.alias("hashes"), F.concat(view(0, F.array_distinct(slots)), view(1, F.array_distinct(cued)), view(1, F.array_distinct(shaped))).alias("forms"))
 
 
 def recurring(rows: DataFrame) -> DataFrame:
