@@ -53,3 +53,27 @@ def test_radix_spill_splits_until_parts_fit(tmp_path):
         want[h, t] += 1
     assert {(r["hash"], r["term"]): r["occurrences"] for r in out} == dict(want)
     assert spill.splits > 4 and not list((tmp_path / "s").iterdir())
+
+
+def test_long_terms_split_by_bytes(tmp_path):
+    rows = [(i << 57, "f", "value", f"{i % 7}" * 20_000, 1, 1) for i in range(-60, 60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 10]], f.type) for k, f in enumerate(T._ARROW)], schema=T._ARROW) for i in range(0, 120, 10)]
+    spill = T.RadixSpill(str(tmp_path / "s"), bits=2, size=500_000)
+    out = pa.Table.from_batches(spill.aggregate(batches), schema=T._ARROW)
+    assert out.num_rows == 120 and spill.splits > 1
+
+
+def test_records_are_counted_whole_across_batches(monkeypatch, tmp_path):
+    """A record whose terms lie in several batches is one record."""
+    monkeypatch.setattr(T, "COMBINE_ROWS", 5)
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(12), rng.choice("abc")) for _ in range(200))
+    schema = pa.schema([("ordinal", pa.int64()), ("hash", pa.int64()), ("field", pa.string()), ("unit", pa.string()), ("term", pa.string())])
+    batches = [pa.RecordBatch.from_pylist([{"ordinal": o, "hash": ord(t), "field": "f", "unit": "word", "term": t} for o, t in rows[i : i + 7]], schema=schema) for i in range(0, 200, 7)]
+    occ, rec = collections.Counter(), collections.Counter()
+    for b in T._combine(f"file://{tmp_path}")(iter(batches)):
+        for r in b.to_pylist():
+            occ[r["term"]] += r["occurrences"]
+            rec[r["term"]] += r["records"]
+    assert occ == collections.Counter(t for _, t in rows) and rec == collections.Counter(t for _, t in set(rows))
+    assert list(T._combine(f"file://{tmp_path}")(iter([]))) == []

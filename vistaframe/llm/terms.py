@@ -1,11 +1,12 @@
 """Frequency of every distinct value and word of a collection, by recursive radix spilling.
 
-Method: terms are counted within their record and pre-aggregated in each map task, then partitioned by the leading bits
-of their hash; each partition is aggregated out of core with DuckDB, and one that is larger than ``SPILL_ROWS`` is first
-split to disk by the next bits, again and again until its parts fit.
+Method: terms are counted within their record and pre-aggregated in each map task, where the record was read, then
+partitioned by the leading bits of their hash; each partition is aggregated out of core with DuckDB, and one that is larger
+than ``SPILL_ROWS`` or ``SPILL_BYTES`` is first split to disk by the next bits, again and again until its parts fit.
 
-At scale: a map task sends a term once, so a term that fills a third of the collection arrives as one row a task. Memory
-is bounded by ``SPILL_ROWS`` and DuckDB's limit, whatever the number of distinct terms. Nothing is collected.
+At scale: no term is shuffled before it is counted, and a map task sends each of its terms once for every ``COMBINE_ROWS``
+occurrences, so a term that fills a third of the collection arrives as a few rows a task. Memory is bounded by the two
+limits, DuckDB's own and the largest record, whatever the number of distinct terms and their length. Nothing is collected.
 
 Defined cases
 * null values and values of only white space: no value; a record without any value does not count as a record.
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from vistaframe.operators.nested import object_name, parsed
 from vistaframe.session import cut, shared_folder
 
-#: Rows a task holds before it splits its partition to disk.
-SPILL_ROWS = 1_000_000
-#: Rows pre-aggregated at a time in a map task.
+#: Rows and bytes a task holds before it splits its partition to disk.
+SPILL_ROWS, SPILL_BYTES = 1_000_000, 128 << 20
+#: Occurrences pre-aggregated at a time in a map task; a record's stay together.
 COMBINE_ROWS = 200_000
 #: Bits taken at each level of splitting.
 BITS = 4
@@ -40,6 +41,8 @@ DUCKDB_MEMORY = "256MB"
 
 SCHEMA = "hash LONG, field STRING, unit STRING, term STRING, occurrences LONG, records LONG"
 _ARROW = pa.schema([("hash", pa.int64()), ("field", pa.string()), ("unit", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
+_COUNT = """SELECT hash, field, unit, term, sum(n)::BIGINT AS occurrences, count(*)::BIGINT AS records
+FROM (SELECT ordinal, hash, field, unit, term, count(*) AS n FROM {} GROUP BY ALL) GROUP BY ALL"""
 _SUM = "SELECT hash, field, unit, term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM {} GROUP BY ALL"
 
 
@@ -54,8 +57,8 @@ def _duckdb(folder: str):
     return db
 
 
-def _summed(db, source: str) -> Iterator[pa.RecordBatch]:
-    found = db.sql(_SUM.format(source))
+def _rows(db, query: str) -> Iterator[pa.RecordBatch]:
+    found = db.sql(query)
     for batch in found.to_arrow_reader(50_000) if hasattr(found, "to_arrow_reader") else found.fetch_arrow_reader(50_000):
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, _ARROW)], schema=_ARROW)
 
@@ -63,17 +66,18 @@ def _summed(db, source: str) -> Iterator[pa.RecordBatch]:
 class RadixSpill:
     """Aggregates a stream of batches of ``_ARROW``; the hash bits from ``level`` on are still free to split by."""
 
-    def __init__(self, folder: str, rows: int = SPILL_ROWS, bits: int = BITS) -> None:
-        self.folder, self.rows, self.bits = folder, rows, bits
+    def __init__(self, folder: str, rows: int = SPILL_ROWS, bits: int = BITS, size: int = SPILL_BYTES) -> None:
+        self.folder, self.rows, self.bits, self.size = folder, rows, bits, size
         self.splits = 0
 
     def aggregate(self, batches: Iterable[pa.RecordBatch], level: int = 0) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count, stream = 0, iter(batches)
+        count, size, stream = 0, 0, iter(batches)
         for batch in stream:
             held.append(batch)
             count += batch.num_rows
-            if count > self.rows and level + self.bits <= 64:
+            size += batch.nbytes
+            if (count > self.rows or size > self.size) and level + self.bits <= 64:
                 yield from self._split(held, stream, level)
                 return
         if held:
@@ -84,7 +88,7 @@ class RadixSpill:
         try:
             part = pa.Table.from_batches(held, schema=_ARROW)
             db.register("part", part)
-            yield from _summed(db, "part")
+            yield from _rows(db, _SUM.format("part"))
         finally:
             db.close()
 
@@ -125,25 +129,35 @@ def _scratch(shared: str) -> str:
 
 
 def _combine(shared: str):
+    """Counts of the terms of whole records: rows (ordinal, hash, field, unit, term) come record by record."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            db = _duckdb(shared)
+        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            folder = _scratch(shared)
+            db = _duckdb(folder)
             try:
-                db.register("part", pa.Table.from_batches(held))
-                yield from _summed(db, "part")
+                db.register("part", pa.Table.from_batches(parts))
+                yield from _rows(db, _COUNT.format("part"))
             finally:
                 db.close()
+                shutil.rmtree(folder, ignore_errors=True)
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
             count += batch.num_rows
             if count >= COMBINE_ROWS:
-                yield from flush()
-                held, count = [], 0
+                ordinals = batch.column(0).to_numpy()
+                open_ = int((ordinals != ordinals[-1]).sum())  # the last record may go on in the next batch
+                if open_:
+                    yield from flush([*held[:-1], batch.slice(0, open_)])
+                    held = [batch.slice(open_)]
+                    count = held[0].num_rows
         if held:
-            yield from flush()
+            yield from flush(held)
 
     return run
 
@@ -195,20 +209,15 @@ def term_counts(records: list[DataFrame], rows: int = SPILL_ROWS, bits: int = BI
         F.flatten(F.transform("values", lambda v: F.transform(F.regexp_extract_all(v, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: row("word", w)))),
     ))
     clean = all_rows.select("field", "record_id", values.alias("values"))
-    # a record is one row, so its terms are counted where it is: Spark keeps the partitioning of the repeats' removal
-    in_record = clean.select("field", "record_id", F.inline_outer(terms)).where(F.col("unit").isNotNull()).groupBy("field", "record_id", "unit", "term").agg(F.count("*").alias("occurrences"))
-    hashed = in_record.select(F.xxhash64("field", "unit", "term").alias("hash"), "field", "unit", "term", "occurrences", F.lit(1).cast("long").alias("records"))
-    combined = hashed.mapInArrow(_combine(_local(shared)), SCHEMA)
+    # a record is one row; its ordinal only tells it from the others of its task, so that its terms are counted where it is
+    said = clean.withColumn("ordinal", F.monotonically_increasing_id()).select("field", "ordinal", F.inline_outer(terms)).where(F.col("unit").isNotNull())
+    combined = said.select("ordinal", F.xxhash64("field", "unit", "term").alias("hash"), "field", "unit", "term").mapInArrow(_combine(shared), SCHEMA)
     used = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     radix = F.shiftrightunsigned("hash", 64 - used)
-    parts = combined.repartition(1 << used, radix)
+    parts = combined.repartitionById(1 << used, radix.cast("int"))  # the digit is the partition: every task gets its own
     return parts.mapInArrow(_reduce(shared, rows, bits, used), SCHEMA).drop("hash")
 
 
-def _local(shared: str) -> str:
-    return shared.removeprefix("file:").replace("//", "/") if shared.startswith(("file:", "/")) else os.getcwd()
-
-
 def marked_terms(counts: DataFrame, rare_below: int = 3, common_permille: int = 50) -> DataFrame:
     """counts with a mark: ``rare`` in fewer than so many records, ``common`` in more than this share of the records that
     hold a value, else NULL. There is one total for each field, so the totals are broadcast."""
