@@ -2,17 +2,21 @@
 
 Method: each record is brought to a canonical form (case, punctuation, white space, the wording of its question and the
 way its path is written) and hashed to 128 bits; the hashes of the evaluation splits are joined with those of the training
-split, and matches are counted by split and source.
+split, and matches are counted by split and source. A question's form is the kind of question and its objects in their
+roles. Usual wordings are told by their first and last words, variants by patterns, misspelt ones by edit distance to the
+fixed words, and any other wording by what it holds: one kind's words (``KINDS``) and, in order, the words that are neither
+those nor function words. What has no kind is compared as normalised text.
 
-At scale: one narrow row a record (two BIGINT hashes and the id) is all that is shuffled. Keys that hold more than one in
-``HOT_SHARE`` training rows, of which there can be no more than ``HOT_SHARE``, are found by a pre-aggregated count and
-salted in proportion to their size; the pairs of a hot key are then made by many tasks. Counting needs no pairs at all: it
-joins one row a key.
+At scale: one narrow row a record (two BIGINT hashes and the id) is all that is shuffled; each side is keyed and written
+once. Keys that hold more than one in ``HOT_SHARE`` rows of either side, of which there can be no more than twice
+``HOT_SHARE``, are found by a pre-aggregated count and salted on the side where they are hotter, in proportion to their
+size; the pairs of a hot key are then made by many tasks. Counting needs no pairs at all: it joins one row a key.
 
 Defined cases
 * null path, null question, a path without a file, a question without letters or digits: the record makes no pair.
 * records sent again (same id, same fields): count once. A null id: the record makes no pair.
-* a question of unknown wording: it matches only questions whose normalised text is equal.
+* a question without the words of a kind, or of two kinds, or without an object: it matches only questions whose normalised
+  text is equal. Names of objects are compared as they stand, but for the plural after ``are`` and in counts.
 * empty tables: no rows. Columns besides those named: not read. Very long questions: whole, in time linear in length.
 """
 
@@ -30,7 +34,7 @@ HOT_SHARE = 2000
 
 #: Introductions and endings that say nothing about what is asked. Fixed values.
 _BEFORE = r"^(?:(?:q|question|query|prompt|user|please answer|please tell me|please|answer|\d+) )+"
-_AFTER = r"(?: in (?:the |this )?(?:picture|image|photo|scene)| here| please)+$"
+_AFTER = r"(?: in (?:the |this )?(?:picture|image|photo|scene)| here| please| located| to be found)+$"
 
 
 def normal(text: Column) -> Column:
@@ -88,6 +92,8 @@ def _misspelt(bare: Column) -> Column:
     none = F.lit(None).cast("string")
     what = _like(at(0), "what", 2) | _like(at(0), "whats", 2)
     after_is = F.when(at(1).isin("is", "s"), 2).otherwise(1)
+    # "where does the lamp stand" is no misspelling of "where is"
+    where = (_like(at(0), "where", 2) | _like(at(0), "wheres", 2)) & ~F.coalesce(at(1).isin("does", "do", "did", "can", "could", "would", "exactly"), F.lit(False))
     k_color, k_close = keyword(["color", "colour"], 2, "of"), keyword(["closest"], 3, "to")
     k_far, k_prominent = keyword(["farthest", "furthest"], 3, "to", "from"), keyword(["prominent"], 4)
     relative = F.array_position(F.transform(w, lambda x, i: _like(x, "relative", 3) & (F.get(w, i + 1) == "to") & (i > 0)), True)
@@ -101,10 +107,10 @@ def _misspelt(bare: Column) -> Column:
         .when(what & k_close.isNotNull(), F.concat(F.lit("closest|"), rest(k_close + 1, "to", "the")))
         .when(what & k_far.isNotNull(), F.concat(F.lit("farthest|"), rest(k_far + 1, "to", "from", "the")))
         .when(
-            (_like(at(0), "where", 2) | _like(at(0), "wheres", 2)) & (relative > 0),
+            where & (relative > 0),
             F.concat(F.lit("relative|"), F.array_join(F.slice(w, first + 1, F.greatest((relative - 1 - first).cast("int"), F.lit(0))), " "), F.lit("|"), rest((relative + 1).cast("int"), "the")),
         )
-        .when(_like(at(0), "where", 2) | _like(at(0), "wheres", 2), F.concat(F.lit("where|"), rest(1, "is", "s", "the")))
+        .when(where, F.concat(F.lit("where|"), rest(1, "is", "s", "the")))
         .when(
             _like(at(0), "is", 1) & _like(at(1), "there", 2) & (n > 3) & (F.length(at(2)) <= 4),
             F.concat(F.when((any_closer < 0) | ((any_closer == 0) & at(2).rlike("[ay]")), "any|").otherwise("no|"), rest(3)),
@@ -134,6 +140,47 @@ def _usual(bare: Column) -> Column:
     return key.when(plain & where.contains(relative), two).when(plain & ~where.contains(" to "), F.concat(F.lit("where|"), where))
 
 
+#: Words that tell the kind of a question, whatever its wording; of several kinds the first here counts, but for the pairs that
+#: go together. Fixed values.
+KINDS = [
+    ("relative", r"relative|relation|position(?:ed)?|direction"), ("prominent", r"prominent|dominant|dominating"), ("farthest", r"farthest|furthest|(?:most|least close) (?:far|distant|remote)|remotest"), ("closest", r"closest|nearest|most close"),
+    ("color", r"colou?rs?|colou?red|hue|shade"), ("count", r"count|many|number|amount|quantity"), ("no", r"no|not|without|lacks?|lacking|missing|absent"), ("any", r"any|exists?|contains?|present|visible|at least one|is there an?|are there"), ("where", r"where|location|located|place"),
+]
+#: Words that stand for no object. Fixed values.
+_FUNCTION = (
+    r"a|an|the|of|in|on|at|to|from|by|with|for|is|are|was|were|be|does|do|did|has|have|having|had|what|which|whats|whose|who|how|where|wheres|there|this|that|these|those|it|its|you|we|i|me|us|can|could|would|will|please|tell|say|name|give|show|"
+    r"see|seen|find|found|object|objects|thing|things|item|items|here|and|most|one|ones|if|whether|or|as|all|total|some|s"
+)
+
+
+#: Phrases that stand for no object, though their words may be part of a name. Fixed values.
+_ASIDE = (
+    r"\b(?:in |of |on |does |do |from )?(?:the|this|that) (?:picture|image|photo|scene|room|view)\b(?! frame)|"
+    r"\b(?:stands?|sits?|lies?|looks?|appears?|is placed|placed)(?= (?:the )?(?:closest|nearest|farthest|furthest|relative|in relation|with respect|from|next|most)\b)"
+)
+
+
+def _by_content(bare: Column) -> Column:
+    """The key of a question by the words it holds, whatever their order: its kind and what is neither a kind's word nor a
+    function word; NULL without a kind, or without an object where the kind asks about one."""
+    bare = F.regexp_replace(bare, _ASIDE, " ")
+    held = [(kind, bare.rlike(rf"\b(?:{words})\b")) for kind, words in KINDS]
+    kind = reduce(lambda rest, k: F.when(k[1], k[0]).otherwise(rest), reversed(held), F.lit(None).cast("string"))
+    every = "|".join(words for _, words in KINDS)
+    names = F.trim(F.regexp_replace(F.regexp_replace(bare, rf"\b(?:{every})\b", " "), rf"\b(?:{_FUNCTION})\b", " "))
+    plural = (kind == "count") | bare.rlike(r"\bare\b")
+    name = F.when(plural, F.regexp_replace(F.regexp_replace(names, " +", " "), r"(?<=[^s])s$", "")).otherwise(F.regexp_replace(names, " +", " "))
+    # two roles: what stands before the word of the relation, and what stands after it
+    sides = F.split(bare, r"\b(?:relative to|in relation to|with respect to|position(?:ed)? (?:to|from)|as seen from|seen from|compared (?:to|with))\b")
+    clean = lambda side: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(side, rf"\b(?:{every})\b", " "), rf"\b(?:{_FUNCTION})\b", " "), " +", " "))
+    first, second = clean(F.get(sides, F.lit(0))), clean(F.get(sides, F.lit(1)))
+    return (
+        F.when(kind == "prominent", F.when(name == "", "prominent"))
+        .when((F.size(sides) == 2) & (first != "") & (second != ""), F.concat(F.lit("relative|"), first, F.lit("|"), second))
+        .when((kind != "relative") & (name != ""), F.concat(kind, F.lit("|"), name))
+    )
+
+
 def question_key(bare: Column) -> Column:
     """Kind of the question and its objects in their roles; NULL if there is nothing to ask. Takes ``bare_question``."""
     key = None
@@ -141,7 +188,7 @@ def question_key(bare: Column) -> Column:
         value = F.lit(kind) if not roles else F.concat_ws("|", F.lit(kind), *[F.regexp_extract(bare, pattern, r + 1) for r in range(roles)])
         key = F.when(bare.rlike(pattern), value) if key is None else key.when(bare.rlike(pattern), value)
     key = key.when(bare.rlike("^where is ") & ~bare.contains(" to "), F.concat(F.lit("where|"), F.regexp_extract(bare, r"^where is (?:the )?(.+)$", 1)))
-    return F.when(bare != "", F.coalesce(_usual(bare), key, _misspelt(bare), F.concat(F.lit("text|"), bare)))
+    return F.when(bare != "", F.coalesce(_usual(bare), key, _misspelt(bare), _by_content(bare), F.concat(F.lit("text|"), bare)))
 
 
 def picture_key(path: Column) -> Column:
@@ -170,13 +217,23 @@ def hashes(df: DataFrame, id_col: str = "Question_Id", question: str = "Question
 def overlapping_pairs(train: DataFrame, evals: DataFrame, **columns: str) -> DataFrame:
     """(train_id, eval_id) of the records of evals that occur, exactly or almost, in train."""
     t = cut(hashes(train, **columns).select("id", "h1", "h2"), "overlap-train")
-    e = hashes(evals, **columns).select("id", "h1", "h2")
-    counts = t.groupBy("h1", "h2").count()
-    hot = counts.where(F.col("count") * HOT_SHARE > F.lit(t.count())).select("h1", "h2", F.ceil(F.col("count") * HOT_SHARE / F.lit(max(1, t.count()))).cast("int").alias("salts"))
-    hot = F.broadcast(t.sparkSession.createDataFrame([tuple(r) for r in hot.collect()], "h1 long, h2 long, salts int"))
-    salted = t.join(hot, ["h1", "h2"], "left").select("h1", "h2", F.col("id").alias("train_id"), F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
-    spread = e.join(hot, ["h1", "h2"], "left").select("h1", "h2", F.col("id").alias("eval_id"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    return salted.join(spread, ["h1", "h2", "salt"]).select("train_id", "eval_id")
+    e = cut(hashes(evals, **columns).select("id", "h1", "h2"), "overlap-eval")
+    totals = t.count(), e.count()
+    both = t.select("h1", "h2", F.lit(1).alias("t"), F.lit(0).alias("e")).unionAll(e.select("h1", "h2", F.lit(0), F.lit(1)))
+    counts = both.groupBy("h1", "h2").agg(F.sum("t").alias("t"), F.sum("e").alias("e"))
+    parts = lambda side, total: F.ceil(F.col(side) * HOT_SHARE / F.lit(max(1, total))).cast("int")
+    # only a key of both sides makes pairs; the side with more parts is cut, the other one copied to each part
+    hot = counts.where((F.col("t") > 0) & (F.col("e") > 0)).select("h1", "h2", parts("t", totals[0]).alias("t"), parts("e", totals[1]).alias("e")).where("t > 1 OR e > 1")
+    rows = [(r["h1"], r["h2"], max(r["t"], r["e"]), r["t"] >= r["e"]) for r in hot.collect()]
+    hot = F.broadcast(t.sparkSession.createDataFrame(rows, "h1 long, h2 long, salts int, cut_train boolean"))
+
+    def salted(side: DataFrame, cut_here: Column, name: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
+        salts = F.when(F.col("salts").isNull(), F.array(F.lit(0))).when(cut_here, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+        return side.join(hot, ["h1", "h2"], "left").select("h1", "h2", F.col("id").alias(name), F.explode(salts).alias("salt"))
+
+    left, right = salted(t, F.col("cut_train"), "train_id"), salted(e, ~F.col("cut_train"), "eval_id")
+    return left.join(right, ["h1", "h2", "salt"]).select("train_id", "eval_id")
 
 
 def overlap_counts(train: DataFrame, evals: dict[str, DataFrame], **columns: str) -> DataFrame:
