@@ -15,6 +15,8 @@ def contrastive_loss(df: DataFrame, batch: str, key: str, student: str, teacher:
     a = df.select(batch, F.col(key).alias("_i"), F.col(student).alias("_s"))
     b = df.select(batch, F.col(key).alias("_j"), F.col(teacher).alias("_t"))
     scored = a.join(b, batch).select(batch, "_i", (F.col("_i") == F.col("_j")).alias("_own"), (dot(F.col("_s"), F.col("_t")) / temperature).alias("_x"))
-    row = scored.groupBy(batch, "_i").agg(F.max("_x").alias("_top"), F.collect_list("_x").alias("_all"), F.max(F.when(F.col("_own"), F.col("_x"))).alias("_right"))
-    lse = F.col("_top") + F.log(F.aggregate("_all", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_top"))))
+    # cosines lie between -1 and 1, so no score is above 1 / temperature: shifted by that, the sum needs no maximum first
+    most = 1.0 / temperature
+    row = scored.groupBy(batch, "_i").agg(F.sum(F.exp(F.col("_x") - most)).alias("_sum"), F.max(F.when(F.col("_own"), F.col("_x"))).alias("_right"))
+    lse = most + F.log("_sum")
     return row.select(batch, (lse - F.col("_right")).alias("_loss")).groupBy(batch).agg(F.count("*").alias("n"), F.avg("_loss").alias("loss"))

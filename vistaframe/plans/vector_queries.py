@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vistaframe.functions import arrays as A
 from vistaframe.functions import geometry as G
+from vistaframe.functions import losses as L
 from vistaframe.operators.imaging import depth_channels
 from vistaframe.operators.vectors import contrastive_loss
 from vistaframe.plans.catalogue import Catalogue
@@ -67,13 +68,41 @@ def kl(spark: SparkSession, folder: str) -> DataFrame:
 @catalogue("loca", _S + """, t AS (SELECT vec_id, pt, lq, label, list_sort(pt, 'DESC')[2] AS p2, pt[label + 1] AS pg, list_sum(pt) AS total FROM s),
 i AS (SELECT *, list_transform(range(1, 65), lambda i: struct_pack(p := -pt[i], i := i)) AS o FROM t),
 j AS (SELECT *, list_sort(o)[2].i AS at2, 0.8 / (1 - pg + p2) AS k FROM i),
-c AS (SELECT vec_id, lq, list_transform(range(1, 65), lambda i: CASE WHEN i = label + 1 THEN 1 - k * (total - pg) WHEN i = at2 THEN k * pt[i] ELSE pt[i] END) AS q FROM j)
-SELECT vec_id, round(list_max(q), 6) AS top, round(list_sum(q), 6) AS total, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q[i] > 0 THEN q[i] * (ln(q[i]) - lq[i]) ELSE 0.0 END)) / 64, 6) + 0.0 AS loss FROM c""")
+c AS (SELECT vec_id, lq, list_transform(range(1, 65), lambda i: CASE WHEN i = label + 1 THEN 1 - k * (total - pg) WHEN i = at2 THEN k * pt[i] ELSE pt[i] END) AS q FROM j),
+l AS (SELECT vec_id, ln(list_sum(list_transform(w, lambda x: exp(x - mw)))) - (w[label + 1] - mw) AS sl FROM m)
+SELECT vec_id, round(list_max(q), 6) AS top, round(list_sum(q), 6) AS total, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q[i] > 0 THEN q[i] * (ln(q[i]) - ln(greatest(exp(lq[i]), 1e-8))) ELSE 0.0 END)) / 64 * 4 + sl, 6) + 0.0 AS loss FROM c JOIN l USING (vec_id)""")
 def loca(spark: SparkSession, folder: str) -> DataFrame:
-    """Teacher probabilities calibrated to the label, and their divergence from the student."""
-    rows = _pairs(spark, folder).select("vec_id", "label", A.softmax(F.col("v"), 2.0).alias("p"), A.log_softmax(F.col("w"), 2.0).alias("lq"))
-    rows = rows.select("vec_id", "lq", A.calibrated(F.col("p"), F.col("label")).alias("q"))
-    return rows.select("vec_id", _r(F.array_max("q")).alias("top"), _r(A.total(F.col("q"))).alias("total"), _r(A.kl(F.col("q"), F.col("lq")) / 64).alias("loss"))
+    """Teacher probabilities calibrated to the label, and the whole loss: clamp, squared temperature and the student's own."""
+    rows = _pairs(spark, folder)
+    q = A.calibrated(A.softmax(F.col("v"), 2.0), F.col("label"))
+    return rows.select("vec_id", _r(F.array_max(q)).alias("top"), _r(A.total(q)).alias("total"), _r(L.loca(F.col("v"), F.col("w"), F.col("label"))).alias("loss"))
+
+
+_MIX = _S + """, l AS (SELECT vec_id, ln(list_sum(list_transform(w, lambda x: exp(x - mw)))) - (w[label + 1] - mw) AS sl FROM m),
+t AS (SELECT vec_id, pt, lq, lp, label, list_sort(pt, 'DESC')[2] AS p2, pt[label + 1] AS pg, list_sum(pt) AS total FROM s),
+i AS (SELECT *, list_transform(range(1, 65), lambda i: struct_pack(p := -pt[i], i := i)) AS o FROM t),
+j AS (SELECT *, list_sort(o)[2].i AS at2, 0.8 / (1 - pg + p2) AS k FROM i),
+c AS (SELECT vec_id, lq, list_sum(list_transform(range(1, 65), lambda i: pt[i] * (lp[i] - lq[i]))) AS kl, list_transform(range(1, 65), lambda i: CASE WHEN i = label + 1 THEN 1 - k * (total - pg) WHEN i = at2 THEN k * pt[i] ELSE pt[i] END) AS q FROM j),
+d AS (SELECT vec_id, vec_id // 8 AS b, kl, sl, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q[i] > 0 THEN q[i] * (ln(q[i]) - ln(greatest(exp(lq[i]), 1e-8))) ELSE 0.0 END)) / 64 * 4 + sl AS loca FROM c JOIN l USING (vec_id)),
+u AS (SELECT vec_id, vec_id // 8 AS b, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) AS te, list_transform(w, lambda x: x / greatest(sqrt(list_sum(list_transform(w, lambda y: y * y))), 1e-12)) AS st FROM p),
+x2 AS (SELECT a.b, a.vec_id AS i, z.vec_id AS j, list_sum(list_transform(range(1, 65), lambda k: a.st[k] * z.te[k])) / 0.07 AS s FROM u a JOIN u z ON a.b = z.b),
+y2 AS (SELECT b, i, max(s) + ln(sum(exp(s - m))) - max(CASE WHEN i = j THEN s END) AS l FROM (SELECT *, max(s) OVER (PARTITION BY b, i) AS m FROM x2) GROUP BY b, i),
+con AS (SELECT b, avg(l) AS contrastive FROM y2 GROUP BY b),
+parts AS (SELECT d.b AS batch_id, avg(kl) / 64 * 4 AS kl_mean, avg(kl) * 4 AS kl_batch, avg(sl) AS student, avg(loca) AS loca, any_value(contrastive) AS contrastive FROM d JOIN con ON con.b = d.b GROUP BY 1)"""
+
+
+@catalogue("loss_mixes", _MIX + " SELECT batch_id, round(kl_batch, 6) + 0.0 AS kl_batch, " + ", ".join("round(" + " + ".join(f"{w} * {k}" for k, w in parts.items()) + f", 6) + 0.0 AS {name}" for name, parts in L.MIXES.items()) + " FROM parts")
+def loss_mixes(spark: SparkSession, folder: str) -> DataFrame:
+    """The losses of the trainers for batches of eight: the next vector stands for the student."""
+    rows = _pairs(spark, folder).withColumn("batch_id", F.floor(F.col("vec_id") / 8))
+    v, w, label = F.col("v"), F.col("w"), F.col("label")
+    own = rows.groupBy("batch_id").agg(
+        F.avg(L.kl_mean(v, w)).alias("kl_mean"), (F.avg(L.kl_sum(v, w)) * 4).alias("kl_batch"), F.avg(L.student_loss(w, label)).alias("student"), F.avg(L.loca(v, w, label)).alias("loca")
+    )
+    shared = contrastive_loss(rows.select("batch_id", "vec_id", A.unit(w).alias("student"), A.unit(v).alias("teacher")), "batch_id", "vec_id", "student", "teacher")
+    both = own.join(shared.select("batch_id", F.col("loss").alias("contrastive")), "batch_id")
+    parts = {name: F.col(name) for name in ("kl_mean", "kl_batch", "student", "loca", "contrastive")}
+    return both.select("batch_id", _r(F.col("kl_batch")).alias("kl_batch"), *[_r(L.mix(name, parts)).alias(name) for name in L.MIXES])
 
 
 @catalogue("cross_entropy", _S + ", c AS (SELECT vec_id, -lq[label + 1] AS ce, -list_sum(lq) / 64 * (1 + list_max(pt)) AS ofa FROM s) SELECT vec_id, round(ce, 6) + 0.0 AS ce, round(ofa, 6) + 0.0 AS ofa, round(0.1 * ofa + 0.8 * ce, 6) + 0.0 AS mixed FROM c")
