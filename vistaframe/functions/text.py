@@ -129,7 +129,10 @@ def plural(name: Column) -> Column:
 
 
 def asked(kind: str, *names: Column) -> Column:
-    return F.format_string(TEMPLATES[kind], *names) if names else F.lit(TEMPLATES[kind])
+    """The question; NULL if a name is."""
+    if not names:
+        return F.lit(TEMPLATES[kind])
+    return F.when(reduce(lambda x, y: x & y, [n.isNotNull() for n in names]), F.format_string(TEMPLATES[kind], *names))
 
 
 def without_first(text: Column, part: str) -> Column:

@@ -1,7 +1,8 @@
 """Questions and answers from scenes. Every generator is one projection over the scene's row: no shuffle but the caps.
 
-A generator gives (annotation_id, IDs, Questions, Answers, Question_Type) for the scenes it can ask about; ``failed`` counts
-the others. IDs run over the scenes that succeed, in the order of their ids.
+A generator gives (annotation_id, Questions, Answers, Question_Type) for the scenes it can ask about; ``failed`` counts the
+others. ``completed`` adds what curation requires: IDs, which run over the scenes that succeed, in the order of their ids, and
+the paths of the scene's pictures. Each takes the scenes as ``rows``, so that several can share those read once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from vistaframe.functions import text as T
 from vistaframe.functions.numbers import number_words
 from vistaframe.functions.slots import stub_color
 from vistaframe.operators import scenes as S
-from vistaframe.operators.ranking import capped, sequential_ids
+from vistaframe.operators.curation import curated, union_required
+from vistaframe.operators.ranking import capped, prefix, sequential_ids
+from vistaframe.session import cut
 from vistaframe.sources.tables import once, table
 
 ID = "annotation_id"
@@ -45,25 +48,25 @@ def _answers(rows: DataFrame, kind: str, question: Column, answer: Column, key:
     return once(out, key).where(F.col("Questions").isNotNull() & F.col("Answers").isNotNull())
 
 
-def object_identification(spark: SparkSession, folder: str) -> DataFrame:
+def object_identification(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
     """A scene without a valid object is an error row in the reference, so it gives none here."""
-    rows = scene_rows(spark, folder)
+    rows = scene_rows(spark, folder) if rows is None else rows
     name = F.lower(T.processed_name(F.col("top_name"), pairs_of(spark, folder)))
     answer = F.when((name == "") | (name == "n/a"), "Cannot answer").otherwise(name)
     return _answers(rows, "Object Identification", T.asked("prominent"), answer)
 
 
-def color(spark: SparkSession, folder: str, model=stub_color) -> DataFrame:
+def color(spark: SparkSession, folder: str, model=stub_color, rows: DataFrame | None = None) -> DataFrame:
     """model: a column function from the object's name to its colour; the picture's model goes in here."""
-    rows = scene_rows(spark, folder).withColumn("name", T.processed_name(F.col("top_name"), pairs_of(spark, folder)))
+    rows = (scene_rows(spark, folder) if rows is None else rows).withColumn("name", T.processed_name(F.col("top_name"), pairs_of(spark, folder)))
     return _answers(rows, "Color Identification", T.asked("color", F.col("name")), T.strip(model(F.col("name"))))
 
 
-def count(spark: SparkSession, folder: str, most: int = 1000) -> DataFrame:
+def count(spark: SparkSession, folder: str, most: int = 1000, rows: DataFrame | None = None) -> DataFrame:
     """How many objects (not polygons) of a scene have the prominent object's processed name; at most so many questions for
     each raw name."""
     pairs = pairs_of(spark, folder)
-    rows = scene_rows(spark, folder)
+    rows = scene_rows(spark, folder) if rows is None else rows
     processed = F.transform(F.filter("names", lambda n: n.isNotNull()), lambda n: T.processed_name(n, pairs))
     rows = rows.select(ID, "top_name", T.processed_name(F.col("top_name"), pairs).alias("name"), processed.alias("all"))
     counted = rows.select(ID, "top_name", "name", F.size(F.filter("all", lambda n: n == F.col("name"))).cast("long").alias("n"))
@@ -71,10 +74,10 @@ def count(spark: SparkSession, folder: str, most: int = 1000) -> DataFrame:
     return kept.select(ID, T.asked("count", F.col("name")).alias("Questions"), number_words(F.col("n")).alias("Answers"), F.lit("Count").alias("Question_Type"))
 
 
-def proximity(spark: SparkSession, folder: str, farthest: bool = False) -> DataFrame:
+def proximity(spark: SparkSession, folder: str, farthest: bool = False, rows: DataFrame | None = None) -> DataFrame:
     """The object closest to (or farthest from) the prominent one, by the centroids of the first frame."""
     pairs = pairs_of(spark, folder)
-    rows = S.with_placed(scene_rows(spark, folder))
+    rows = S.with_placed(scene_rows(spark, folder) if rows is None else rows)
     rows = rows.withColumn("own", F.get(F.filter("spots", lambda s: s["obj"] == F.col("top")), 0))
     rows = rows.select(ID, "names", "top_name", S.nearest(F.col("spots"), F.col("own"), farthest)["obj"].alias("other"))
     other = F.get("names", F.col("other"))
@@ -82,9 +85,9 @@ def proximity(spark: SparkSession, folder: str, farthest: bool = False) -> DataF
     return _answers(rows, "Proximity", T.asked(kind, T.processed_name(F.col("top_name"), pairs)), T.processed_name(other, pairs))
 
 
-def direction(spark: SparkSession, folder: str) -> DataFrame:
+def direction(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
     """Where the first polygon of another name lies, seen from the prominent object."""
-    rows = scene_rows(spark, folder)
+    rows = scene_rows(spark, folder) if rows is None else rows
     spots = F.filter(
         F.transform(S.candidates(F.col("names"), F.col("polygons")), lambda p: F.struct(F.get("names", p["object_idx"]).alias("name"), p["cx"].alias("cx"), p["cy"].alias("cy"))),
         lambda s: s["name"].isNotNull() & s["cx"].isNotNull(),
@@ -96,13 +99,13 @@ def direction(spark: SparkSession, folder: str) -> DataFrame:
     return _answers(rows, "Direction", T.asked("relative", F.lower(other["name"]), F.lower(F.col("top_name"))), G.direction(theta))
 
 
-def yes_no(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+def yes_no(spark: SparkSession, folder: str, strict: bool = False, rows: DataFrame | None = None) -> DataFrame:
     """Two rows a scene, with one id: the prominent object (yes) and a word of the vocabulary chosen by md5 (no), which may
     be in the scene all the same unless strict. The reference list is the vocabulary."""
     items = [r[0] for r in table(spark, folder, "canonical_item").where("kind = 'object'").select(F.lower("item").alias("i")).distinct().orderBy("i").limit(10_001).collect()]
     if len(items) > 10_000:
         raise ValueError("a vocabulary of more than 10000 entries")
-    rows = once(scene_rows(spark, folder).select(ID, "names", F.lower("top_name").alias("name")), ID).where(F.col("name").isNotNull())
+    rows = once((scene_rows(spark, folder) if rows is None else rows).select(ID, "names", F.lower("top_name").alias("name")), ID).where(F.col("name").isNotNull())
     words = F.array(*[F.lit(i) for i in items])
     present = F.transform(F.filter("names", lambda n: n.isNotNull()), F.lower)
     free = F.filter(words, lambda w: (w != F.col("name")) & (~F.array_contains(present, w) if strict else F.lit(True)))
@@ -111,6 +114,62 @@ def yes_no(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
     return rows.select(ID, F.inline(two)).withColumn("Question_Type", F.lit("Yes/No"))
 
 
+def count_every(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
+    """How many objects have each processed name of a scene: a question for each name, not only the prominent one's."""
+    pairs = pairs_of(spark, folder)
+    rows = scene_rows(spark, folder) if rows is None else rows
+    named = rows.select(ID, F.transform(F.filter("names", lambda n: n.isNotNull()), lambda n: T.processed_name(n, pairs)).alias("all"))
+    each = once(named, ID).select(ID, F.explode("all").alias("name")).groupBy(ID, "name").agg(F.count("*").alias("n"))
+    return each.select(ID, T.asked("count", F.col("name")).alias("Questions"), number_words(F.col("n")).alias("Answers"), F.lit("Count").alias("Question_Type"))
+
+
+def yes_no_every(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
+    """Whether there is each item of the reference list: yes for the names of a scene, no for all other items. The list is
+    small by contract; an item is a row for each scene, as the question is asked about each."""
+    items = table(spark, folder, "canonical_item").where("kind = 'object'").select(F.lower("item").alias("item")).distinct().limit(10_001)
+    words = sorted(r[0] for r in items.collect())
+    if len(words) > 10_000:
+        raise ValueError("a vocabulary of more than 10000 entries")
+    rows = scene_rows(spark, folder) if rows is None else rows
+    present = rows.select(ID, F.array_distinct(F.transform(F.filter("names", lambda n: n.isNotNull()), F.lower)).alias("names"), F.col("top").isNotNull().alias("asked"))
+    present = once(present, ID).where(F.col("asked") & F.col("names").isNotNull())
+    said = F.concat(
+        F.transform("names", lambda n: F.struct(n.alias("name"), F.lit("yes").alias("said"))),
+        F.transform(F.array_except(F.array(*[F.lit(w) for w in words]), F.col("names")), lambda n: F.struct(n.alias("name"), F.lit("no").alias("said"))),
+    )
+    each = present.select(ID, F.inline(said))
+    return each.select(ID, T.asked("any", F.col("name")).alias("Questions"), F.col("said").alias("Answers"), F.lit("Yes/No").alias("Question_Type"))
+
+
+def halved(qa: DataFrame) -> DataFrame:
+    """The first half of the rows of Yes/No, as the generator keeps them: by scene, the yes of a scene first."""
+    return prefix(qa, [ID, F.desc("Answers"), "Questions"], 0.5)
+
+
+def completed(spark: SparkSession, folder: str, qa: DataFrame) -> DataFrame:
+    """(annotation_id, IDs, Questions, Answers, Image_Path, Depth_Path, Question_Type): the rows of a generator as curation
+    requires them. Only ids and paths are joined; a scene that is not listed has NULL paths."""
+    links = table(spark, folder, "annotation", [ID, "scene_idx"]).groupBy(ID).agg(F.min("scene_idx").alias("scene_idx"))
+    paths = table(spark, folder, "scene", ["scene_idx", "rgb_path", "depth_path"]).groupBy("scene_idx").agg(F.min("rgb_path").alias("Image_Path"), F.min("depth_path").alias("Depth_Path"))
+    placed = numbered(qa).join(links, ID, "left").join(paths, "scene_idx", "left")
+    return placed.select(ID, "IDs", "Questions", "Answers", "Image_Path", "Depth_Path", "Question_Type")
+
+
+def generated(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The rows of all generators, complete, from scenes that are read and measured once."""
+    rows = cut(once(scene_rows(spark, folder), ID), "scenes")
+    parts = [object_identification(spark, folder, rows=rows), color(spark, folder, rows=rows), count(spark, folder, rows=rows), proximity(spark, folder, rows=rows), direction(spark, folder, rows=rows), halved(yes_no(spark, folder, rows=rows))]
+    return [completed(spark, folder, qa) for qa in parts]
+
+
+def chain(spark: SparkSession, folder: str, balance: bool = True) -> DataFrame:
+    """From annotations to curated questions: all generators, union, new ids over the union, repair, filters and, but for
+    training splits, balance (which keeps nothing if there are fewer pictures than types)."""
+    union = union_required(generated(spark, folder))
+    key = F.concat_ws("|", F.lpad(F.col(ID).cast("string"), 20, "0"), "Question_Type", "Questions", "Answers")
+    return curated([sequential_ids(union.withColumn("_order", key), ["_order"], "Question_Id").drop("_order", ID)], balance=balance)
+
+
 def failed(spark: SparkSession, folder: str) -> DataFrame:
     """(scenes, unreadable, without_prominent): what the generators cannot ask about."""
     base = S.with_prominent(S.scenes(table(spark, folder, "annotation", [ID, "doc"])))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaframe.functions import geometry as G
+from vistaframe.functions import numbers as N
 from vistaframe.functions.text import is_stop_name
 from vistaframe.operators import scenes as S
 from vistaframe.operators.curation import without_objects
@@ -26,7 +27,7 @@ SCENES = r"""
 WITH docs AS (SELECT annotation_id, any_value(doc) AS doc FROM annotation GROUP BY annotation_id),
 ok AS (
   SELECT annotation_id, doc::JSON AS j FROM docs
-  WHERE json_valid(doc) AND json_type(doc) = 'OBJECT' AND NOT regexp_matches(doc, ',\s*[\]}]')
+  WHERE json_valid(doc) AND json_type(doc) = 'OBJECT' AND NOT regexp_matches(regexp_replace(doc, '"(\\.|[^"\\])*"', '""', 'g'), ',\s*[\]}]')
 ), objs AS (
   SELECT annotation_id, unnest(range(json_array_length(j, '$.objects')::INT))::INT AS object_idx, unnest(json_extract(j, '$.objects[*]')) AS o
   FROM ok WHERE json_type(j, '$.objects') = 'ARRAY'
@@ -190,32 +191,111 @@ def direction_legacy(spark: SparkSession, folder: str) -> DataFrame:
     return spots.select(ID, F.inline(F.transform("spots", each))).distinct().where(F.col("direction").isNotNull())
 
 
-#: Processed names in SQL, for names without words written together or digits; others are tested on fixtures.
-@catalogue("qa_object")
+#: Letters, marks, digits and joiners of words, and white space, as classes of the SQL's patterns.
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+_S = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+
+
+def processed(names: str) -> str:
+    """CTEs that give ``spoken`` (raw, name): every name of ``names`` (a query of one column raw) processed. Words written together
+    are taken apart, those of several words first; then numbers become words, digits at ends go, and full stops at the end."""
+    number = "CASE WHEN NOT regexp_full_match(t, '[0-9]{1,6}') THEN t WHEN t::INT < 1000 THEN n.word[t::INT + 1] ELSE n.word[(t::INT // 1000) + 1] || ' thousand' || CASE WHEN t::INT % 1000 = 0 THEN '' WHEN t::INT % 1000 < 100 THEN ' and ' || n.word[(t::INT % 1000) + 1] ELSE ', ' || n.word[(t::INT % 1000) + 1] END END"
+    return rf"""
+raws AS (SELECT DISTINCT raw FROM ({names}) WHERE raw IS NOT NULL),
+cw AS (SELECT combined_word AS c, any_value(separated_word) AS s, regexp_full_match(combined_word, '\w+') AS single FROM combined_word_map WHERE combined_word IS NOT NULL AND separated_word IS NOT NULL GROUP BY ALL),
+several AS (SELECT coalesce(list('(^|[^{_W}])' || regexp_escape(c) || '($|[^{_W}])' || chr(1) || '\1' || s || '\2' ORDER BY c), []) AS m FROM cw WHERE regexp_matches(c, '[^{_W}]')),
+alone AS (SELECT map(list(lower(c)), list(s)) AS m FROM cw WHERE NOT regexp_matches(c, '[^{_W}]')),
+number AS (SELECT [{', '.join(f"'{N._words(n)}'" for n in range(1000))}] AS word),
+apart AS (SELECT raw, list_reduce(list_concat([raw], several.m), lambda t, p: regexp_replace(t, split_part(p, chr(1), 1), split_part(p, chr(1), 2), 'gi')) AS t FROM raws CROSS JOIN several),
+single AS (SELECT raw, array_to_string(list_transform(regexp_extract_all(t, '[{_W}]+|[^{_W}]+'), lambda w: coalesce(alone.m[lower(w)], w)), '') AS t FROM apart CROSS JOIN alone),
+worded AS (SELECT raw, array_to_string(list_transform(list_filter(string_split_regex(single.t, '[{_S}]+'), lambda t: t <> ''), lambda t: {number}), ' ') AS t FROM single CROSS JOIN number n),
+spoken AS (SELECT raw, lower(rtrim(array_to_string(list_transform(regexp_extract_all(t, '[{_W}]+|[^{_W}]+'), lambda w: regexp_replace(w, '^([{_W}]+?)\p{{Nd}}+$', '\1')), ''), '.')) AS name FROM worded)"""
+
+
+_TOPS = SCENES + "," + processed("SELECT top_name AS raw FROM top UNION SELECT name FROM named")
+
+
+@catalogue("qa_object", _TOPS + """
+SELECT annotation_id, 'What is the most prominent object?' AS Questions, CASE WHEN s.name IN ('', 'n/a') THEN 'Cannot answer' ELSE s.name END AS Answers, 'Object Identification' AS Question_Type
+FROM top JOIN spoken s ON s.raw = top.top_name""")
 def qa_object(spark: SparkSession, folder: str) -> DataFrame:
     return Q.object_identification(spark, folder)
 
 
-@catalogue("qa_color")
+@catalogue("qa_color", _TOPS + """
+SELECT annotation_id, 'What is the color of the ' || s.name || '?' AS Questions,
+  ['black', 'white', 'gray', 'brown', 'red', 'green', 'blue'][((('0x' || md5(s.name)[1:8])::BIGINT) % 7) + 1] AS Answers, 'Color Identification' AS Question_Type
+FROM top JOIN spoken s ON s.raw = top.top_name""")
 def qa_color(spark: SparkSession, folder: str) -> DataFrame:
+    """The colour is that of the stub, which takes it from the name."""
     return Q.color(spark, folder)
 
 
-@catalogue("qa_count")
+_COUNTED = _TOPS + """, held AS (SELECT n.annotation_id, s.name, count(*) AS n FROM named n JOIN spoken s ON s.raw = n.name GROUP BY ALL)"""
+
+
+@catalogue("qa_count", _COUNTED + """, asked AS (
+  SELECT top.annotation_id, top.top_name, s.name, coalesce(h.n, 0) AS n, row_number() OVER (PARTITION BY top.top_name ORDER BY top.annotation_id) AS k
+  FROM top JOIN spoken s ON s.raw = top.top_name LEFT JOIN held h ON h.annotation_id = top.annotation_id AND h.name = s.name)
+SELECT annotation_id, 'How many ' || name || 's are there?' AS Questions, number.word[n + 1] AS Answers, 'Count' AS Question_Type FROM asked CROSS JOIN number WHERE k <= 1000""")
 def qa_count(spark: SparkSession, folder: str) -> DataFrame:
+    """At most a thousand questions for each raw name: the cap is the generator's."""
     return Q.count(spark, folder)
 
 
-@catalogue("qa_closest")
+@catalogue("qa_count_every", _COUNTED + " SELECT annotation_id, 'How many ' || name || 's are there?' AS Questions, number.word[n + 1] AS Answers, 'Count' AS Question_Type FROM held CROSS JOIN number")
+def qa_count_every(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.count_every(spark, folder)
+
+
+def _proximity(kind: str) -> str:
+    return _SPOTS + "," + processed("SELECT top_name AS raw FROM top UNION SELECT name FROM named") + f"""
+SELECT top.annotation_id, 'What is {'closest' if kind == 'closest' else 'farthest'} to the ' || s.name || '?' AS Questions, z.name AS Answers, 'Proximity' AS Question_Type
+FROM top JOIN spoken s ON s.raw = top.top_name JOIN near n ON n.annotation_id = top.annotation_id AND n.object_idx = top.top
+JOIN named o ON o.annotation_id = top.annotation_id AND o.object_idx = n.{kind} JOIN spoken z ON z.raw = o.name"""
+
+
+@catalogue("qa_closest", _proximity("closest"))
 def qa_closest(spark: SparkSession, folder: str) -> DataFrame:
     return Q.proximity(spark, folder)
 
 
-@catalogue("qa_farthest")
+@catalogue("qa_farthest", _proximity("farthest"))
 def qa_farthest(spark: SparkSession, folder: str) -> DataFrame:
     return Q.proximity(spark, folder, farthest=True)
 
 
+@catalogue("qa_yes_no_every", SCENES + """, v AS (SELECT DISTINCT lower(item) AS w FROM canonical_item WHERE kind = 'object'),
+t AS (SELECT annotation_id FROM top WHERE annotation_id IN (SELECT annotation_id FROM ok WHERE json_type(j, '$.objects') = 'ARRAY')),
+y AS (SELECT DISTINCT annotation_id, lower(name) AS w FROM named JOIN t USING (annotation_id) WHERE name IS NOT NULL)
+SELECT annotation_id, 'Is there any ' || w || '?' AS Questions, 'yes' AS Answers, 'Yes/No' AS Question_Type FROM y
+UNION ALL SELECT annotation_id, 'Is there any ' || w || '?', 'no', 'Yes/No' FROM t CROSS JOIN v WHERE (annotation_id, w) NOT IN (SELECT annotation_id, w FROM y)""")
+def qa_yes_no_every(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.yes_no_every(spark, folder)
+
+
+_YES_NO = """, v AS (SELECT DISTINCT lower(item) AS w FROM canonical_item WHERE kind = 'object'),
+t AS (SELECT annotation_id, lower(top_name) AS name FROM top WHERE top_name IS NOT NULL),
+neg AS (SELECT annotation_id, arg_min(w, md5(annotation_id || '|' || w)) AS w FROM t JOIN v ON v.w <> t.name GROUP BY 1),
+asked AS (
+  SELECT annotation_id, 'Is there any ' || name || '?' AS Questions, 'yes' AS Answers FROM t UNION ALL SELECT annotation_id, 'Is there any ' || w || '?', 'no' FROM neg
+), half AS (SELECT annotation_id, Questions, Answers FROM (SELECT *, row_number() OVER (ORDER BY annotation_id, Answers DESC, Questions) AS k, count(*) OVER () AS n FROM asked) WHERE k <= n // 2),
+ids AS (SELECT annotation_id, row_number() OVER (ORDER BY annotation_id)::BIGINT AS IDs FROM (SELECT DISTINCT annotation_id FROM half)),
+links AS (SELECT annotation_id, min(scene_idx) AS scene_idx FROM annotation GROUP BY 1), paths AS (SELECT scene_idx, min(rgb_path) AS Image_Path, min(depth_path) AS Depth_Path FROM scene GROUP BY 1)"""
+
+
+@catalogue("qa_yes_no_half", SCENES + _YES_NO + " SELECT annotation_id, IDs, Questions, Answers, Image_Path, Depth_Path, 'Yes/No' AS Question_Type FROM half JOIN ids USING (annotation_id) LEFT JOIN links USING (annotation_id) LEFT JOIN paths USING (scene_idx)")
+def qa_yes_no_half(spark: SparkSession, folder: str) -> DataFrame:
+    """The half of the rows that the generator keeps, with ids and paths: the half is the feature."""
+    return Q.completed(spark, folder, Q.halved(Q.yes_no(spark, folder)))
+
+
+@catalogue("qa_curated")
+def qa_curated(spark: SparkSession, folder: str) -> DataFrame:
+    """From annotations to curated questions by all generators."""
+    return Q.chain(spark, folder).select("Question_Id", "IDs", "Questions", "Answers", "Image_Path", "Question_Type")
+
+
 @catalogue("qa_yes_no", SCENES + """, v AS (SELECT DISTINCT lower(item) AS w FROM canonical_item WHERE kind = 'object'),
 t AS (SELECT annotation_id, lower(top_name) AS name FROM top WHERE top_name IS NOT NULL),
 neg AS (SELECT annotation_id, arg_min(w, md5(annotation_id || '|' || w)) AS w FROM t JOIN v ON v.w <> t.name GROUP BY 1)
