@@ -10,7 +10,7 @@ At scale: one pass, no shuffle; the vocabulary (``MAX_VOCABULARY`` bytes, checke
 Defined cases
 * null and empty texts: no ids, an empty list (never null). A blank text has the ids of its white space.
 * a null id: kept, with the ids of its text. Repeated rows: each encoded. Columns besides the two: not read.
-* special tokens: none; their strings are ordinary text. Invalid surrogates: replaced by U+FFFD before encoding.
+* special tokens: none; their strings are ordinary text. Lone surrogates, which no column of Spark can hold: replaced by ``?``.
 """
 
 from __future__ import annotations
@@ -92,6 +92,7 @@ class Encoder:
         self.memo: dict[str, list[int]] = {}
         self.size = max(self.ranks.values()) + 1
         self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.queue = RankQueue(self.size)  # empty between pre-tokens
 
     def merged(self, left: int, right: int) -> int:
         """The rank of two neighbouring symbols, -1 if they do not merge."""
@@ -112,7 +113,7 @@ class Encoder:
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = [-1] * n
-        queue = RankQueue(self.size)
+        queue = self.queue
         for i in range(n - 1):
             r = pair[i] = self.merged(symbol[i], symbol[i + 1])
             if r >= 0:
