@@ -136,6 +136,23 @@ def test_files(spark, tmp_path):
     assert sorted(r[0] for r in files.flatten_cells(spark.createDataFrame([("a", None), ("b", "c")], "x string, y string")).collect()) == ["a", "b", "c"]
 
 
+def test_vocabulary_is_read_as_it_was_written(spark, tmp_path):
+    words = spark.createDataFrame([("wall", 2), ('a "b"', 3), ("été", 4)], "token string, id long")
+    answers = spark.createDataFrame([("yes", 0), ("no", 1)], "token string, id long")
+    files.write_vocabulary(words, answers, f"file://{tmp_path}/v", {"max_len": 15})
+    got = {n: sorted(map(tuple, df.collect())) for n, df in files.read_vocabulary(spark, f"file://{tmp_path}/v").items()}
+    assert got == {"word2idx": [('a "b"', 3), ("wall", 2), ("été", 4)], "idx2word": [(2, "wall"), (3, 'a "b"'), (4, "été")], "ans2idx": [("no", 1), ("yes", 0)], "idx2ans": [(0, "yes"), (1, "no")], "config": [("max_len", 15)]}
+
+
+def test_writers(spark, tmp_path):
+    df = spark.createDataFrame([(1, "b", 'x, "y"'), (0, "a", None)], "idx int, path string, note string")
+    files.write_lines(df, f"file://{tmp_path}/lines")
+    assert [r[0] for r in spark.read.text(f"file://{tmp_path}/lines").collect()] == ["a", "b"]
+    files.write_csv(df, f"file://{tmp_path}/csv", ["idx"])
+    assert [tuple(r) for r in spark.read.schema(df.schema).option("header", True).option("escape", '"').csv(f"file://{tmp_path}/csv").orderBy("idx").collect()] == [(0, "a", None), (1, "b", 'x, "y"')]
+    assert files.as_base64(spark.createDataFrame([(bytearray(b"abc"),)], "content binary")).first()[0] == "YWJj"
+
+
 def test_question_pairs(spark):
     a = spark.createDataFrame([([(1, 10), (2, 11)],)], "annotations array<struct<image_id:int,question_id:int>>")
     q = spark.createDataFrame([([(10, "x"), (11, "y")],)], "questions array<struct<question_id:int,question:string>>")

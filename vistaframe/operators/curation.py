@@ -57,6 +57,8 @@ def balance_by_type(df: DataFrame, image: str = "Image_Path", kind: str = "Quest
     return typed.join(chunks, (typed[image] == chunks["_image"]) & (typed["_chunk"] == chunks["_chunk"])).select(*df.columns)
 
 
+#: Rows up to which the first by an order are taken from each task; beyond, the rows are sorted and numbered.
+TOP_ROWS = 10_000
 #: Proven bound of the number of question types.
 MAX_TYPES = 10_000
 
@@ -64,6 +66,8 @@ MAX_TYPES = 10_000
 def pick(df: DataFrame, k: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """k rows in the order of md5, all if there are fewer. key: a unique key."""
     keyed = df.withColumn("_key", random_key(*key, seed=seed))
+    if k <= TOP_ROWS:  # each task keeps its first k, and only those are brought together
+        return keyed.orderBy("_key", *key).limit(max(k, 0)).drop("_key")
     return sequential_ids(keyed, ["_key", *key], "_rn").where(F.col("_rn") <= k).drop("_rn", "_key")
 
 

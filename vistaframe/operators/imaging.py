@@ -15,44 +15,47 @@ PREWITT_X = ((-1.0, 0.0, 1.0), (-1.0, 0.0, 1.0), (-1.0, 0.0, 1.0))
 PREWITT_Y = ((-1.0, -1.0, -1.0), (0.0, 0.0, 0.0), (1.0, 1.0, 1.0))
 
 
-def convolved(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """True 3 x 3 convolution (the kernel is flipped); edges are mirrored, the edge itself included."""
-    padded = np.pad(image, 1, mode="symmetric")
+def convolved(images: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """True 3 x 3 convolution (the kernel is flipped) of a stack of pictures; edges are mirrored, the edge itself included."""
+    padded = np.pad(images, [(0, 0)] * (images.ndim - 2) + [(1, 1), (1, 1)], mode="symmetric")
     flipped = kernel[::-1, ::-1]
-    h, w = image.shape
-    return sum(flipped[i, j] * padded[i : i + h, j : j + w] for i in range(3) for j in range(3))
+    h, w = images.shape[-2:]
+    return sum(flipped[i, j] * padded[..., i : i + h, j : j + w] for i in range(3) for j in range(3))
 
 
 def to_255(a: np.ndarray) -> np.ndarray:
-    """Min-max to 0 to 255, cut; zeros if flat."""
-    low, high = a.min(), a.max()
-    return np.zeros(a.shape, dtype=np.int64) if high <= low else np.floor((a - low) / (high - low) * 255).astype(np.int64)
+    """Each picture min-max to 0 to 255, cut; zeros if flat."""
+    low, high = a.min(axis=(-2, -1), keepdims=True), a.max(axis=(-2, -1), keepdims=True)
+    width = np.where(high > low, high - low, 1.0)
+    return np.where(high > low, np.floor((a - low) / width * 255), 0).astype(np.int64)
 
 
-def gradients(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gradients(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Magnitude and angle of the gradient."""
-    gx, gy = convolved(image, np.array(PREWITT_X)), convolved(image, np.array(PREWITT_Y))
+    gx, gy = convolved(images, np.array(PREWITT_X)), convolved(images, np.array(PREWITT_Y))
     return np.sqrt(gx * gx + gy * gy), np.arctan2(gy, gx)
 
 
 def depth_channels(flat: Column, width: int, imagenet: bool = False) -> Column:
     """ARRAY<ARRAY<INT>>: depth, gradient magnitude and gradient angle, each scaled to 0 to 255, of a flat matrix of that
     width; with imagenet normalised by the means of photographs and clipped, as the evaluators do. NULL for NULL, and for a
-    length that is no multiple of the width."""
+    length that is no multiple of the width. Pictures of one size are worked on as a stack, whole batches at a time."""
 
     @F.pandas_udf("array<array<int>>")
     def run(rows: pd.Series) -> pd.Series:
-        out = []
-        for r in rows:
-            if r is None or len(r) == 0 or len(r) % width:
-                out.append(None)
-                continue
-            image = np.asarray(r, dtype=float).reshape(-1, width)
-            channels = [to_255(c) for c in (image, *gradients(image))]
+        out: list = [None] * len(rows)
+        by_size: dict[int, list[int]] = {}
+        for at, r in enumerate(rows):
+            if r is not None and len(r) and len(r) % width == 0:
+                by_size.setdefault(len(r), []).append(at)
+        for size, places in by_size.items():
+            images = np.stack([np.asarray(rows.iloc[at], dtype=float) for at in places]).reshape(len(places), -1, width)
+            channels = [to_255(c) for c in (images, *gradients(images))]
             if imagenet:
                 channels = [np.clip((c / 255.0 - m) / s * 255, 0, 255).astype(np.int64) for c, m, s in zip(channels, IMAGENET_MEAN, IMAGENET_STD)]
-            out.append([c.ravel().tolist() for c in channels])
-        return pd.Series(out)
+            for at, three in zip(places, np.stack(channels, axis=1).reshape(len(places), 3, size).tolist()):
+                out[at] = three
+        return pd.Series(out, dtype=object)
 
     return run(flat)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vistaframe.functions.arrays import same_set
 from vistaframe.functions.numbers import tokens
+from vistaframe.operators.ranking import sequential_ids
 
 
 def lemmas(text: Column) -> Column:
@@ -51,19 +52,26 @@ def proportion_interval(df: DataFrame, by: list[str], hit: Column, level: float
 def random_baseline(df: DataFrame, kind: str, answer: str, key: str, seed: int = 42) -> DataFrame:
     """(kind, n, n_correct, accuracy, expected_percent): each row is answered with one of its kind's distinct answers.
 
-    The answers of a kind are numbered in sorted order; a row draws a number by md5, and is right if that is its answer's.
-    So only the numbered answers are joined, never all answers of a kind to a row."""
-    from pyspark.sql.window import Window
-
+    The answers of a kind are numbered in sorted order, without a window of one kind; a row draws a number by md5, and is
+    right if that is its answer's. Rows are counted by kind, answer and draw in the map tasks before they are joined, so an
+    answer that fills a kind is a row for each number. Kinds (``MAX_KINDS`` at most, checked) are broadcast."""
     answers = df.where(F.col(answer).isNotNull() & F.col(kind).isNotNull()).select(kind, answer).distinct()
-    numbered = answers.withColumn("_at", F.row_number().over(Window.partitionBy(kind).orderBy(answer)) - 1)
-    sizes = numbered.groupBy(kind).agg(F.count("*").alias("_n"))
-    rows = df.where(F.col(kind).isNotNull()).join(sizes, kind).join(numbered, [kind, answer], "left")
+    numbered = sequential_ids(answers, [kind, answer], "_id", 0)
+    sizes = numbered.groupBy(kind).agg(F.count("*").alias("_n"), F.min("_id").alias("_start")).limit(MAX_KINDS + 1).collect()
+    if len(sizes) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds")
+    known = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in sizes], f"`{kind}` string, _n long, _start long"))
     digits = F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8)
     drawn = F.pmod(F.conv(digits, 16, 10).cast("long"), F.col("_n"))
-    hit = F.coalesce((drawn == F.col("_at")).cast("int"), F.lit(0))
-    stats = rows.groupBy(kind).agg(F.count("*").alias("n"), F.sum(hit).cast("long").alias("n_correct"), F.avg(hit).alias("accuracy"), F.first("_n").alias("_n"))
-    return stats.select(kind, "n", "n_correct", "accuracy", (100.0 / F.col("_n")).alias("expected_percent"))
+    counted = df.join(known, kind).withColumn("_drawn", drawn).groupBy(kind, answer, "_drawn").agg(F.count("*").alias("_rows"))
+    placed = numbered.join(known, kind).select(kind, answer, (F.col("_id") - F.col("_start")).alias("_at"))
+    hit = F.coalesce((F.col("_drawn") == F.col("_at")).cast("long"), F.lit(0)) * F.col("_rows")
+    stats = counted.join(placed, [kind, answer], "left").groupBy(kind).agg(F.sum("_rows").alias("n"), F.sum(hit).alias("n_correct"))
+    return stats.join(known, kind).select(kind, "n", "n_correct", (F.col("n_correct") / F.col("n")).alias("accuracy"), (100.0 / F.col("_n")).alias("expected_percent"))
+
+
+#: Proven bound of the number of kinds of questions.
+MAX_KINDS = 10_000
 
 
 def scored_files(df: DataFrame, file: str, kind: str, match: Column, similarity: Column) -> DataFrame:

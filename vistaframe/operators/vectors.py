@@ -18,5 +18,4 @@ def contrastive_loss(df: DataFrame, batch: str, key: str, student: str, teacher:
     # cosines lie between -1 and 1, so no score is above 1 / temperature: shifted by that, the sum needs no maximum first
     most = 1.0 / temperature
     row = scored.groupBy(batch, "_i").agg(F.sum(F.exp(F.col("_x") - most)).alias("_sum"), F.max(F.when(F.col("_own"), F.col("_x"))).alias("_right"))
-    lse = most + F.log("_sum")
-    return row.select(batch, (lse - F.col("_right")).alias("_loss")).groupBy(batch).agg(F.count("*").alias("n"), F.avg("_loss").alias("loss"))
+    return row.select(batch, F.log(F.col("_sum") / F.exp(F.col("_right") - most)).alias("_loss")).groupBy(batch).agg(F.count("*").alias("n"), F.avg("_loss").alias("loss"))

@@ -100,7 +100,7 @@ def direction(spark: SparkSession, folder: str, rows: DataFrame | None = None) -
 
 
 def yes_no(spark: SparkSession, folder: str, strict: bool = False, rows: DataFrame | None = None) -> DataFrame:
-    """Two rows a scene, with one id: the prominent object (yes) and a word of the vocabulary chosen by md5 (no), which may
+    """Two rows a scene, with one id: the prominent object (yes) and a word of the vocabulary chosen by md5 of the id (no), which may
     be in the scene all the same unless strict. The reference list is the vocabulary."""
     items = [r[0] for r in table(spark, folder, "canonical_item").where("kind = 'object'").select(F.lower("item").alias("i")).distinct().orderBy("i").limit(10_001).collect()]
     if len(items) > 10_000:
@@ -108,10 +108,11 @@ def yes_no(spark: SparkSession, folder: str, strict: bool = False, rows: DataFra
     rows = once((scene_rows(spark, folder) if rows is None else rows).select(ID, "names", F.lower("top_name").alias("name")), ID).where(F.col("name").isNotNull())
     words = F.array(*[F.lit(i) for i in items])
     present = F.transform(F.filter("names", lambda n: n.isNotNull()), F.lower)
-    free = F.filter(words, lambda w: (w != F.col("name")) & (~F.array_contains(present, w) if strict else F.lit(True)))
-    no = F.array_min(F.transform(free, lambda w: F.struct(F.md5(F.concat_ws("|", F.col(ID).cast("string"), w)).alias("k"), w.alias("w"))))["w"]
+    rows = rows.withColumn("free", F.array_except(words, F.concat(F.array("name"), present) if strict else F.array("name")))
+    drawn = F.conv(F.substring(F.md5(F.col(ID).cast("string")), 1, 8), 16, 10).cast("long")
+    no = F.get("free", F.when(F.size("free") > 0, F.pmod(drawn, F.size("free"))).cast("int"))
     two = F.array(F.struct(T.asked("any", F.col("name")).alias("Questions"), F.lit("yes").alias("Answers")), F.struct(T.asked("any", no).alias("Questions"), F.lit("no").alias("Answers")))
-    return rows.select(ID, F.inline(two)).withColumn("Question_Type", F.lit("Yes/No"))
+    return rows.select(ID, F.inline(two)).where(F.col("Questions").isNotNull()).withColumn("Question_Type", F.lit("Yes/No"))
 
 
 def count_every(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:

@@ -276,7 +276,8 @@ def qa_yes_no_every(spark: SparkSession, folder: str) -> DataFrame:
 
 _YES_NO = """, v AS (SELECT DISTINCT lower(item) AS w FROM canonical_item WHERE kind = 'object'),
 t AS (SELECT annotation_id, lower(top_name) AS name FROM top WHERE top_name IS NOT NULL),
-neg AS (SELECT annotation_id, arg_min(w, md5(annotation_id || '|' || w)) AS w FROM t JOIN v ON v.w <> t.name GROUP BY 1),
+drawn AS (SELECT annotation_id, list(w ORDER BY w) AS free FROM t JOIN v ON v.w <> t.name GROUP BY 1),
+neg AS (SELECT annotation_id, free[('0x' || md5(annotation_id::VARCHAR)[1:8])::BIGINT % len(free) + 1] AS w FROM drawn),
 asked AS (
   SELECT annotation_id, 'Is there any ' || name || '?' AS Questions, 'yes' AS Answers FROM t UNION ALL SELECT annotation_id, 'Is there any ' || w || '?', 'no' FROM neg
 ), half AS (SELECT annotation_id, Questions, Answers FROM (SELECT *, row_number() OVER (ORDER BY annotation_id, Answers DESC, Questions) AS k, count(*) OVER () AS n FROM asked) WHERE k <= n // 2),
@@ -298,7 +299,8 @@ def qa_curated(spark: SparkSession, folder: str) -> DataFrame:
 
 @catalogue("qa_yes_no", SCENES + """, v AS (SELECT DISTINCT lower(item) AS w FROM canonical_item WHERE kind = 'object'),
 t AS (SELECT annotation_id, lower(top_name) AS name FROM top WHERE top_name IS NOT NULL),
-neg AS (SELECT annotation_id, arg_min(w, md5(annotation_id || '|' || w)) AS w FROM t JOIN v ON v.w <> t.name GROUP BY 1)
+drawn AS (SELECT annotation_id, list(w ORDER BY w) AS free FROM t JOIN v ON v.w <> t.name GROUP BY 1),
+neg AS (SELECT annotation_id, free[('0x' || md5(annotation_id::VARCHAR)[1:8])::BIGINT % len(free) + 1] AS w FROM drawn)
 SELECT annotation_id, 'Is there any ' || name || '?' AS Questions, 'yes' AS Answers, 'Yes/No' AS Question_Type FROM t
 UNION ALL SELECT annotation_id, 'Is there any ' || w || '?', 'no', 'Yes/No' FROM neg""")
 def qa_yes_no(spark: SparkSession, folder: str) -> DataFrame:
@@ -308,7 +310,8 @@ def qa_yes_no(spark: SparkSession, folder: str) -> DataFrame:
 @catalogue("qa_yes_no_strict", SCENES + """, v AS (SELECT DISTINCT lower(item) AS w FROM canonical_item WHERE kind = 'object'),
 t AS (SELECT annotation_id, lower(top_name) AS name FROM top WHERE top_name IS NOT NULL),
 free AS (SELECT annotation_id, w FROM t JOIN v ON v.w <> t.name WHERE (annotation_id, w) NOT IN (SELECT annotation_id, lower(name) FROM named WHERE name IS NOT NULL)),
-neg AS (SELECT annotation_id, arg_min(w, md5(annotation_id || '|' || w)) AS w FROM free GROUP BY 1)
+drawn AS (SELECT annotation_id, list(w ORDER BY w) AS free FROM free GROUP BY 1),
+neg AS (SELECT annotation_id, free[('0x' || md5(annotation_id::VARCHAR)[1:8])::BIGINT % len(free) + 1] AS w FROM drawn)
 SELECT annotation_id, 'Is there any ' || name || '?' AS Questions, 'yes' AS Answers, 'Yes/No' AS Question_Type FROM t
 UNION ALL SELECT annotation_id, 'Is there any ' || w || '?', 'no', 'Yes/No' FROM neg""")
 def qa_yes_no_strict(spark: SparkSession, folder: str) -> DataFrame:

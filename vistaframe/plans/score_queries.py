@@ -57,14 +57,32 @@ def exact_match(spark: SparkSession, folder: str) -> DataFrame:
     return _predictions(spark, folder).groupBy("model_name").agg(F.count("*").alias("total"), F.sum(hit).cast("long").alias("matched"))
 
 
-@catalogue("scored_files", _MATCHED + """, c AS (SELECT model_name AS file, Question_Type, count(*) AS n, avg(m) AS a FROM p WHERE Question_Type IS NOT NULL GROUP BY 1, 2)
-SELECT file, round(sum(a * n) / sum(n), 9) AS simple_accuracy, string_agg(Question_Type || '=' || round(a, 6)::DECIMAL(9, 6), ', ' ORDER BY Question_Type) AS per_category FROM c GROUP BY file""")
+#: Letters, marks, digits and joiners of words, and white space, as classes of the SQL's patterns.
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+_S = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+
+
+def _vector(c: str) -> str:
+    """The stub's vector of a normalised text: eight parts of its md5."""
+    text = f"regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^{_W}{_S}]', '', 'g'), '[{_S}]+', ' ', 'g'), '^ | $', '', 'g')"
+    return f"list_transform(range(0, 8), lambda i: ('0x' || substr(md5({text}), i * 4 + 1, 4))::BIGINT::DOUBLE / 65535)"
+
+
+_ALIKE = f"WITH v AS (SELECT *, {_vector('Model_Answer')} AS v, {_vector('Answers')} AS w FROM prediction WHERE Question_Type IS NOT NULL), p AS (SELECT *, coalesce(({_set('Model_Answer')} = {_set('Answers')})::INT, 0) AS m, coalesce(list_sum(list_transform(range(1, 9), lambda i: v[i] * w[i])) / nullif(sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(w, lambda x: x * x))), 0), 0) AS s FROM v)"
+
+
+def _similarity():
+    return A.cosine(stub_embedding(T.normalized_answer(F.col("Model_Answer"))), stub_embedding(T.normalized_answer(F.col("Answers"))))
+
+
+@catalogue("scored_files", _ALIKE + """, c AS (SELECT model_name AS file, Question_Type, count(*) AS n, avg(m) AS a, avg(s) AS s FROM p GROUP BY 1, 2)
+SELECT file, round(sum(a * n) / sum(n), 9) AS simple_accuracy, round(sum(s * n) / sum(n), 6) AS neural_similarity, string_agg(Question_Type || '=' || round(a, 6)::DECIMAL(9, 6), ', ' ORDER BY Question_Type) AS per_category FROM c GROUP BY file""")
 def scored_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Each model's predictions as one file: overall and per-category accuracy."""
+    """Each model's predictions as one file: overall and per-category accuracy, and similarity by the stub of the vectors."""
     m = _match()
-    rows = M.scored_files(_predictions(spark, folder).withColumnRenamed("model_name", "file"), "file", "Question_Type", m, m.cast("double"))
+    rows = M.scored_files(_predictions(spark, folder).withColumnRenamed("model_name", "file"), "file", "Question_Type", m, _similarity())
     cells = F.transform(F.array_sort(F.map_entries("Simple_Accuracy_Per_Category")), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 6).cast("decimal(9,6)").cast("string")))
-    return rows.select("file", F.round("Simple_Accuracy", 9).alias("simple_accuracy"), F.array_join(cells, ", ").alias("per_category"))
+    return rows.select("file", F.round("Simple_Accuracy", 9).alias("simple_accuracy"), F.round("Neural_Similarity", 6).alias("neural_similarity"), F.array_join(cells, ", ").alias("per_category"))
 
 
 @catalogue("incremental_results", _MATCHED + """
@@ -133,9 +151,8 @@ def windowed_event_counts(spark: SparkSession, folder: str) -> DataFrame:
     return windowed_counts(rows, "at", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@catalogue("answer_similarity")
+@catalogue("answer_similarity", _ALIKE + " SELECT Question_Type, count(*) AS n, round(avg(s), 6) AS similarity FROM p GROUP BY 1")
 def answer_similarity(spark: SparkSession, folder: str) -> DataFrame:
     """Mean similarity of predictions and answers by type, with the stub of the document vectors."""
     rows = _predictions(spark, folder).where(F.col("Question_Type").isNotNull())
-    cos = A.cosine(stub_embedding(T.normalized_answer(F.col("Model_Answer"))), stub_embedding(T.normalized_answer(F.col("Answers"))))
-    return rows.groupBy("Question_Type").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(cos, F.lit(0.0))), 6).alias("similarity"))
+    return rows.groupBy("Question_Type").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(_similarity(), F.lit(0.0))), 6).alias("similarity"))

@@ -277,10 +277,10 @@ def lookup_join(spark: SparkSession, folder: str) -> DataFrame:
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@catalogue("unprocessed", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@catalogue("unprocessed", "SELECT DISTINCT scene_idx FROM scene WHERE scene_idx NOT IN (SELECT scene_idx FROM documents WHERE scene_idx IS NOT NULL)")
 def unprocessed(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the one table that the other doesn't have yet."""
-    return C.without_files(table(spark, folder, "customer", ["c_custkey"]), table(spark, folder, "orders", ["o_custkey"]).withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    """Rows of the one table that the other doesn't have yet: scenes that no text is about."""
+    return C.without_files(table(spark, folder, "scene", ["scene_idx"]).distinct(), table(spark, folder, "documents", ["scene_idx"]), "scene_idx")
 
 
 @catalogue("selected_images", "SELECT DISTINCT Question_Id FROM val_dataset WHERE Image_Path IN (SELECT rgb_path FROM scene WHERE sensor = 'dcam1')")

@@ -6,7 +6,6 @@ bytes; ``flatten_cells`` and ``read_bytes`` take it from there.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,20 +64,23 @@ def flatten_cells(df: DataFrame, name: str = "item") -> DataFrame:
     return df.select(F.explode(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias(name)).where(F.col(name).isNotNull())
 
 
-def read_vocabulary(spark: SparkSession, folder: str, names: Sequence[str] = ("word2idx", "idx2word", "ans2idx", "idx2ans", "config")) -> dict[str, DataFrame]:
-    """(key, value) frames of JSON maps; a missing file is an error; keys that are numbers become INT. Small by contract:
-    each file's size is checked."""
+VOCABULARY = ("word2idx", "idx2word", "ans2idx", "idx2ans", "config")
+
+
+def read_vocabulary(spark: SparkSession, folder: str, names: Sequence[str] = VOCABULARY) -> dict[str, DataFrame]:
+    """(key, value) frames of the JSON maps ``<name>.json`` of a folder, on any file system that Spark reads; a missing file is
+    an error; keys that are numbers become INT. Small by contract: each map's size is checked."""
     import json
 
-    missing = [n for n in names if not os.path.exists(f"{folder}/{n}.json")]
-    if missing:
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    sizes = {n: listed.where(F.regexp_like("path", F.lit(rf"/{n}\.json(/[^/]*)?$")) & ~F.regexp_like("path", F.lit(r"/[_.][^/]*$"))).agg(F.sum("length")).first()[0] for n in names}
+    if missing := [n for n, size in sizes.items() if not size]:
         raise FileNotFoundError(f"missing: {', '.join(missing)}")
     out = {}
-    for n in names:
-        if os.path.getsize(f"{folder}/{n}.json") > MAX_DRIVER_BYTES:
+    for n, size in sizes.items():
+        if size > MAX_DRIVER_BYTES:
             raise ValueError(f"{n}.json is larger than {MAX_DRIVER_BYTES} bytes")
-        with open(f"{folder}/{n}.json", encoding="utf-8") as f:
-            pairs = list(json.load(f).items())
+        pairs = list(json.loads("".join(r[0] for r in spark.read.text(f"{folder}/{n}.json", wholetext=True).collect())).items())
         if pairs and all(k.lstrip("-").isdigit() for k, _ in pairs):
             out[n] = spark.createDataFrame([(int(k), str(v)) for k, v in pairs], "key int, value string")
         else:
@@ -127,9 +129,27 @@ def write_lines(df: DataFrame, path: str, column: str = "path", order: str = "id
     df.orderBy(order).select(column).write.mode("overwrite").text(path)
 
 
-def write_vocabulary(df: DataFrame, path: str, key: str = "token", value: str = "id") -> None:
-    """A vocabulary as JSON lines {key, value}; one file for each partition, so that it may be of any size."""
-    df.select(F.col(key).cast("string").alias("key"), F.col(value).alias("value")).write.mode("overwrite").json(path)
+def write_vocabulary(words: DataFrame, answers: DataFrame, folder: str, config: dict[str, int]) -> None:
+    """The five JSON maps that ``read_vocabulary`` reads, from frames (token, id): both directions of words and of answers, and
+    the numbers of config. Each is one JSON object, written by a task; what would be too large to read again is an error."""
+    spark = words.sparkSession
+
+    def one(name: str, pairs: DataFrame) -> None:
+        whole = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))))
+        size = pairs.agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length(F.col("value").cast("string")) + 8), F.lit(0))).first()[0]
+        if size > MAX_DRIVER_BYTES:
+            raise ValueError(f"{name}.json would be larger than {MAX_DRIVER_BYTES} bytes")
+        pairs.agg(whole.alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{name}.json")
+
+    for name, df in (("word", words), ("ans", answers)):
+        one(f"{name}2idx", df.select(F.col("token").alias("key"), F.col("id").alias("value")))
+        one(f"idx2{name}", inverted(df).select(F.col("id").cast("string").alias("key"), F.col("token").alias("value")))
+    one("config", spark.createDataFrame(list(config.items()), "key string, value long"))
+
+
+def inverted(vocabulary: DataFrame) -> DataFrame:
+    """(id, token) of a vocabulary (token, id); of tokens that share an id the last in order."""
+    return vocabulary.groupBy("id").agg(F.max("token").alias("token"))
 
 
 def as_base64(df: DataFrame, content: str = "content") -> DataFrame:
