@@ -179,6 +179,12 @@ def val_loss(path: Column) -> Column:
     return F.coalesce(found.try_cast("double"), F.lit(float("inf")))
 
 
+def instruct(question: Column, answer: Column | None = None, images: int = 1) -> Column:
+    """A conversation in the form of instructions: the question, a mark for each picture and, for training, the answer."""
+    head = F.concat(F.lit("<s>[INST] "), question, F.lit("\n[IMG] " * images + "[/INST] "))
+    return head if answer is None else F.concat(head, answer, F.lit(" </s>"))
+
+
 def chat(question: Column, answer: Column | None = None) -> Column:
     """A conversation of one question and, for training, its answer."""
     head = F.concat(F.lit("user: "), question, F.lit(SUFFIX_ONE_WORD))

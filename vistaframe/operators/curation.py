@@ -137,8 +137,13 @@ def casefold_distinct(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.lower(F.col(column).cast("string")).alias(column)).distinct()
 
 
-def unordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+def unordered_pairs(df: DataFrame, a: str, b: str, order: str | None = None) -> DataFrame:
+    """(a, b) of each pair once, whichever way round; with order as the first row has it, else the lesser first."""
+    low, high = F.least(a, b), F.greatest(a, b)
+    if order is None:
+        return df.select(low.alias("a"), high.alias("b")).distinct()
+    first = F.min_by(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.col(order))
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(low.alias("_low"), high.alias("_high")).agg(first.alias("p")).select("p.a", "p.b")
 
 
 def without_files(df: DataFrame, done: DataFrame, column: str = "File_Name") -> DataFrame:

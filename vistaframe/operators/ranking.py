@@ -48,6 +48,14 @@ def batches(df: DataFrame, order: Sequence[Column | str], size: int, drop_last:
     return out.drop("_rn")
 
 
+def padded_batches(df: DataFrame, order: Sequence[Column | str], values: str, size: int, fill: Column) -> DataFrame:
+    """df with batch_id and its array of values filled up to the longest of the batch."""
+    numbered = cut(batches(df, order, size), "batches")
+    widths = numbered.groupBy("batch_id").agg(F.max(F.size(values)).alias("_width"))
+    filled = F.concat(values, F.array_repeat(fill, F.col("_width") - F.size(values)))
+    return numbered.join(widths, "batch_id").withColumn(values, filled).drop("_width")
+
+
 def capped(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], most: int) -> DataFrame:
     """At most so many rows of a key, the first by order. Spark limits each map task's groups before the shuffle, so a key
     that fills the table sends no more than its cap from each task."""

@@ -75,6 +75,18 @@ def candidates(names: Column, polygons: Column) -> Column:
     return F.filter(polygons, lambda p: ~F.coalesce(is_stop_name(F.get(names, p["object_idx"])), F.lit(False)))
 
 
+def run_starts(sorted_: str) -> Column:
+    """Where each object begins in a column of structs sorted by ``obj``."""
+    at = F.when(F.size(sorted_) > 0, F.sequence(F.lit(0), F.size(sorted_) - 1))
+    return F.filter(at, lambda i: (i == 0) | ~F.get(sorted_, i)["obj"].eqNullSafe(F.get(sorted_, i - 1)["obj"]))
+
+
+def runs(sorted_: str, starts: str) -> Column:
+    """The structs of each object, from columns of the sorted structs and of ``run_starts``: in all as many as there are, so that
+    a scene takes time by its polygons and not by their square."""
+    return F.transform(starts, lambda at, k: F.slice(sorted_, at + 1, F.coalesce(F.get(starts, k + 1), F.size(sorted_)) - at))
+
+
 def with_prominent(df: DataFrame, ratio: float = 1.3, name: str = "top") -> DataFrame:
     """Scenes with the id of the most prominent object; NULL without candidates, or if a candidate's coordinates are no lists.
 
@@ -84,31 +96,32 @@ def with_prominent(df: DataFrame, ratio: float = 1.3, name: str = "top") -> Data
     ranked = F.transform(by_area, lambda s, i: F.struct(s["depth"].alias("depth"), i.alias("ar"), s["obj"].alias("obj"), (-s["neg"]).alias("area")))
     both = F.transform(F.array_sort("_ranked"), lambda s, i: F.struct(s["obj"].alias("obj"), s["ar"].alias("ar"), i.alias("dr")))
 
-    def score(o: Column) -> Column:
-        own = F.filter("_both", lambda s: s["obj"].eqNullSafe(o))
+    def score(own: Column) -> Column:
+        """Of one object's polygons the worst ranks, and the place of the first."""
         return F.aggregate(
             own,
             F.struct(F.lit(-1).alias("ar"), F.lit(-1).alias("dr"), F.lit(1 << 30).alias("first")),
             lambda m, s: F.struct(F.greatest(m["ar"], s["ar"]).alias("ar"), F.greatest(m["dr"], s["dr"]).alias("dr"), F.least(m["first"], s["ar"]).alias("first")),
-            lambda m: F.struct((m["ar"] + m["dr"]).alias("score"), m["first"].alias("first"), o.alias("obj")),
+            lambda m: F.struct((m["ar"] + m["dr"]).alias("score"), m["first"].alias("first"), F.get(own, F.lit(0))["obj"].alias("obj")),
         )
 
     first, second = F.get("_ranked", F.lit(0)), F.get("_ranked", F.lit(1))
     alone = (F.size("_ranked") == 1) | (first["area"] > ratio * second["area"])
-    least = F.array_min(F.transform(F.array_distinct(F.transform("_ranked", lambda s: s["obj"])), score))
+    least = F.array_min(F.transform(runs("_both", "_starts"), score))
     ok = (F.size("_ranked") > 0) & ~F.exists("_open", lambda p: p["error"])
-    steps = df.withColumn("_open", candidates(F.col("names"), F.col("polygons"))).withColumn("_ranked", ranked).withColumn("_both", both)
-    return steps.withColumn(name, F.when(ok, F.when(alone, first["obj"]).otherwise(least["obj"]))).drop("_open", "_ranked", "_both")
+    steps = df.withColumn("_open", candidates(F.col("names"), F.col("polygons"))).withColumn("_ranked", ranked).withColumn("_both", F.array_sort(both)).withColumn("_starts", run_starts("_both"))
+    return steps.withColumn(name, F.when(ok, F.when(alone, first["obj"]).otherwise(least["obj"]))).drop("_open", "_ranked", "_both", "_starts")
 
 
 def with_placed(df: DataFrame, name: str = "spots") -> DataFrame:
     """Scenes with ARRAY<STRUCT<ord, obj, cx, cy>> of the candidates that have a centroid: an object's last polygon counts,
     at the place of its first."""
     open_ = F.filter(candidates(F.col("names"), F.col("polygons")), lambda p: p["cx"].isNotNull() & p["object_idx"].isNotNull())
-    ids = F.array_distinct(F.transform("_open", lambda p: p["object_idx"]))
-    last = F.transform("_ids", lambda o, i: F.struct(i.alias("ord"), F.element_at(F.filter("_open", lambda p: p["object_idx"] == o), -1).alias("p")))
-    spots = F.transform(last, lambda s: F.struct(s["ord"].alias("ord"), s["p"]["object_idx"].alias("obj"), s["p"]["cx"].alias("cx"), s["p"]["cy"].alias("cy")))
-    return df.withColumn("_open", open_).withColumn("_ids", ids).withColumn(name, spots).drop("_open", "_ids")
+    by_object = F.array_sort(F.transform("_open", lambda p: F.struct(p["object_idx"].alias("obj"), p["pos"].alias("pos"), p["cx"].alias("cx"), p["cy"].alias("cy"))))
+    placed = F.transform(runs("_by_object", "_starts"), lambda own: F.struct(F.get(own, F.lit(0))["pos"].alias("first"), F.element_at(own, -1).alias("p")))
+    spots = F.transform("_placed", lambda s, i: F.struct(i.alias("ord"), s["p"]["obj"].alias("obj"), s["p"]["cx"].alias("cx"), s["p"]["cy"].alias("cy")))
+    steps = df.withColumn("_open", open_).withColumn("_by_object", by_object).withColumn("_starts", run_starts("_by_object")).withColumn("_placed", F.array_sort(placed))
+    return steps.withColumn(name, spots).drop("_open", "_by_object", "_starts", "_placed")
 
 
 def nearest(spots: Column, own: Column, farthest: bool = False) -> Column:

@@ -36,6 +36,11 @@ def encoded(df: DataFrame, key: str, tokens: Column, vocabulary: DataFrame, leng
     return grouped.select(key, padded(F.transform("s", lambda s: s["id"]), length, PAD).alias("ids"))
 
 
+def known(df: DataFrame, token: str, vocabulary: DataFrame) -> DataFrame:
+    """Rows whose token is in the vocabulary."""
+    return df.join(vocabulary.select(F.col("token").alias(token)), token, "left_semi")
+
+
 def class_ids(df: DataFrame, answer: Column, vocabulary: DataFrame, default: int = 0) -> DataFrame:
     """df with class_id of its answer, the default if unknown."""
     named = vocabulary.select(F.col("token").alias("_token"), F.col("id").alias("_id"))

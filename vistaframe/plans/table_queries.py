@@ -12,8 +12,9 @@ from vistaframe.functions import text as T
 from vistaframe.operators import curation as C
 from vistaframe.operators import ranking as R
 from vistaframe.operators import vocab as V
+from vistaframe.plans import predict as P
 from vistaframe.plans.catalogue import Catalogue
-from vistaframe.sources.files import best_checkpoint, first_rows, flatten_cells
+from vistaframe.sources.files import best_checkpoint, first_rows, flatten_cells, scene_index
 from vistaframe.sources.tables import table
 
 catalogue = Catalogue()
@@ -270,6 +271,25 @@ def unordered_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return C.unordered_pairs(table(spark, folder, "lineitem", ["l_partkey", "l_suppkey"]), "l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"))
 
 
+@catalogue("oriented_pairs", """
+WITH n AS (SELECT o_orderkey, o_custkey % 40 AS a, o_orderkey % 40 AS b FROM orders)
+SELECT any_value(f.a) AS a, any_value(f.b) AS b FROM (SELECT least(a, b) AS low, greatest(a, b) AS high, arg_min(struct_pack(a := a, b := b), o_orderkey) AS f FROM n GROUP BY 1, 2) GROUP BY low, high""")
+def oriented_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Unordered pairs, each the way round in which it came first."""
+    rows = table(spark, folder, "orders", ["o_orderkey", "o_custkey"]).select("o_orderkey", (F.col("o_custkey") % 40).alias("a"), (F.col("o_orderkey") % 40).alias("b"))
+    return C.unordered_pairs(rows, "a", "b", "o_orderkey")
+
+
+@catalogue("scene_index", r"""
+WITH s AS (SELECT DISTINCT scene_idx, string_split(replace(rgb_path, '\', '/'), '/') AS r, string_split(replace(depth_path, '\', '/'), '/') AS d FROM scene),
+f AS (SELECT *, array_to_string(r[1:len(r) - 2], '/') AS kept FROM s), g AS (SELECT *, CASE WHEN contains(kept, 'SUNRGBD') THEN 'SUNRGBD/' || regexp_extract(kept, 'SUNRGBD/?(.*)$', 1) END AS folder FROM f)
+SELECT DISTINCT scene_idx, folder || '/image/' || r[-1] AS rgb, folder || '/depth_bfx/' || d[-1] AS depth, folder || '/label/label.npy' AS label, folder || '/annotation/index.json' AS annotation FROM g""")
+def scene_index_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the files of each scene lie, from the paths of its pictures."""
+    name = lambda c: F.element_at(F.split(F.replace(F.col(c), F.lit("\\"), F.lit("/")), "/"), -1)
+    return scene_index(table(spark, folder, "scene", ["scene_idx", "rgb_path", "depth_path"]), "scene_idx", "rgb_path", name("rgb_path"), name("depth_path")).distinct()
+
+
 @catalogue("lookup_join", "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def lookup_join(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders", ["o_custkey"])
@@ -314,17 +334,76 @@ def prompts(spark: SparkSession, folder: str) -> DataFrame:
 _THOUSANDS = "w.word[(t::INT // 1000) + 1] || ' thousand' || CASE WHEN t::INT % 1000 = 0 THEN '' WHEN t::INT % 1000 < 100 THEN ' and ' || w.word[(t::INT % 1000) + 1] ELSE ', ' || w.word[(t::INT % 1000) + 1] END"
 
 
-@catalogue("after_marker", f"""
-WITH w AS (SELECT [{', '.join(f"'{N._words(n)}'" for n in range(1000))}] AS word),
-d AS (SELECT doc_id, string_split(text, 'assistant') AS p, text FROM documents WHERE text IS NOT NULL),
-k AS (SELECT doc_id, {_words_of("lower(CASE WHEN len(p) > 1 THEN p[2] ELSE text END)")} AS t FROM d)
-SELECT doc_id, array_to_string(list_transform(k.t, lambda t: CASE WHEN NOT regexp_full_match(t, '[0-9]{{1,6}}') THEN t WHEN t::INT < 1000 THEN w.word[t::INT + 1] ELSE {_THOUSANDS} END), ' ') AS said FROM k CROSS JOIN w""")
+def _after_marker(rows: str) -> str:
+    """CTEs that give ``said`` (all columns of rows, said): the text after the marker of its column text."""
+    return f"""
+w AS (SELECT [{', '.join(f"'{N._words(n)}'" for n in range(1000))}] AS word),
+d AS (SELECT *, string_split(text, 'assistant') AS p FROM ({rows})),
+k AS (SELECT *, {_words_of("lower(CASE WHEN len(p) > 1 THEN p[2] ELSE text END)")} AS t FROM d),
+said AS (SELECT k.*, array_to_string(list_transform(k.t, lambda t: CASE WHEN NOT regexp_full_match(t, '[0-9]{{1,6}}') THEN t WHEN t::INT < 1000 THEN w.word[t::INT + 1] ELSE {_THOUSANDS} END), ' ') AS said FROM k CROSS JOIN w)"""
+
+
+@catalogue("after_marker", f"WITH {_after_marker('SELECT doc_id, text FROM documents WHERE text IS NOT NULL')} SELECT doc_id, said FROM said")
 def after_marker(spark: SparkSession, folder: str) -> DataFrame:
     """Text after the marker, of every text."""
     rows = table(spark, folder, "documents", ["doc_id", "text"]).where(F.col("text").isNotNull())
     return rows.select("doc_id", T.after_marker(F.col("text")).alias("said"))
 
 
+def _asked(suffix: str) -> str:
+    """What the stub of the model answers to the validation questions that have a picture."""
+    return f"SELECT DISTINCT Question_Id, Questions, Question_Type, Answers, Depth_Path, 'user ' || Questions || '{suffix.replace(chr(39), chr(39) * 2)}' || ' assistant 2' AS text FROM val_dataset WHERE Image_Path IS NOT NULL"
+
+
+_REFERENCE = f"lower(regexp_replace(Answers, '^[{_S}]+|[{_S}]+$', '', 'g'))"
+
+
+@catalogue("predictions", f"WITH {_after_marker(_asked(T.SUFFIX_ONE_WORD))} SELECT Question_Id, Questions, Question_Type, {_REFERENCE} AS Answers, said AS Model_Answer FROM said")
+def predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """The validation questions through the slot of a model, here its stub."""
+    return P.predicted(_qa(spark, folder, "val"))
+
+
+@catalogue("predictions_by_depth", f"WITH {_after_marker(_asked(T.SUFFIX_STRICT))} SELECT Question_Id, encoding, said AS Model_Answer FROM said CROSS JOIN (VALUES ('grey'), ('channels')) e(encoding)")
+def predictions_by_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """Each question asked with the depth picture as grey levels and as gradient channels."""
+    encodings = {"grey": lambda path: F.concat(F.lit("grey:"), path), "channels": lambda path: F.concat(F.lit("channels:"), path)}
+    return P.predicted_each(_qa(spark, folder, "val"), encodings).select(KEY, "encoding", "Model_Answer")
+
+
+@catalogue("predictions_matched", f"""
+WITH {_after_marker(_asked(T.SUFFIX_ONE_WORD))}, m AS (SELECT Question_Type, coalesce((said = {_REFERENCE})::INT, 0) AS hit FROM said)
+SELECT Question_Type, count(*) AS n, sum(hit)::BIGINT AS matched, round(avg(hit), 9) AS accuracy FROM m GROUP BY 1""")
+def predictions_matched(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions and their exact matches by type, in one plan."""
+    return P.exact_report(P.predicted(_qa(spark, folder, "val")), ["Question_Type"]).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@catalogue("instructions", r"SELECT DISTINCT Question_Id, '<s>[INST] ' || Questions || chr(10) || '[IMG] ' || chr(10) || '[IMG] [/INST] ' || Answers || ' </s>' AS prompt FROM test_dataset")
+def instructions(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations in the form of instructions, with marks for the two pictures."""
+    return table(spark, folder, "test_dataset", [KEY, "Questions", "Answers"]).select(KEY, T.instruct(F.col("Questions"), F.col("Answers"), images=2).alias("prompt")).distinct()
+
+
+@catalogue("padded_batches", f"""
+WITH q AS (SELECT Question_Id, {_TOKENS} AS t FROM (SELECT DISTINCT Question_Id, Questions FROM test_dataset WHERE Questions IS NOT NULL)),
+b AS (SELECT *, (row_number() OVER (ORDER BY Question_Id) - 1) // 16 AS batch_id FROM q), w AS (SELECT *, max(len(t)) OVER (PARTITION BY batch_id) AS width FROM b)
+SELECT Question_Id, batch_id, array_to_string(list_concat(t, list_transform(range(0, (width - len(t))::BIGINT), lambda i: '<pad>')), ' ') AS tokens FROM w""")
+def padded_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions of test in batches of sixteen, each filled up to the longest of its batch."""
+    rows = table(spark, folder, "test_dataset", [KEY, "Questions"]).distinct().where(F.col("Questions").isNotNull())
+    padded = R.padded_batches(rows.select(KEY, T.question_tokens(F.col("Questions")).alias("tokens")), [KEY], "tokens", 16, F.lit("<pad>"))
+    return padded.select(KEY, "batch_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@catalogue("known_tokens", _VOCAB + f", k2 AS (SELECT DISTINCT Question_Id, Questions FROM test_dataset WHERE Questions IS NOT NULL), t AS (SELECT Question_Id, unnest({_TOKENS}) AS token FROM k2) SELECT DISTINCT Question_Id, token FROM t WHERE token IN (SELECT token FROM v)")
+def known_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of the test questions that the vocabulary of another split holds: a semi join, whatever the vocabulary's size."""
+    rows = table(spark, folder, "test_dataset", [KEY, "Questions"]).distinct().where(F.col("Questions").isNotNull())
+    placed = rows.select(KEY, F.explode(T.question_tokens(F.col("Questions"))).alias("token")).distinct()
+    return V.known(placed, "token", word_vocabulary(spark, folder))
+
+
 @catalogue("questions_asked", "SELECT item, 'How many ' || item || 's are there?' AS how_many, 'What is closest to the ' || item || '?' AS closest, 'Is there no ' || item || '?' AS no FROM canonical_item WHERE kind = 'object'")
 def questions_asked(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "canonical_item", ["item", "kind"]).where("kind = 'object'")

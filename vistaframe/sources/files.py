@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaframe.functions.text import NA_TOKENS, strip, val_loss
+from vistaframe.functions.text import NA_TOKENS, relative_path, strip, val_loss
 
 #: Bytes up to which a configuration or vocabulary is read on the driver.
 MAX_DRIVER_BYTES = 64_000_000
@@ -152,5 +152,15 @@ def inverted(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.groupBy("id").agg(F.max("token").alias("token"))
 
 
+def scene_index(meta: DataFrame, key: str, rgb_path: str, rgb_name: Column, depth_name: Column, root: str = "SUNRGBD") -> DataFrame:
+    """(<key>, rgb, depth, label, annotation): where the files of each scene of the cameras' metadata lie, below root. NULL where
+    the path of the picture does not hold root, or for a depth without a name. ``write_lines`` makes a list of each column."""
+    folder = relative_path(F.col(rgb_path), root)
+    at = lambda *parts: F.concat(F.lit(f"{root}/"), folder, *parts)
+    return meta.select(
+        key, at(F.lit("/image/"), rgb_name).alias("rgb"), at(F.lit("/depth_bfx/"), depth_name).alias("depth"), at(F.lit("/label/label.npy")).alias("label"), at(F.lit("/annotation/index.json")).alias("annotation")
+    )
+
+
 def as_base64(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn(content, F.base64(content))
