@@ -116,3 +116,17 @@ def test_slots(spark):
 
     assert [r["x"] for r in slots.guarded_slot(df, fails, "t", "x").collect()] == [None, None]
     assert len(one(spark, slots.stub_embedding(s("lamp")))) == 8 and one(spark, slots.stub_color(s("lamp"))) in ("black", "white", "gray", "brown", "red", "green", "blue")
+
+
+def test_rows_before_the_failing_one_keep_their_answers(spark):
+    def call(texts):
+        if (texts == "bad").any():
+            raise RuntimeError("remote")
+        return texts.str.upper()
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "bad", "c"])], "i int, t string").coalesce(1)
+    assert [r["x"] for r in slots.guarded_slot(df, call, "t", "x").orderBy("i").collect()] == ["A", "B", None, None]
+
+
+def test_instructions(spark):
+    assert one(spark, T.instruct(s("Q?"), s("yes"))) == "<s>[INST] Q?\n[IMG] [/INST] yes </s>" and one(spark, T.instruct(s("Q?"), images=0)) == "<s>[INST] Q?[/INST] "

@@ -1,7 +1,8 @@
 """Places for models: typed column functions with deterministic stubs. A model goes in as a function over batches.
 
 ``arrow_slot`` loads the model once per worker and hands it whole Arrow batches; ``guarded_slot`` stops calling a remote
-model within a task after its first failure and gives NULL from there on (a breaker over all tasks isn't promised).
+model within a task after its first failure and gives NULL from there on (a breaker over all tasks isn't promised); the rows of
+the failed batch that come before the failing one are asked again, singly.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ def identity(text: Column) -> Column:
     return text
 
 
-def stub_color(name: Column, colors: tuple[str, ...] = ("black", "white", "gray", "brown", "red", "green", "blue")) -> Column:
-    """Stub of the model that names the colour of an object."""
+def stub_color(name: Column, picture: Column | None = None, colors: tuple[str, ...] = ("black", "white", "gray", "brown", "red", "green", "blue")) -> Column:
+    """Stub of the model that names the colour of an object in a picture; it looks at the name only."""
     at = F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.lit(len(colors))).cast("int")
     return F.get(F.array(*[F.lit(c) for c in colors]), at)
 
@@ -48,6 +49,16 @@ def guarded_slot(df: DataFrame, call: Callable[[pd.Series], pd.Series], column:
 
     schema = StructType([*df.schema.fields, StructField(out, StringType())])
 
+    def one_by_one(texts: pd.Series) -> pd.Series:
+        """The rows of a failed batch singly, up to the one that fails."""
+        said: list = [None] * len(texts)
+        for i in range(len(texts)):
+            try:
+                said[i] = call(texts.iloc[i : i + 1]).iloc[0]
+            except Exception:  # noqa: BLE001
+                break
+        return pd.Series(said, dtype=object, index=texts.index)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = False
         for pdf in batches:
@@ -56,7 +67,7 @@ def guarded_slot(df: DataFrame, call: Callable[[pd.Series], pd.Series], column:
                 try:
                     answers = call(pdf[column])
                 except Exception:  # noqa: BLE001 - whatever a remote model raises
-                    open_ = True
+                    answers, open_ = one_by_one(pdf[column]), True
             yield pdf.assign(**{out: answers if answers is not None else pd.Series([None] * len(pdf), dtype=object, index=pdf.index)})
 
     return df.mapInPandas(run, schema)

@@ -56,10 +56,20 @@ def object_identification(spark: SparkSession, folder: str, rows: DataFrame | No
     return _answers(rows, "Object Identification", T.asked("prominent"), answer)
 
 
+def pictures_of(spark: SparkSession, folder: str) -> DataFrame:
+    """(annotation_id, Image_Path, Depth_Path) of the scene of each record; NULL paths for a scene that is not listed."""
+    links = table(spark, folder, "annotation", [ID, "scene_idx"]).groupBy(ID).agg(F.min("scene_idx").alias("scene_idx"))
+    paths = table(spark, folder, "scene", ["scene_idx", "rgb_path", "depth_path"]).groupBy("scene_idx").agg(F.min("rgb_path").alias("Image_Path"), F.min("depth_path").alias("Depth_Path"))
+    return links.join(paths, "scene_idx", "left").drop("scene_idx")
+
+
 def color(spark: SparkSession, folder: str, model=stub_color, rows: DataFrame | None = None) -> DataFrame:
-    """model: a column function from the object's name to its colour; the picture's model goes in here."""
-    rows = (scene_rows(spark, folder) if rows is None else rows).withColumn("name", T.processed_name(F.col("top_name"), pairs_of(spark, folder)))
-    return _answers(rows, "Color Identification", T.asked("color", F.col("name")), T.strip(model(F.col("name"))))
+    """model: a column function from the object's name and the path of the scene's picture to the colour. It is asked once for
+    each scene, after repeats are dropped, so that a dear model does no work twice."""
+    rows = (scene_rows(spark, folder) if rows is None else rows).select(ID, T.processed_name(F.col("top_name"), pairs_of(spark, folder)).alias("name"))
+    asked = once(rows, ID).where(F.col("name").isNotNull()).join(pictures_of(spark, folder), ID, "left")
+    said = asked.select(ID, T.asked("color", F.col("name")).alias("Questions"), T.strip(model(F.col("name"), F.col("Image_Path"))).alias("Answers"), F.lit("Color Identification").alias("Question_Type"))
+    return said.where(F.col("Answers").isNotNull())
 
 
 def count(spark: SparkSession, folder: str, most: int = 1000, rows: DataFrame | None = None) -> DataFrame:
@@ -150,9 +160,7 @@ def halved(qa: DataFrame) -> DataFrame:
 def completed(spark: SparkSession, folder: str, qa: DataFrame) -> DataFrame:
     """(annotation_id, IDs, Questions, Answers, Image_Path, Depth_Path, Question_Type): the rows of a generator as curation
     requires them. Only ids and paths are joined; a scene that is not listed has NULL paths."""
-    links = table(spark, folder, "annotation", [ID, "scene_idx"]).groupBy(ID).agg(F.min("scene_idx").alias("scene_idx"))
-    paths = table(spark, folder, "scene", ["scene_idx", "rgb_path", "depth_path"]).groupBy("scene_idx").agg(F.min("rgb_path").alias("Image_Path"), F.min("depth_path").alias("Depth_Path"))
-    placed = numbered(qa).join(links, ID, "left").join(paths, "scene_idx", "left")
+    placed = numbered(qa).join(pictures_of(spark, folder), ID, "left")
     return placed.select(ID, "IDs", "Questions", "Answers", "Image_Path", "Depth_Path", "Question_Type")
 
 

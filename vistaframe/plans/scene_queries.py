@@ -12,6 +12,7 @@ from vistaframe.operators import scenes as S
 from vistaframe.operators.curation import without_objects
 from vistaframe.plans import questions as Q
 from vistaframe.plans.catalogue import Catalogue
+from vistaframe.plans.table_queries import curation
 from vistaframe.sources.tables import once, table
 
 catalogue = Catalogue()
@@ -158,7 +159,7 @@ def prominence_class(spark: SparkSession, folder: str) -> DataFrame:
     return prominence(spark, folder).groupBy(F.coalesce("name", F.lit("none")).alias("name")).agg(F.count("*").alias("n"))
 
 
-_DIRECTION = SCENES + """, spot AS (
+_SAID = """, spot AS (
   SELECT c.annotation_id, c.pos, c.name, c.cx, c.cy, t.top_name FROM candidates c JOIN top t USING (annotation_id) WHERE c.name IS NOT NULL AND c.cx IS NOT NULL AND t.top_name IS NOT NULL
 ), own AS (SELECT annotation_id, arg_min((cx, cy), pos) AS a FROM spot WHERE name = top_name GROUP BY 1),
 other AS (SELECT annotation_id, any_value(top_name) AS top_name, arg_min(name, pos) AS name, arg_min((cx, cy), pos) AS b FROM spot WHERE name <> top_name GROUP BY 1),
@@ -167,10 +168,13 @@ said AS (SELECT *,
   CASE WHEN t > -pi() / 2 AND t <= pi() / 2 THEN 'left' ELSE 'right' END AS h, CASE WHEN t > 0 AND t <= pi() THEN 'above' ELSE 'under' END AS v FROM ang)"""
 
 
-@catalogue("qa_direction", _DIRECTION + """
+_DIRECTION = """
 SELECT annotation_id, 'Where is ' || lower(name) || ' relative to ' || lower(top_name) || '?' AS Questions,
   CASE WHEN abs(t) <= 0.01 THEN 'right' WHEN abs(t - pi()) <= 0.01 OR abs(t + pi()) <= 0.01 THEN 'left' WHEN abs(t - pi() / 2) <= 0.01 THEN 'above'
-       WHEN abs(t + pi() / 2) <= 0.01 THEN 'under' ELSE h || ' and ' || v END AS Answers, 'Direction' AS Question_Type FROM said""")
+       WHEN abs(t + pi() / 2) <= 0.01 THEN 'under' ELSE h || ' and ' || v END AS Answers, 'Direction' AS Question_Type FROM said"""
+
+
+@catalogue("qa_direction", SCENES + _SAID + _DIRECTION)
 def qa_direction(spark: SparkSession, folder: str) -> DataFrame:
     return Q.direction(spark, folder)
 
@@ -215,52 +219,64 @@ spoken AS (SELECT raw, lower(rtrim(array_to_string(list_transform(regexp_extract
 _TOPS = SCENES + "," + processed("SELECT top_name AS raw FROM top UNION SELECT name FROM named")
 
 
-@catalogue("qa_object", _TOPS + """
+_OBJECT = """
 SELECT annotation_id, 'What is the most prominent object?' AS Questions, CASE WHEN s.name IN ('', 'n/a') THEN 'Cannot answer' ELSE s.name END AS Answers, 'Object Identification' AS Question_Type
-FROM top JOIN spoken s ON s.raw = top.top_name""")
+FROM top JOIN spoken s ON s.raw = top.top_name"""
+
+
+@catalogue("qa_object", _TOPS + _OBJECT)
 def qa_object(spark: SparkSession, folder: str) -> DataFrame:
     return Q.object_identification(spark, folder)
 
 
-@catalogue("qa_color", _TOPS + """
+_COLOR = """
 SELECT annotation_id, 'What is the color of the ' || s.name || '?' AS Questions,
   ['black', 'white', 'gray', 'brown', 'red', 'green', 'blue'][((('0x' || md5(s.name)[1:8])::BIGINT) % 7) + 1] AS Answers, 'Color Identification' AS Question_Type
-FROM top JOIN spoken s ON s.raw = top.top_name""")
+FROM top JOIN spoken s ON s.raw = top.top_name"""
+
+
+@catalogue("qa_color", _TOPS + _COLOR)
 def qa_color(spark: SparkSession, folder: str) -> DataFrame:
     """The colour is that of the stub, which takes it from the name."""
     return Q.color(spark, folder)
 
 
-_COUNTED = _TOPS + """, held AS (SELECT n.annotation_id, s.name, count(*) AS n FROM named n JOIN spoken s ON s.raw = n.name GROUP BY ALL)"""
+_HELD = """, held AS (SELECT n.annotation_id, s.name, count(*) AS n FROM named n JOIN spoken s ON s.raw = n.name GROUP BY ALL)"""
 
 
-@catalogue("qa_count", _COUNTED + """, asked AS (
+_COUNT = """
+SELECT annotation_id, 'How many ' || name || 's are there?' AS Questions, number.word[n + 1] AS Answers, 'Count' AS Question_Type FROM (
   SELECT top.annotation_id, top.top_name, s.name, coalesce(h.n, 0) AS n, row_number() OVER (PARTITION BY top.top_name ORDER BY top.annotation_id) AS k
-  FROM top JOIN spoken s ON s.raw = top.top_name LEFT JOIN held h ON h.annotation_id = top.annotation_id AND h.name = s.name)
-SELECT annotation_id, 'How many ' || name || 's are there?' AS Questions, number.word[n + 1] AS Answers, 'Count' AS Question_Type FROM asked CROSS JOIN number WHERE k <= 1000""")
+  FROM top JOIN spoken s ON s.raw = top.top_name LEFT JOIN held h ON h.annotation_id = top.annotation_id AND h.name = s.name) CROSS JOIN number WHERE k <= 1000"""
+
+
+@catalogue("qa_count", _TOPS + _HELD + _COUNT)
 def qa_count(spark: SparkSession, folder: str) -> DataFrame:
     """At most a thousand questions for each raw name: the cap is the generator's."""
     return Q.count(spark, folder)
 
 
-@catalogue("qa_count_every", _COUNTED + " SELECT annotation_id, 'How many ' || name || 's are there?' AS Questions, number.word[n + 1] AS Answers, 'Count' AS Question_Type FROM held CROSS JOIN number")
+@catalogue("qa_count_every", _TOPS + _HELD + " SELECT annotation_id, 'How many ' || name || 's are there?' AS Questions, number.word[n + 1] AS Answers, 'Count' AS Question_Type FROM held CROSS JOIN number")
 def qa_count_every(spark: SparkSession, folder: str) -> DataFrame:
     return Q.count_every(spark, folder)
 
 
+_SPOKEN_SPOTS = _SPOTS + "," + processed("SELECT top_name AS raw FROM top UNION SELECT name FROM named")
+
+
 def _proximity(kind: str) -> str:
-    return _SPOTS + "," + processed("SELECT top_name AS raw FROM top UNION SELECT name FROM named") + f"""
+    return f"""
 SELECT top.annotation_id, 'What is {'closest' if kind == 'closest' else 'farthest'} to the ' || s.name || '?' AS Questions, z.name AS Answers, 'Proximity' AS Question_Type
 FROM top JOIN spoken s ON s.raw = top.top_name JOIN near n ON n.annotation_id = top.annotation_id AND n.object_idx = top.top
 JOIN named o ON o.annotation_id = top.annotation_id AND o.object_idx = n.{kind} JOIN spoken z ON z.raw = o.name"""
 
 
-@catalogue("qa_closest", _proximity("closest"))
+@catalogue("qa_closest", _SPOKEN_SPOTS + _proximity("closest"))
 def qa_closest(spark: SparkSession, folder: str) -> DataFrame:
     return Q.proximity(spark, folder)
 
 
-@catalogue("qa_farthest", _proximity("farthest"))
+@catalogue("qa_farthest", _SPOKEN_SPOTS + _proximity("farthest"))
 def qa_farthest(spark: SparkSession, folder: str) -> DataFrame:
     return Q.proximity(spark, folder, farthest=True)
 
@@ -291,7 +307,13 @@ def qa_yes_no_half(spark: SparkSession, folder: str) -> DataFrame:
     return Q.completed(spark, folder, Q.halved(Q.yes_no(spark, folder)))
 
 
-@catalogue("qa_curated")
+_CHAIN = _SPOKEN_SPOTS + _HELD + _SAID + _YES_NO + ", every AS (" + " UNION ALL ".join([_OBJECT, _COLOR, _COUNT, _proximity("closest"), _DIRECTION, "SELECT annotation_id, Questions, Answers, 'Yes/No' FROM half"]) + """
+) SELECT row_number() OVER (ORDER BY lpad(annotation_id::VARCHAR, 20, '0') || '|' || Question_Type || '|' || Questions || '|' || Answers)::BIGINT AS Question_Id,
+  dense_rank() OVER (PARTITION BY Question_Type ORDER BY annotation_id)::BIGINT AS IDs, Questions, Answers, Image_Path, Question_Type
+FROM every LEFT JOIN links USING (annotation_id) LEFT JOIN paths USING (scene_idx) WHERE Questions IS NOT NULL AND Answers IS NOT NULL"""
+
+
+@catalogue("qa_curated", curation(_CHAIN, "IDs", ", b.IDs, b.Image_Path"))
 def qa_curated(spark: SparkSession, folder: str) -> DataFrame:
     """From annotations to curated questions by all generators."""
     return Q.chain(spark, folder).select("Question_Id", "IDs", "Questions", "Answers", "Image_Path", "Question_Type")

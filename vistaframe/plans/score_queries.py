@@ -25,6 +25,15 @@ def _match():
     return M.matches(F.col("Model_Answer"), F.col("Answers"))
 
 
+#: Letters, marks, digits and joiners of words, and white space, as classes of the SQL's patterns.
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+_S = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+
+
+def _stripped(c: str) -> str:
+    return f"lower(regexp_replace({c}, '^[{_S}]+|[{_S}]+$', '', 'g'))"
+
+
 def _set(c: str) -> str:
     return rf"list_sort(list_distinct(list_filter(string_split_regex(lower({c}), '\s+'), lambda t: t <> '')))"
 
@@ -51,17 +60,12 @@ def reaggregate(spark: SparkSession, folder: str) -> DataFrame:
     return M.overall(per, ["model_name"]).select("model_name", "n", F.round("accuracy", 9).alias("accuracy"))
 
 
-@catalogue("exact_match", "SELECT model_name, count(*) AS total, sum((lower(trim(Model_Answer)) IS NOT DISTINCT FROM lower(trim(Answers)) AND Answers IS NOT NULL)::INT)::BIGINT AS matched FROM prediction GROUP BY 1")
+@catalogue("exact_match", f"SELECT model_name, count(*) AS total, sum(({_stripped('Model_Answer')} IS NOT DISTINCT FROM {_stripped('Answers')} AND Answers IS NOT NULL)::INT)::BIGINT AS matched FROM prediction GROUP BY 1")
 def exact_match(spark: SparkSession, folder: str) -> DataFrame:
-    hit = F.coalesce((F.lower(F.trim("Model_Answer")) == F.lower(F.trim("Answers"))).cast("int"), F.lit(0))
+    hit = F.coalesce((F.lower(T.strip(F.col("Model_Answer"))) == F.lower(T.strip(F.col("Answers")))).cast("int"), F.lit(0))
     return _predictions(spark, folder).groupBy("model_name").agg(F.count("*").alias("total"), F.sum(hit).cast("long").alias("matched"))
 
 
-#: Letters, marks, digits and joiners of words, and white space, as classes of the SQL's patterns.
-_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
-_S = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
-
-
 def _vector(c: str) -> str:
     """The stub's vector of a normalised text: eight parts of its md5."""
     text = f"regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^{_W}{_S}]', '', 'g'), '[{_S}]+', ' ', 'g'), '^ | $', '', 'g')"

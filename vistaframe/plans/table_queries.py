@@ -56,6 +56,10 @@ _W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
 _S = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 
 
+def _stripped(c: str) -> str:
+    return f"lower(regexp_replace({c}, '^[{_S}]+|[{_S}]+$', '', 'g'))"
+
+
 def _re(s: str) -> str:
     return s.replace("'", "''")
 
@@ -107,15 +111,22 @@ def trailing_digits(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier", ["s_suppkey", "s_name"]).select("s_suppkey", T.without_trailing_digits(F.replace("s_name", F.lit("#"), F.lit(""))).alias("name"))
 
 
-def _number_values() -> str:
-    return ", ".join(f"({n}, '{N._words(n)}')" for n in range(1000))
+def _number(n: str) -> str:
+    """The words of a whole number n, by a list w.word of those below 1000."""
+    large = f"w.word[({n} // 1000) + 1] || ' thousand' || CASE WHEN {n} % 1000 = 0 THEN '' WHEN {n} % 1000 < 100 THEN ' and ' || w.word[({n} % 1000) + 1] ELSE ', ' || w.word[({n} % 1000) + 1] END"
+    return f"CASE WHEN {n} < 0 OR {n} >= 1000000 THEN {n}::VARCHAR WHEN {n} < 1000 THEN w.word[{n} + 1] ELSE {large} END"
+
 
+_BELOW_1000 = "w AS (SELECT [" + ", ".join(f"'{N._words(n)}'" for n in range(1000)) + "] AS word)"
 
-@catalogue("number_words", f"WITH w(n, word) AS (VALUES {_number_values()}), e AS (SELECT event_id, (props::JSON->>'k')::INT AS k FROM events) SELECT event_id, k, word FROM e LEFT JOIN w ON e.k = w.n")
+
+@catalogue("number_words", f"WITH {_BELOW_1000}, e AS (SELECT event_id, (props::JSON->>'k')::INT AS k FROM events), o AS (SELECT o_orderkey AS event_id, o_custkey::INT * 7 - 100 AS k FROM orders) SELECT event_id, k, {_number('k')} AS word FROM (FROM e UNION ALL FROM o) CROSS JOIN w")
 def number_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of the numbers of events, and of numbers on both sides of the range made from orders."""
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
     rows = table(spark, folder, "events", ["event_id", "props"]).select("event_id", k.alias("k"))
-    return rows.select("event_id", "k", F.when(F.col("k") < 1000, N.number_words(F.col("k").cast("long"))).alias("word"))
+    orders = table(spark, folder, "orders", ["o_orderkey", "o_custkey"]).select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey").cast("int") * 7 - 100).alias("k"))
+    return rows.unionAll(orders).select("event_id", "k", N.number_words(F.col("k").cast("long")).alias("word"))
 
 
 _BALANCE = f"""
@@ -241,18 +252,18 @@ def encode_pad(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(KEY, F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
 
 
-@catalogue("answer_vocabulary", "SELECT token, (row_number() OVER (ORDER BY seen, token) - 1)::BIGINT AS id FROM (SELECT lower(trim(Answers)) AS token, min(Question_Id) AS seen FROM val_dataset WHERE Answers IS NOT NULL GROUP BY 1)")
+@catalogue("answer_vocabulary", f"SELECT token, (row_number() OVER (ORDER BY seen, token) - 1)::BIGINT AS id FROM (SELECT {_stripped('Answers')} AS token, min(Question_Id) AS seen FROM val_dataset WHERE Answers IS NOT NULL GROUP BY 1)")
 def answer_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return V.answer_vocabulary(table(spark, folder, "val_dataset", [KEY, "Answers"]), KEY, F.lower(F.trim("Answers")))
+    return V.answer_vocabulary(table(spark, folder, "val_dataset", [KEY, "Answers"]), KEY, F.lower(T.strip(F.col("Answers"))))
 
 
-@catalogue("unknown_class", """
-WITH v AS (SELECT token, row_number() OVER (ORDER BY seen, token) - 1 AS id FROM (SELECT lower(trim(Answers)) AS token, min(Question_Id) AS seen FROM val_dataset WHERE Answers IS NOT NULL GROUP BY 1))
-SELECT class_id, count(*) AS n FROM (SELECT DISTINCT Question_Id, coalesce(v.id, 0)::BIGINT AS class_id FROM test_dataset t LEFT JOIN v ON v.token = lower(trim(t.Answers))) GROUP BY 1""")
+@catalogue("unknown_class", f"""
+WITH v AS (SELECT token, row_number() OVER (ORDER BY seen, token) - 1 AS id FROM (SELECT {_stripped('Answers')} AS token, min(Question_Id) AS seen FROM val_dataset WHERE Answers IS NOT NULL GROUP BY 1))
+SELECT class_id, count(*) AS n FROM (SELECT DISTINCT Question_Id, coalesce(v.id, 0)::BIGINT AS class_id FROM test_dataset t LEFT JOIN v ON v.token = {_stripped('t.Answers')}) GROUP BY 1""")
 def unknown_class(spark: SparkSession, folder: str) -> DataFrame:
     """Answers of another split as class ids; unknown ones are class 0."""
     rows = table(spark, folder, "test_dataset", [KEY, "Answers"]).distinct()
-    return V.class_ids(rows, F.lower(F.trim("Answers")), answer_vocabulary(spark, folder)).groupBy(F.col("class_id").cast("long").alias("class_id")).agg(F.count("*").alias("n"))
+    return V.class_ids(rows, F.lower(T.strip(F.col("Answers"))), answer_vocabulary(spark, folder)).groupBy(F.col("class_id").cast("long").alias("class_id")).agg(F.count("*").alias("n"))
 
 
 @catalogue("distinct_tokens", f"SELECT DISTINCT unnest({_words_of('Answers')}) AS token FROM val_dataset")
@@ -331,16 +342,13 @@ def prompts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "test_dataset", [KEY, "Questions", "Answers"]).select(KEY, T.chat(F.col("Questions"), F.col("Answers")).alias("prompt")).distinct()
 
 
-_THOUSANDS = "w.word[(t::INT // 1000) + 1] || ' thousand' || CASE WHEN t::INT % 1000 = 0 THEN '' WHEN t::INT % 1000 < 100 THEN ' and ' || w.word[(t::INT % 1000) + 1] ELSE ', ' || w.word[(t::INT % 1000) + 1] END"
-
-
 def _after_marker(rows: str) -> str:
     """CTEs that give ``said`` (all columns of rows, said): the text after the marker of its column text."""
     return f"""
-w AS (SELECT [{', '.join(f"'{N._words(n)}'" for n in range(1000))}] AS word),
+{_BELOW_1000},
 d AS (SELECT *, string_split(text, 'assistant') AS p FROM ({rows})),
 k AS (SELECT *, {_words_of("lower(CASE WHEN len(p) > 1 THEN p[2] ELSE text END)")} AS t FROM d),
-said AS (SELECT k.*, array_to_string(list_transform(k.t, lambda t: CASE WHEN NOT regexp_full_match(t, '[0-9]{{1,6}}') THEN t WHEN t::INT < 1000 THEN w.word[t::INT + 1] ELSE {_THOUSANDS} END), ' ') AS said FROM k CROSS JOIN w)"""
+said AS (SELECT k.*, array_to_string(list_transform(k.t, lambda t: CASE WHEN NOT regexp_full_match(t, '[0-9]{{1,6}}') THEN t ELSE {_number('t::INT')} END), ' ') AS said FROM k CROSS JOIN w)"""
 
 
 @catalogue("after_marker", f"WITH {_after_marker('SELECT doc_id, text FROM documents WHERE text IS NOT NULL')} SELECT doc_id, said FROM said")
@@ -355,7 +363,7 @@ def _asked(suffix: str) -> str:
     return f"SELECT DISTINCT Question_Id, Questions, Question_Type, Answers, Depth_Path, 'user ' || Questions || '{suffix.replace(chr(39), chr(39) * 2)}' || ' assistant 2' AS text FROM val_dataset WHERE Image_Path IS NOT NULL"
 
 
-_REFERENCE = f"lower(regexp_replace(Answers, '^[{_S}]+|[{_S}]+$', '', 'g'))"
+_REFERENCE = _stripped("Answers")
 
 
 @catalogue("predictions", f"WITH {_after_marker(_asked(T.SUFFIX_ONE_WORD))} SELECT Question_Id, Questions, Question_Type, {_REFERENCE} AS Answers, said AS Model_Answer FROM said")
@@ -463,9 +471,13 @@ def prominence_rows(spark: SparkSession, folder: str) -> DataFrame:
     return R.prominence_rows(rows.withColumn("pos", pos), "l_orderkey", "l_suppkey", F.col("l_extendedprice"), F.col("l_quantity"), F.col("pos"))
 
 
-@catalogue("curated", f"""
-WITH u AS ({_sql('val')}), x AS (SELECT Question_Id AS old_id, Questions AS q, Answers AS a, Image_Path, Question_Type FROM u),
-f AS (SELECT old_id, {_fold('q', [*T.QUESTION_REPAIRS, *T.REPAIRS])} AS Questions, {_fold(_fold('a', [('grey', 'gray')]), [*T.ANSWER_REPAIRS, *T.REPAIRS])} AS Answers, Image_Path, Question_Type FROM x),
+def curation(rows: str, also: str = "", shown: str = "") -> str:
+    """The SQL of the curation of rows (Question_Id, Questions, Answers, Image_Path, Question_Type and the column also); shown:
+    further columns of the result."""
+    more = also and f", {also}"
+    return f"""
+WITH u AS ({rows}), x AS (SELECT Question_Id AS old_id, Questions AS q, Answers AS a, Image_Path, Question_Type{more} FROM u),
+f AS (SELECT old_id, {_fold('q', [*T.QUESTION_REPAIRS, *T.REPAIRS])} AS Questions, {_fold(_fold('a', [('grey', 'gray')]), [*T.ANSWER_REPAIRS, *T.REPAIRS])} AS Answers, Image_Path, Question_Type{more} FROM x),
 q AS (SELECT * FROM f WHERE NOT ({_noise('Questions')} OR {_noise('Answers')})),
 t AS (SELECT Question_Type, row_number() OVER (ORDER BY min(old_id), Question_Type) - 1 AS chunk FROM q WHERE Question_Type IS NOT NULL GROUP BY 1),
 i AS (SELECT Image_Path, row_number() OVER (ORDER BY Image_Path) - 1 AS r FROM (SELECT DISTINCT Image_Path FROM q WHERE Image_Path IS NOT NULL)),
@@ -474,17 +486,20 @@ b AS (SELECT q.* FROM q JOIN t USING (Question_Type) JOIN i USING (Image_Path) C
 y AS (SELECT old_id, lower(Answers) AS a, row_number() OVER (PARTITION BY lower(Answers) ORDER BY md5(old_id || '|42'), old_id) AS r FROM b WHERE Question_Type = 'Yes/No'),
 n AS (SELECT count(*) // 2 AS target FROM y),
 z AS (SELECT old_id FROM b WHERE Question_Type IS DISTINCT FROM 'Yes/No' UNION ALL SELECT old_id FROM y CROSS JOIN n WHERE a IN ('yes', 'no') AND r <= target // 2)
-SELECT row_number() OVER (ORDER BY old_id)::BIGINT AS Question_Id, b.Question_Type, b.Questions, b.Answers FROM z JOIN b USING (old_id)""")
+SELECT row_number() OVER (ORDER BY old_id)::BIGINT AS Question_Id, b.Question_Type, b.Questions, b.Answers{shown} FROM z JOIN b USING (old_id)"""
+
+
+@catalogue("curated", curation(_sql("val")))
 def curated(spark: SparkSession, folder: str) -> DataFrame:
     """The whole curation of the validation split."""
     return C.curated([_qa(spark, folder, "val")]).select(KEY, "Question_Type", "Questions", "Answers")
 
 
-@catalogue("train_rows", "SELECT DISTINCT Question_Id, Questions AS question, lower(trim(Answers)) AS answer, Image_Path AS rgb, Depth_Path AS depth FROM train_dataset")
+@catalogue("train_rows", f"SELECT DISTINCT Question_Id, Questions AS question, {_stripped('Answers')} AS answer, Image_Path AS rgb, Depth_Path AS depth FROM train_dataset")
 def train_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows as a training loop reads them, bound by name."""
     rows = table(spark, folder, "train_dataset", [KEY, "Questions", "Answers", "Image_Path", "Depth_Path"]).distinct()
-    return rows.select(KEY, F.col("Questions").alias("question"), F.lower(F.trim("Answers")).alias("answer"), F.col("Image_Path").alias("rgb"), F.col("Depth_Path").alias("depth"))
+    return rows.select(KEY, F.col("Questions").alias("question"), F.lower(T.strip(F.col("Answers"))).alias("answer"), F.col("Image_Path").alias("rgb"), F.col("Depth_Path").alias("depth"))
 
 
 @catalogue("last_in_batch", "SELECT batch_id, max(Question_Id) AS question_id FROM (SELECT Question_Id, (row_number() OVER (ORDER BY Question_Id) - 1) // 8 AS batch_id FROM (SELECT DISTINCT Question_Id FROM test_dataset)) GROUP BY 1")

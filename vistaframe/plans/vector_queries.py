@@ -225,7 +225,15 @@ def prewitt(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("vec_id", F.size("m").cast("long").alias("pixels"), F.size(F.filter("m", lambda x: x >= 128)).cast("long").alias("strong"), A.argmax(F.col("m")).alias("at"))
 
 
-@catalogue("depth_channels")
+_SCALED = "CASE WHEN hi_{0} > lo_{0} THEN floor(({0} - lo_{0}) / (hi_{0} - lo_{0}) * 255) ELSE 0 END"
+
+
+@catalogue("depth_channels", _V + f""", p AS (SELECT vec_id, v[k + 1] AS d, {_GX} AS gx, {_GY} AS gy FROM (SELECT vec_id, v, k, k // 8 AS r, k % 8 AS c FROM e CROSS JOIN range(64) t(k))),
+m AS (SELECT vec_id, d, sqrt(gx * gx + gy * gy) AS g, atan2(gy, gx) AS a FROM p),
+x AS (SELECT *, {', '.join(f"min({c}) OVER w AS lo_{c}, max({c}) OVER w AS hi_{c}" for c in 'dga')} FROM m WINDOW w AS (PARTITION BY vec_id)),
+z AS (SELECT vec_id, {', '.join(f"{_SCALED.format(c)} AS s{i}" for i, c in enumerate('dga'))} FROM x)
+SELECT vec_id, {', '.join(f"sum(s{i})::BIGINT AS train_{i}" for i in range(3))},
+  {', '.join(f"sum(floor(greatest(0, least(255, (s{i} / 255.0::DOUBLE - {m}::DOUBLE) / {d}::DOUBLE * 255))))::BIGINT AS eval_{i}" for i, (m, d) in enumerate(zip((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))))} FROM z GROUP BY 1""")
 def channels(spark: SparkSession, folder: str) -> DataFrame:
     """Sums of the three channels, as trained on and as evaluated with."""
     rows = _vectors(spark, folder).select("vec_id", depth_channels(F.col("v"), 8).alias("a"), depth_channels(F.col("v"), 8, imagenet=True).alias("b"))

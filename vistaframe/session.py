@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -76,7 +77,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     own = f"{shared_folder(spark)}/vistaframe/{context.applicationId}"
     if getattr(context, "_vistaframe_scratch", None) != own:
         context._vistaframe_scratch = own
-        atexit.register(_remove, spark, own)
+        atexit.register(_remove_at_exit, spark, own)
     return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
@@ -95,6 +96,11 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended first
+        _remove(spark, folder)
+
+
 def forget(spark: SparkSession) -> None:
     """Removes what this application has written to the shared folder, and nothing of others. Frames that read it are of no
     use afterwards. Without this call it is removed when the driver's Python ends."""
