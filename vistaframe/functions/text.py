@@ -124,6 +124,11 @@ def processed_name(text: Column, pairs: Iterable[tuple[str, str]] = (), spell=No
     return F.lower(F.rtrim(spell(fixed) if spell else fixed, F.lit(".")))
 
 
+def processed_answer(text: Column, pairs: Iterable[tuple[str, str]] = ()) -> Column:
+    """``processed_name`` without spelling; empty for NULL."""
+    return F.coalesce(processed_name(text, pairs), F.lit(""))
+
+
 def plural(name: Column) -> Column:
     return F.concat(name, F.lit("s"))
 

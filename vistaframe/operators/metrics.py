@@ -82,4 +82,4 @@ def scored_files(df: DataFrame, file: str, kind: str, match: Column, similarity:
     mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
     return per.groupBy(file).agg(
         mean("a").alias("Simple_Accuracy"), cells("a").alias("Simple_Accuracy_Per_Category"), mean("s").alias("Neural_Similarity"), cells("s").alias("Neural_Similarity_Per_Category")
-    )
+    ).orderBy(file)

@@ -32,6 +32,16 @@ def sequential_ids(df: DataFrame, order: Sequence[Column | str], name: str, firs
     return joined.withColumn(name, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
 
 
+def zipped_by_position(a: DataFrame, b: DataFrame, order_a: Sequence[Column | str], order_b: Sequence[Column | str]) -> DataFrame:
+    """The columns of both, row by row in their orders (which end in unique keys); an error if one is longer. Column names must
+    differ. Both are numbered and joined by number, so neither is brought to one place."""
+    left, right = sequential_ids(a, order_a, "_rn"), sequential_ids(b, order_b, "_rn")
+    n, m = left.count(), right.count()
+    if n != m:
+        raise ValueError(f"{n} rows and {m} rows")
+    return left.join(right, "_rn").drop("_rn")
+
+
 def prefix(df: DataFrame, order: Sequence[Column | str], share: float) -> DataFrame:
     """The first floor(n * share) rows; the product is one of doubles, as in the reference."""
     numbered = sequential_ids(df, order, "_rn")
@@ -87,6 +97,23 @@ def next_available(df: DataFrame, order: str, value: str, group: str) -> DataFra
     return df.withColumn("available", F.coalesce(ahead, start))
 
 
+def best_trial(df: DataFrame, trial: str, value: str) -> DataFrame:
+    """(trial, best) of the trial with the least value of all its rows; ties to the lesser trial; NULL and NaN values do not count."""
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    return known.groupBy().agg(F.min_by(trial, F.struct(value, trial)).alias(trial), F.min(value).alias("best"))
+
+
+def pruned(df: DataFrame, trial: str, step: str, value: str, warmup: int = 0) -> DataFrame:
+    """(trial, step) at which a trial is given up: the first after the warm-up whose best value so far is worse than the median
+    of the other trials' best values at that step. Trials and steps are a tuner's, so a step's values are few."""
+    w = Window.partitionBy(trial).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = df.where(F.col(value).isNotNull()).withColumn("_best", F.min(value).over(w)).select(F.col(trial).alias("_trial"), F.col(step).alias("_step"), "_best")
+    mine = best.select("_trial", "_step", F.col("_best").alias("_mine"))
+    others = best.select(F.col("_trial").alias("_other"), "_step", "_best")
+    worse = mine.join(others, "_step").where(F.col("_trial") != F.col("_other")).groupBy("_trial", "_step", "_mine").agg(F.median("_best").alias("_median")).where((F.col("_mine") > F.col("_median")) & (F.col("_step") > warmup))
+    return worse.groupBy(F.col("_trial").alias(trial)).agg(F.min("_step").alias(step))
+
+
 def early_stop(df: DataFrame, run: str, epoch: str, loss: str, patience: int) -> DataFrame:
     """(run, best, best_epoch, stop_epoch): training ends when the loss has not improved for so many epochs; NULL if it
     never does. Ties do not improve."""

@@ -455,6 +455,32 @@ def early_stop(spark: SparkSession, folder: str) -> DataFrame:
     return R.early_stop(epochs, "user_id", "epoch", "value", 3)
 
 
+@catalogue("best_trial", "SELECT arg_min(user_id, (value, user_id)) AS user_id, min(value) AS best FROM events WHERE value IS NOT NULL")
+def best_trial(spark: SparkSession, folder: str) -> DataFrame:
+    """Users as trials."""
+    return R.best_trial(table(spark, folder, "events", ["user_id", "value"]), "user_id", "value")
+
+
+@catalogue("pruned_trials", """
+WITH e AS (SELECT user_id % 40 AS trial, user_id // 40 AS step, min(value) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT trial, step, min(value) OVER (PARTITION BY trial ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM e)
+SELECT trial, min(step) AS step FROM b WHERE step > 2 AND best > (SELECT median(o.best) FROM b o WHERE o.step = b.step AND o.trial <> b.trial) GROUP BY 1""")
+def pruned_trials(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of users as trials: when each is given up against the median of the others."""
+    rows = table(spark, folder, "events", ["user_id", "value"]).where(F.col("value").isNotNull())
+    steps = rows.groupBy((F.col("user_id") % 40).alias("trial"), F.floor(F.col("user_id") / 40).alias("step")).agg(F.min("value").alias("value"))
+    return R.pruned(steps, "trial", "step", "value", warmup=2)
+
+
+@catalogue("zipped_positions", """
+WITH v AS (SELECT Question_Id AS val_id, row_number() OVER (ORDER BY Question_Id) AS r FROM (SELECT DISTINCT Question_Id FROM val_dataset)),
+w AS (SELECT Question_Id AS back_id, row_number() OVER (ORDER BY Question_Id DESC) AS r FROM (SELECT DISTINCT Question_Id FROM val_dataset)) SELECT val_id, back_id FROM v JOIN w USING (r)""")
+def zipped_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two orders of the same rows, side by side by position."""
+    ids = table(spark, folder, "val_dataset", [KEY]).distinct()
+    return R.zipped_by_position(ids.select(F.col(KEY).alias("val_id")), ids.select(F.col(KEY).alias("back_id")), ["val_id"], [F.desc("back_id")])
+
+
 @catalogue("prominence_rows", """
 WITH p AS (SELECT l_orderkey AS scene, l_suppkey AS obj, l_extendedprice AS area, l_quantity AS depth, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS pos FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY area DESC, pos) AS ar FROM p),

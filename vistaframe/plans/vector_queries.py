@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vistaframe.functions import arrays as A
 from vistaframe.functions import geometry as G
 from vistaframe.functions import losses as L
-from vistaframe.operators.imaging import depth_channels
+from vistaframe.operators.imaging import depth_channels, grey_channels
 from vistaframe.operators.vectors import contrastive_loss
 from vistaframe.plans.catalogue import Catalogue
 from vistaframe.sources.tables import table
@@ -211,6 +211,14 @@ def minmax_255(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("vec_id", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("s").alias("high"), F.get("s", F.lit(0)).alias("first"))
 
 
+@catalogue("grey_channels", _V + """, m AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN list_max(v) > list_min(v) THEN floor((x - list_min(v)) / (list_max(v) - list_min(v)) * 255)::INT ELSE 0 END) AS s FROM e)
+SELECT vec_id, 3 AS channels, (3 * list_sum(s))::BIGINT AS total FROM m""")
+def grey(spark: SparkSession, folder: str) -> DataFrame:
+    """One scaled channel three times."""
+    rows = _vectors(spark, folder).select("vec_id", grey_channels(G.scaled_255(F.col("v"))).alias("c"))
+    return rows.select("vec_id", F.size("c").alias("channels"), F.aggregate(F.flatten("c"), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 _PIX = "v[least(greatest(r + {0}, 0), 7) * 8 + least(greatest(c + {1}, 0), 7) + 1]"
 _GX = "(" + " + ".join(_PIX.format(i, -1) for i in (-1, 0, 1)) + ") - (" + " + ".join(_PIX.format(i, 1) for i in (-1, 0, 1)) + ")"
 _GY = "(" + " + ".join(_PIX.format(-1, i) for i in (-1, 0, 1)) + ") - (" + " + ".join(_PIX.format(1, i) for i in (-1, 0, 1)) + ")"

@@ -152,6 +152,32 @@ def inverted(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.groupBy("id").agg(F.max("token").alias("token"))
 
 
+def write_if_absent(df: DataFrame, folder: str, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, written): each content as a file below folder, where there is none yet. A file is written under another name and
+    then renamed, so a task that is run again, or twice at once, leaves whole files only. folder: mounted on all executors."""
+    base = folder.removeprefix("file:").replace("//", "/")
+
+    def run(batches):
+        import os
+        import uuid
+
+        for pdf in batches:
+            written = []
+            for name, data in zip(pdf[path], pdf[content]):
+                target = f"{base}/{name}"
+                fresh = data is not None and not os.path.exists(target)
+                if fresh:
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    part = f"{target}.{uuid.uuid4().hex}"
+                    with open(part, "wb") as f:
+                        f.write(data)
+                    os.replace(part, target)
+                written.append(fresh)
+            yield pdf[[path]].assign(written=written)
+
+    return df.select(path, content).mapInPandas(run, f"`{path}` string, written boolean")
+
+
 def scene_index(meta: DataFrame, key: str, rgb_path: str, rgb_name: Column, depth_name: Column, root: str = "SUNRGBD") -> DataFrame:
     """(<key>, rgb, depth, label, annotation): where the files of each scene of the cameras' metadata lie, below root. NULL where
     the path of the picture does not hold root, or for a depth without a name. ``write_lines`` makes a list of each column."""
