@@ -202,25 +202,28 @@ def source_of(picture: Column) -> Column:
     return F.when(F.size(F.split(picture, "/")) >= 5, F.get(F.split(picture, "/"), F.lit(0)))
 
 
-def hashes(df: DataFrame, id_col: str = "Question_Id", question: str = "Questions", path: str = "Image_Path") -> DataFrame:
-    """(id, h1, h2, source) of the records with a path and a question, each once."""
+def hashes(frames: dict[str, DataFrame], id_col: str = "Question_Id", question: str = "Questions", path: str = "Image_Path") -> DataFrame:
+    """(split, id, h1, h2, source) of the records of each split with a path and a question, each once. All splits go through
+    one expression, which is large: a plan holds it once."""
+    named = lambda split, df: df.select(F.lit(split).alias("split"), F.col(f"`{id_col}`").alias(id_col), F.col(f"`{question}`").alias(question), F.col(f"`{path}`").alias(path))
+    df = reduce(DataFrame.unionAll, [named(split, frame) for split, frame in frames.items()])
     q, p = F.col(f"`{question}`"), F.col(f"`{path}`")
     rows = df.where(F.col(f"`{id_col}`").isNotNull() & q.isNotNull() & p.isNotNull())
-    rows = rows.select(F.col(f"`{id_col}`").alias("id"), bare_question(q).alias("bare"), picture_key(p).alias("picture"))
+    rows = rows.select("split", F.col(f"`{id_col}`").alias("id"), bare_question(q).alias("bare"), picture_key(p).alias("picture"))
     # a filter on the key would compute it twice, so a record without one gets a key that no other record has
     own = F.concat(F.lit("none|"), F.col("id").cast("string"))
-    keyed = rows.select("id", F.coalesce(question_key(F.col("bare")), own).alias("asked"), F.coalesce("picture", own).alias("picture"))
-    hashed = keyed.select("id", F.xxhash64("picture", "asked").alias("h1"), F.xxhash64("asked", F.lit(7), "picture").alias("h2"), source_of(F.col("picture")).alias("source"))
+    keyed = rows.select("split", "id", F.coalesce(question_key(F.col("bare")), own).alias("asked"), F.coalesce("picture", own).alias("picture"))
+    hashed = keyed.select("split", "id", F.xxhash64("picture", "asked").alias("h1"), F.xxhash64("asked", F.lit(7), "picture").alias("h2"), source_of(F.col("picture")).alias("source"))
     return hashed.distinct()
 
 
 def overlapping_pairs(train: DataFrame, evals: DataFrame, **columns: str) -> DataFrame:
     """(train_id, eval_id) of the records of evals that occur, exactly or almost, in train."""
-    t = cut(hashes(train, **columns).select("id", "h1", "h2"), "overlap-train")
-    e = cut(hashes(evals, **columns).select("id", "h1", "h2"), "overlap-eval")
-    totals = t.count(), e.count()
-    both = t.select("h1", "h2", F.lit(1).alias("t"), F.lit(0).alias("e")).unionAll(e.select("h1", "h2", F.lit(0), F.lit(1)))
-    counts = both.groupBy("h1", "h2").agg(F.sum("t").alias("t"), F.sum("e").alias("e"))
+    both = cut(hashes({"train": train, "eval": evals}, **columns).select("split", "id", "h1", "h2"), "overlap")
+    t, e = (both.where(F.col("split") == split).select("id", "h1", "h2") for split in ("train", "eval"))
+    held = {r[0]: r[1] for r in both.groupBy("split").count().collect()}
+    totals = held.get("train", 0), held.get("eval", 0)
+    counts = both.groupBy("h1", "h2").agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "eval").alias("e"))
     parts = lambda side, total: F.ceil(F.col(side) * HOT_SHARE / F.lit(max(1, total))).cast("int")
     # only a key of both sides makes pairs; the side with more parts is cut, the other one copied to each part
     hot = counts.where((F.col("t") > 0) & (F.col("e") > 0)).select("h1", "h2", parts("t", totals[0]).alias("t"), parts("e", totals[1]).alias("e")).where("t > 1 OR e > 1")
@@ -238,10 +241,10 @@ def overlapping_pairs(train: DataFrame, evals: DataFrame, **columns: str) -> Dat
 
 def overlap_counts(train: DataFrame, evals: dict[str, DataFrame], **columns: str) -> DataFrame:
     """(split, source, records, overlapping, pairs): records with a path and a question, those that occur in train, and their pairs."""
-    t = hashes(train, **columns).groupBy("h1", "h2").agg(F.count("*").alias("n_train"))
-    parts = [hashes(df, **columns).withColumn("split", F.lit(split)) for split, df in evals.items()]
-    e = reduce(DataFrame.unionAll, parts).groupBy("split", "source", "h1", "h2").agg(F.count("*").alias("n"))
-    joined = e.join(t, ["h1", "h2"], "left")
+    own = next(name for name in ("train", "training", "_train") if name not in evals)
+    each = cut(hashes({own: train, **evals}, **columns).groupBy("split", "source", "h1", "h2").agg(F.count("*").alias("n")), "overlap")
+    t = each.where(F.col("split") == own).groupBy("h1", "h2").agg(F.sum("n").alias("n_train"))
+    joined = each.where(F.col("split") != own).join(t, ["h1", "h2"], "left")
     return joined.groupBy("split", "source").agg(
         F.sum("n").alias("records"),
         F.coalesce(F.sum(F.when(F.col("n_train").isNotNull(), F.col("n"))), F.lit(0)).alias("overlapping"),
